@@ -36,7 +36,7 @@ _MOMENT_SCHEMA = (
     + ", ".join(f"{name} array<double>" for name in _ALL)
 )
 _MODEL_SCHEMA = (
-    "fit_id string, held_out_fold int, repetitions bigint, n_windows bigint, classes array<int>, coef array<array<double>>, "
+    "fit_id string, held_out_fold int, repetitions bigint, window_count bigint, classes array<int>, coef array<array<double>>, "
     "intercept array<double>, means array<double>, stds array<double>, raw_stds array<double>, "
     "valid_counts array<bigint>, floored_channels array<int>, shrinkage array<double>"
 )
@@ -287,13 +287,17 @@ def solve(moment_rows: DataFrame, kind: str, pivot: Sequence[float], alpha: floa
     names = _MATRICES[kind]
     fit_one = {"ridge": _ridge, "lda": _lda}[kind]
 
-    def model(fit_id: str, fold: int, rows: pd.DataFrame) -> dict:
+    def model(fit_id: str, fold: int, rows: pd.DataFrame, labels: list[int]) -> dict:
         total = _sum_rows(rows, names)
         by_class = {int(k): _sum_rows(g, names) for k, g in rows.groupby("label")}
+        if kind == "ridge":
+            # A class held out entirely keeps its place: its target is -1 everywhere.
+            nothing = {"repetitions": 0, "n": 0, "m0": 0 * total["m0"], "m1": 0 * total["m1"]}
+            by_class = {k: by_class.get(k, nothing) for k in labels}
         norm = _normalizer(total, zero_std)
         coef, intercept, shrinkage = fit_one(by_class, total, norm, alpha)
         return {
-            "fit_id": fit_id, "held_out_fold": fold, "repetitions": total["repetitions"], "n_windows": total["n"],
+            "fit_id": fit_id, "held_out_fold": fold, "repetitions": total["repetitions"], "window_count": total["n"],
             "classes": sorted(by_class), "coef": [list(r) for r in coef], "intercept": list(intercept),
             "means": list(norm["mean"] + center), "stds": list(norm["std"]), "raw_stds": list(norm["raw"]),
             "valid_counts": [int(v) for v in total["m0"]], "floored_channels": [int(v) for v in norm["floored"]],
@@ -302,9 +306,10 @@ def solve(moment_rows: DataFrame, kind: str, pivot: Sequence[float], alpha: floa
 
     def solve_fit(rows: pd.DataFrame) -> pd.DataFrame:
         fit_id = rows["fit_id"].iloc[0]
-        models = [model(fit_id, 0, rows)]
+        labels = sorted(int(k) for k in rows["label"].unique())
+        models = [model(fit_id, 0, rows, labels)]
         if held_out:
-            models += [model(fit_id, int(k), rows[rows["fold"] != k]) for k in sorted(rows["fold"].unique())]
+            models += [model(fit_id, int(k), rows[rows["fold"] != k], labels) for k in sorted(rows["fold"].unique())]
         return pd.DataFrame(models)
 
     return moment_rows.groupBy("fit_id").applyInPandas(solve_fit, _MODEL_SCHEMA)
@@ -356,7 +361,7 @@ def score(summaries: DataFrame, models: DataFrame, on: str | Sequence[str] = "fi
         "scores", vectors.linear_scores(F.col("embedding"), F.col("coef"), F.col("intercept"))
     )
     drop = ["coef", "intercept", "means", "stds", "raw_stds", "valid_counts", "floored_channels", "shrinkage",
-            "log_sum", "valid_count", "n_windows", "repetitions", "held_out_fold"]
+            "log_sum", "valid_count", "n_windows", "window_count", "repetitions", "held_out_fold"]
     return decide(scored.drop(*drop))
 
 

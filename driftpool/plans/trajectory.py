@@ -235,13 +235,15 @@ def call_audit(history: DataFrame, calls: DataFrame, trajectory: str = "trajecto
     ``history`` rows carry the (session, query_round) at which they were
     revealed; a call sees what was revealed before it.
     """
-    seen = calls.join(
-        history.select(trajectory, F.col("session").alias("_s"), F.col("query_round").alias("_r"), "role"), trajectory, "left"
+    revealed = history.groupBy(trajectory, F.col("session").alias("_s"), F.col("query_round").alias("_r")).agg(
+        F.count("*").alias("_n"), F.count_if(F.col("role") == "fixed_test").alias("_test")
     )
+    seen = calls.join(revealed, trajectory, "left")
     usable = (F.col("_s") < F.col("session")) | ((F.col("_s") == F.col("session")) & (F.col("_r") < F.col("query_round")))
+    total = lambda c: F.coalesce(F.sum(F.when(usable, F.col(c))), F.lit(0)).cast("bigint")
     return seen.groupBy(trajectory, "session", "query_round").agg(
-        F.count_if(usable).alias("history_size"), F.max(F.when(usable, F.col("_s"))).alias("maximum_history_session"),
-        F.count_if(usable & (F.col("role") == "fixed_test")).alias("fixed_test_in_history"),
+        total("_n").alias("history_size"), F.max(F.when(usable, F.col("_s"))).alias("maximum_history_session"),
+        total("_test").alias("fixed_test_in_history"),
     ).withColumn("future_session_used", F.coalesce(F.col("maximum_history_session") > F.col("session"), F.lit(False)))
 
 
