@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def stage(df: DataFrame, name: str = "table") -> DataFrame:
+def stage(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the shared folder and return a reader on it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftpool-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

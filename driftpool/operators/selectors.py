@@ -8,6 +8,7 @@ results do not depend on partitioning.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -127,55 +128,60 @@ def _minmax(value: Column, low: Column, high: Column) -> Column:
     return F.when(high - low <= 1e-15, F.lit(0.0)).otherwise((value - low) / (high - low))
 
 
-# Each rule maps (step, lowest and highest distance left) to an ascending sort key
-# over the columns token, _d (distance to history and picks), _u (uncertainty).
-Rule = Callable[[int, Column, Column], Column]
+@dataclass(frozen=True)
+class _Rule:
+    """Ascending sort key (p, q) of one step over ``_token``, ``_d`` (distance to history and picks)
+    and ``_u`` (uncertainty); ``spans`` tells whether it reads the range ``_low``..``_high`` of ``_d``."""
 
+    p: Callable[[int], Column]
+    q: Column
+    spans: bool = False
 
-def _core_set_rule() -> Rule:
-    return lambda step, low, high: F.struct((-F.col("_d")).alias("p"), F.lit("").alias("q"))
+    def contender(self, step: int) -> Column:
+        return F.struct(self.p(step).alias("p"), self.q.alias("q"), F.col("_token").alias("token"), F.col("_e").alias("e"))
 
 
-def _ranked_batch_rule(tie_seed: Column | int) -> Rule:
-    def rule(step: int, low: Column, high: Column) -> Column:
-        combined = 0.5 * F.col("_u") + 0.5 * _minmax(F.col("_d"), low, high)
-        return F.struct((-combined).alias("p"), identity.token_tie(tie_seed, F.col("_token")).alias("q"))
+def _core_set_rule() -> _Rule:
+    return _Rule(lambda step: -F.col("_d"), F.lit(""))
 
-    return rule
 
+def _ranked_batch_rule(tie_seed: Column | int) -> _Rule:
+    combined = 0.5 * F.col("_u") + 0.5 * _minmax(F.col("_d"), F.col("_low"), F.col("_high"))
+    return _Rule(lambda step: -combined, identity.token_tie(tie_seed, F.col("_token")), spans=True)
 
-def _squared_weight_rule(seed: Column | int) -> Rule:
+
+def _squared_weight_rule(seed: Column | int) -> _Rule:
     """Exponential race: the smallest -ln(u)/d^2 is a draw with weight d^2."""
-    def rule(step: int, low: Column, high: Column) -> Column:
+    def p(step: int) -> Column:
         race = -F.log(identity.uniform(seed, F.lit(step), F.col("_token")))
-        if step > 1:
-            weight = F.col("_d") * F.col("_d")
-            race = F.when(weight > 0, race / weight).otherwise(F.lit(float("inf")))
-        return F.struct(race.alias("p"), F.lit("").alias("q"))
+        if step == 1:
+            return race
+        weight = F.col("_d") * F.col("_d")
+        return F.when(weight > 0, race / weight).otherwise(F.lit(float("inf")))
+
+    return _Rule(p, F.lit(""))
 
-    return rule
 
+_TO_BEST = "least(_d, sqrt(aggregate(zip_with(_e, _best.e, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)))"
 
-def _in_one_exchange(state: DataFrame, keys: list[str], steps: int, rule: Rule) -> DataFrame:
+
+def _in_one_exchange(state: DataFrame, keys: list[str], steps: int, rule: _Rule) -> DataFrame:
     """All picks as windows over the same keys: one shuffle, no repeated scan."""
     group = Window.partitionBy(*keys)
     state = state.withColumn("pick", F.lit(None).cast("int"))
+    left = F.col("pick").isNull()
     for step in range(1, steps + 1):
-        left = F.col("pick").isNull()
-        low = F.min(F.when(left, F.col("_d"))).over(group)
-        high = F.max(F.when(left, F.col("_d"))).over(group)
-        state = state.withColumns({"_low": low, "_high": high})
-        contender = F.struct(
-            rule(step, F.col("_low"), F.col("_high")).alias("order"), F.col("_token").alias("token"),
-            F.col("_e").alias("e"),
-        )
-        state = state.withColumn("_best", F.min(F.when(left, contender)).over(group))
-        state = state.withColumn("pick", F.when(F.col("_best.token") == F.col("_token"), step).otherwise(F.col("pick")))
-        state = state.withColumn("_d", F.least("_d", vectors.distance(F.col("_e"), F.col("_best.e"))))
+        if rule.spans:
+            distance = F.when(left, F.col("_d"))
+            state = state.withColumns({"_low": F.min(distance).over(group), "_high": F.max(distance).over(group)})
+        state = state.withColumn("_best", F.min(F.when(left, rule.contender(step))).over(group))
+        state = state.withColumns({
+            "pick": F.when(F.col("_best.token") == F.col("_token"), step).otherwise(F.col("pick")), "_d": F.expr(_TO_BEST),
+        })
     return state.filter(F.col("pick").isNotNull()).select(*keys, "_token", "pick")
 
 
-def _in_rounds(state: DataFrame, keys: list[str], steps: int, rule: Rule) -> DataFrame:
+def _in_rounds(state: DataFrame, keys: list[str], steps: int, rule: _Rule) -> DataFrame:
     """One partial aggregation per pick for groups too large for one task.
 
     Only the winners (one row per group and step) move between rounds.
@@ -188,18 +194,15 @@ def _in_rounds(state: DataFrame, keys: list[str], steps: int, rule: Rule) -> Dat
             taken = picks.groupBy(*keys).agg(F.collect_list("_token").alias("_ts"), F.collect_list("_e").alias("_es"))
             nearest = F.array_min(F.transform("_es", lambda e: vectors.distance(e, F.col("_e"))))
             current = (
-                base.join(taken, keys)
+                (base.join(taken, keys) if keys else base.join(F.broadcast(taken)))  # without keys: one row
                 .filter(~F.array_contains("_ts", F.col("_token")))
                 .withColumn("_d", F.least("_d", nearest))
             )
-        span = current.groupBy(*keys).agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"))
-        current = current.join(stage(span, "span"), keys)
-        contender = F.struct(
-            rule(step, F.col("_low"), F.col("_high")).alias("order"), F.col("_token").alias("token"),
-            F.col("_e").alias("e"),
-        )
+        if rule.spans:
+            span = current.groupBy(*keys).agg(F.min("_d").alias("_low"), F.max("_d").alias("_high"))
+            current = current.join(stage(span, "span"), keys) if keys else current.join(F.broadcast(span))
         winner = (
-            current.groupBy(*keys).agg(F.min(contender).alias("_best"))
+            current.groupBy(*keys).agg(F.min(rule.contender(step)).alias("_best"))
             .select(*keys, F.col("_best.token").alias("_token"), F.col("_best.e").alias("_e"), F.lit(step).alias("pick"))
         )
         winner = stage(winner, "winners")
@@ -208,18 +211,21 @@ def _in_rounds(state: DataFrame, keys: list[str], steps: int, rule: Rule) -> Dat
 
 
 def _sequential(
-    state: DataFrame, keys: Sequence[str], steps: int, rule: Rule, token: str, sequential_rows: int
+    state: DataFrame, keys: Sequence[str], steps: int, rule: _Rule, token: str, pool: DataFrame, sequential_rows: int
 ) -> DataFrame:
+    """Pick in one exchange where groups fit a task, in rounds where they do not.
+
+    Group sizes are counted on the key columns of the input ``pool``.
+    """
     keys = list(keys)
     state = state.withColumnRenamed(token, "_token")
-    sizes = state.groupBy(*keys).agg(F.count("*").alias("_n")) if keys else state.agg(F.count("*").alias("_n"))
-    large = sizes.filter(F.col("_n") > sequential_rows)
-    if largest_group(state, keys) <= sequential_rows:
+    if largest_group(pool, keys) <= sequential_rows:
         picked = _in_one_exchange(state, keys, steps, rule)
     elif not keys:
         picked = _in_rounds(state, keys, steps, rule)
     else:
-        # A large group is rare by definition: at most rows / sequential_rows of them.
+        # At most rows / sequential_rows groups are large.
+        large = pool.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > sequential_rows)
         large = stage(large.select(*keys), "large")
         picked = _in_one_exchange(state.join(large, keys, "left_anti"), keys, steps, rule).unionByName(
             _in_rounds(state.join(large, keys, "left_semi"), keys, steps, rule)
@@ -234,7 +240,7 @@ def core_set(
     """Farthest-first from history and picks; ties by token."""
     measured = distance_to_history(pool, history, keys, token, embedding, "_d")
     state = measured.select(*keys, token, F.col(embedding).cast("array<double>").alias("_e"), "_d")
-    return _sequential(state, keys, batch_size, _core_set_rule(), token, sequential_rows)
+    return _sequential(state, keys, batch_size, _core_set_rule(), token, pool, sequential_rows)
 
 
 def ranked_batch(
@@ -253,7 +259,7 @@ def ranked_batch(
         )
     )
     rule = _ranked_batch_rule(F.col("_seed") if seed else tie_seed)
-    return _sequential(state, keys, batch_size, rule, token, sequential_rows)
+    return _sequential(state, keys, batch_size, rule, token, pool, sequential_rows)
 
 
 def squared_distance_seeding(
@@ -266,7 +272,7 @@ def squared_distance_seeding(
         *keys, token, F.col(embedding).cast("array<double>").alias("_e"), F.lit(float("inf")).alias("_d"), *extra
     )
     rule = _squared_weight_rule(F.col("_seed") if extra else seed)
-    return _sequential(state, keys, batch_size, rule, token, sequential_rows)
+    return _sequential(state, keys, batch_size, rule, token, pool, sequential_rows)
 
 
 # -- audits, reveal, checks ----------------------------------------------------------

@@ -282,7 +282,7 @@ def arms(spark, sf_dir, plan=tuple(ARMS)):
     )
 
 
-def _loop_sql() -> str:
+def _loop_sql(tail: str) -> str:
     """The loop unrolled over sessions for the centroid model."""
     parts = [TRIALS, """arms AS (SELECT participant || '|' || s AS trajectory_id, participant, s AS strategy
   FROM (SELECT DISTINCT participant FROM trials), unnest(['class_balanced_margin','global_margin','uniform_random','full_pool','no_adaptation']) AS u(s))""",
@@ -317,20 +317,33 @@ def _loop_sql() -> str:
         parts.append(model(f"f{s}", f"h{s}"))
         parts.append(predictions(f"t{s}", f"f{s}", "fixed_test", s))
     parts.append("results AS (" + " UNION ALL ".join(f"SELECT * FROM t{s}" for s in SESSIONS) + ")")
-    parts.append("""per_class AS (
-  SELECT trajectory_id, session, l AS class, count(*) FILTER (label = l) AS support, count(*) FILTER (predicted_label = l) AS called,
-    count(*) FILTER (label = l AND predicted_label = l) AS hits
-  FROM results, unnest(range(10)) AS u(l) GROUP BY ALL)""")
-    parts.append("""rates AS (SELECT *, CASE WHEN support = 0 THEN 0 ELSE hits / support END AS r, CASE WHEN called = 0 THEN 0 ELSE hits / called END AS p FROM per_class)""")
-    return "WITH " + ", ".join(parts) + """
+    parts.append(predictions("q1", "f3", "fixed_test", 1))
+    parts.append(predictions("q2", "f3", "fixed_test", 2))
+    parts.append("retained AS (SELECT * FROM q1 UNION ALL SELECT * FROM q2)")
+    return "WITH " + ", ".join(parts) + ", " + tail
+
+
+def _rates(name: str, source: str) -> str:
+    return f"""{name} AS (
+  SELECT trajectory_id, session, support, hits, CASE WHEN support = 0 THEN 0 ELSE hits / support END AS r, CASE WHEN called = 0 THEN 0 ELSE hits / called END AS p
+  FROM (SELECT trajectory_id, session, l, count(*) FILTER (label = l) AS support, count(*) FILTER (predicted_label = l) AS called,
+      count(*) FILTER (label = l AND predicted_label = l) AS hits FROM {source}, unnest(range(10)) AS u(l) GROUP BY ALL))"""
+
+
+_EVALUATED = _rates("rates", "results") + """
 SELECT trajectory_id, split_part(trajectory_id, '|', 1) AS participant, split_part(trajectory_id, '|', 2) AS strategy, session,
   CAST(sum(support) AS BIGINT) AS "rows", round(sum(hits) / sum(support), 6) AS accuracy, round(sum(r) / 10, 6) AS balanced_accuracy,
   round(sum(CASE WHEN r + p = 0 THEN 0 ELSE 2 * r * p / (r + p) END) / 10, 6) AS macro_f1,
   CAST(sum(support) - sum(hits) AS BIGINT) AS errors
 FROM rates GROUP BY ALL"""
 
+_RETAINED = _rates("now", "results") + ", " + _rates("later", "retained") + """,
+diagonal AS (SELECT trajectory_id, session, sum(r) / 10 AS d FROM now GROUP BY ALL), final AS (SELECT trajectory_id, session, sum(r) / 10 AS f FROM later GROUP BY ALL)
+SELECT trajectory_id, round(avg(f - d), 6) AS backward_change, round(max(greatest(0, d - f)), 6) AS worst_drop, round(avg(f), 6) AS mean_retained,
+  round(avg(d), 6) AS mean_diagonal FROM final JOIN diagonal USING (trajectory_id, session) WHERE trajectory_id LIKE '%margin' GROUP BY ALL"""
+
 
-@query(_loop_sql())
+@query(_loop_sql(_EVALUATED))
 def trajectory_loop(spark, sf_dir):
     rows = trials(spark, sf_dir)
     run = trajectory.Experiment(rows, arms(spark, sf_dir), "centroid", B).run(SESSIONS)
@@ -353,7 +366,7 @@ def trajectory_ridge(spark, sf_dir):
     return rounded(trajectory.evaluate(experiment.run(SESSIONS[:1]), LABELS), "accuracy", "balanced_accuracy", "macro_f1")
 
 
-@query()
+@query(_loop_sql(_RETAINED))
 def final_state_retention(spark, sf_dir):
     rows = trials(spark, sf_dir)
     plan = [("class_balanced_margin", B), ("global_margin", B)]

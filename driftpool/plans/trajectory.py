@@ -50,10 +50,12 @@ class Experiment:
         if set(self.strategies) - known:
             raise ValueError(f"unknown strategies {sorted(set(self.strategies) - known)}")
         self.model, self.batch_size, self.folds = model, batch_size, folds
-        self.meta = rows.select("participant", "session", "token", "label", "role")
+        # Narrow rows are written once, laid out so that every later step reads one role and session.
+        self.meta = stage(rows.select("participant", "session", "token", "label", "role"), "rows", ["role", "session"])
         self.trajectories = stage(trajectories, "trajectories")
         if model == "centroid":
-            self.features = rows.select("token", "embedding")
+            self.source = rows.select("participant", "session", "role", "token", "embedding")
+            self.features = self.source.filter(F.col("role").isin("initial", "candidate")).select("token", "embedding")
         else:
             self.windows = rows.select("token", "windows", "mask")
             self.features = stage(models.repetition_summaries(self.windows), "summaries")
@@ -75,25 +77,43 @@ class Experiment:
         )
         return initial.unionByName(revealed)
 
-    def fit(self, history: DataFrame, probabilities: bool) -> tuple[DataFrame, DataFrame]:
-        """(models by fit_id with participant and calibration, map trajectory -> fit_id)."""
+    def fit(self, history: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(models by fit_id with participant and calibration, map trajectory -> fit_id).
+
+        The fit after one round serves its evaluation and the next acquisition.
+        """
         distinct, fits = models.distinct_fits(history)
-        distinct = stage(distinct.select("fit_id", "participant", "token", "label"), "histories")
         if self.model == "centroid":
             fitted = models.centroid_models(distinct.join(self.features, "token"), ["fit_id"])
-        elif self.model == "ridge" and probabilities:
+        elif self.model == "ridge" and self.wants("probability"):
             folded = protocol.stratified_folds(distinct, ["fit_id"], self.folds, order="token")
-            full, scored = models.out_of_fold_scores(folded.select("fit_id", "token", "label", "fold"), self.windows, pivot=self.pivot)
+            folded = stage(folded.select("fit_id", "token", "label", "fold"), "folds")
+            full, scored = models.out_of_fold_scores(folded, self.windows, pivot=self.pivot)
             fitted = full.join(models.calibrate(scored), "fit_id")
         else:
             fitted = models.fit(distinct, self.windows, self.model, pivot=self.pivot)
-        owners = distinct.groupBy("fit_id").agg(F.min("participant").alias("participant"))
+        owners = fits.join(self.trajectories.select("trajectory_id", "participant"), "trajectory_id")
+        owners = owners.groupBy("fit_id").agg(F.min("participant").alias("participant"))
         return stage(fitted.join(owners, "fit_id"), "models"), fits
 
-    def score(self, rows: DataFrame, fitted: DataFrame) -> DataFrame:
-        """Every row under every fit of its participant: prediction, margin, embedding, probability."""
+    def wants(self, what: str) -> bool:
+        users = {"probability": PROBABILISTIC, "embedding": SEQUENTIAL}[what]
+        return any(s in users for s in self.strategies)
+
+    def rows_of(self, role: str, sessions: Sequence[int]) -> DataFrame:
+        return self.meta.filter((F.col("role") == role) & F.col("session").isin(list(sessions)))
+
+    def score(self, role: str, sessions: Sequence[int], fitted: DataFrame) -> DataFrame:
+        """Rows of a role under every fit of their participant: prediction, margin, embedding, probability.
+
+        Labels never enter the scored frame.
+        """
         on = ["participant"]
-        features = rows.join(self.features, "token")
+        if self.model == "centroid":
+            chosen = (F.col("role") == role) & F.col("session").isin(list(sessions))
+            features = self.source.filter(chosen).select("participant", "token", "embedding")
+        else:
+            features = self.rows_of(role, sessions).select("participant", "token").join(self.features, "token")
         if self.model == "centroid":
             scored = models.centroid_score(features, fitted, on)
             return scored.withColumn("probability", vectors.softmax(F.col("scores")))
@@ -107,14 +127,14 @@ class Experiment:
 
     # -- one round --
 
-    def acquire(self, session: int, query_round: int, selections: DataFrame | None, active: DataFrame) -> DataFrame:
+    def acquire(
+        self, session: int, query_round: int, selections: DataFrame | None, active: DataFrame, fitted: DataFrame, fits: DataFrame
+    ) -> DataFrame:
         """Selections of one round for all active trajectories, labels revealed."""
-        history = self.history(selections, active)
-        wants_probability = any(s in PROBABILISTIC for s in self.strategies)
-        fitted, fits = self.fit(history, wants_probability)
-        candidates = self.meta.filter((F.col("role") == "candidate") & (F.col("session") == session))
-        # Labels stay out of the scored frame: selectors see token, scores and embedding only.
-        scored = self.score(candidates.select("participant", "token"), fitted).drop("participant")
+        candidates = self.rows_of("candidate", [session])
+        # Only columns that a selector of this run reads go on.
+        visible = ["fit_id", "token", "predicted_label", "margin", *[c for c in ("probability", "embedding") if self.wants(c)]]
+        scored = self.score("candidate", [session], fitted).select(*visible)
         pool = active.join(fits, "trajectory_id").join(scored, "fit_id")
         if selections is not None:
             taken = selections.filter(F.col("session") == session).select("trajectory_id", "token")
@@ -124,7 +144,7 @@ class Experiment:
         picks = None
         for strategy in [s for s in self.strategies if s in ADAPTIVE]:
             own = pool.filter(F.col("strategy") == strategy)
-            chosen = self._select(strategy, own, key, history, fitted, fits, session, query_round, candidates)
+            chosen = self._select(strategy, own, key, selections, fitted, fits, session, query_round, candidates)
             chosen = chosen.select("trajectory_id", "token", "pick")
             picks = chosen if picks is None else picks.unionByName(chosen)
         revealed = picks.join(candidates.select("token", "label"), "token")
@@ -132,7 +152,7 @@ class Experiment:
             "trajectory_id", F.lit(session).alias("session"), F.lit(query_round).alias("query_round"), "pick", "token", "label"
         )
 
-    def _select(self, strategy, own, key, history, fitted, fits, session, query_round, candidates) -> DataFrame:
+    def _select(self, strategy, own, key, selections, fitted, fits, session, query_round, candidates) -> DataFrame:
         b = self.batch_size
         if strategy in MARGIN or strategy in PROBABILISTIC:
             return getattr(selectors, strategy)(own, key, b)
@@ -144,7 +164,7 @@ class Experiment:
             return selectors.true_class_balanced(labelled, key, b)
         if strategy == "squared_distance_seeding":
             return selectors.squared_distance_seeding(own, key, b, seed)
-        mine = history.join(own.select("trajectory_id").distinct(), "trajectory_id", "left_semi")
+        mine = self.history(selections, self.trajectories.filter(F.col("strategy") == strategy))
         # History embeddings under each trajectory's own normalizer.
         seen = mine.select("trajectory_id", "token").join(fits, "trajectory_id").join(self.features, "token")
         if self.model != "centroid":
@@ -156,50 +176,59 @@ class Experiment:
 
     # -- whole run --
 
+    def full_pool_selections(self, sessions: Sequence[int]) -> DataFrame:
+        """The full-pool reference needs no model, so all its sessions are dealt at once."""
+        whole = self.rows_of("candidate", sessions).join(
+            self.trajectories.filter(F.col("strategy") == FULL_POOL).select("trajectory_id", "participant"), "participant"
+        )
+        dealt = selectors.full_pool_rounds(whole, ["trajectory_id", "session"], self.batch_size)
+        return stage(dealt.select("trajectory_id", "session", "query_round", "pick", "token", "label"), "selections")
+
     def run(self, sessions: Sequence[int]) -> Run:
         b = self.batch_size
-        rounds = (self.trajectories.filter(F.col("strategy").isin(list(ADAPTIVE))).agg(F.max("query_budget")).first()[0] or 0) // b
-        selections, predictions, fitted_models = None, None, None
-        full = self.trajectories.filter(F.col("strategy") == FULL_POOL)
+        adaptive = F.col("strategy").isin(list(ADAPTIVE))
+        rounds = (self.trajectories.filter(adaptive).agg(F.max("query_budget")).first()[0] or 0) // b
+        full = self.full_pool_selections(sessions) if FULL_POOL in self.strategies else None
+        chosen: DataFrame | None = None
+
+        def known(session: int) -> DataFrame | None:
+            """Everything revealed up to the end of ``session``."""
+            parts = [p for p in (chosen, full.filter(F.col("session") <= session) if full is not None else None) if p is not None]
+            return parts[0].unionByName(parts[1]) if len(parts) == 2 else (parts[0] if parts else None)
+
+        predictions = None
+        fitted, fits = self.fit(self.history(None, self.trajectories))
         for session in sessions:
             for query_round in range(1, rounds + 1):
-                active = self.trajectories.filter(
-                    F.col("strategy").isin(list(ADAPTIVE)) & (F.col("query_budget") >= query_round * b)
-                )
-                made = stage(self.acquire(session, query_round, selections, active), "selections")
-                selections = made if selections is None else selections.unionByName(made)
-            if FULL_POOL in self.strategies:
-                whole = (
-                    self.meta.filter((F.col("role") == "candidate") & (F.col("session") == session))
-                    .join(full.select("trajectory_id", "participant"), "participant")
-                )
-                dealt = selectors.full_pool_rounds(whole, ["trajectory_id"], b)
-                made = stage(dealt.select("trajectory_id", "session", "query_round", "pick", "token", "label"), "selections")
-                selections = made if selections is None else selections.unionByName(made)
-            fitted, fits = self.fit(self.history(selections, self.trajectories), False)
-            tests = self.meta.filter((F.col("role") == "fixed_test") & (F.col("session") == session))
-            scored = self.score(tests.select("participant", "token"), fitted)
+                if query_round > 1:
+                    fitted, fits = self.fit(self.history(chosen, self.trajectories.filter(adaptive)))
+                active = self.trajectories.filter(adaptive & (F.col("query_budget") >= query_round * b))
+                made = stage(self.acquire(session, query_round, chosen, active, fitted, fits), "selections")
+                chosen = made if chosen is None else chosen.unionByName(made)
+            if chosen is not None or full is not None:
+                fitted, fits = self.fit(self.history(known(session), self.trajectories))
+            tests = self.rows_of("fixed_test", [session])
+            scored = self.score("fixed_test", [session], fitted).select("fit_id", "token", "predicted_label", "margin")
             evaluated = (
-                self.trajectories.select("trajectory_id", "strategy", "query_budget").join(fits, "trajectory_id")
+                self.trajectories.select("trajectory_id", "participant", "strategy", "query_budget").join(fits, "trajectory_id")
                 .join(scored, "fit_id").join(tests.select("token", F.col("label").alias("true_label")), "token")
                 .select("trajectory_id", "participant", "strategy", "query_budget", F.lit(session).alias("session"),
                         "token", "true_label", "predicted_label", "margin")
             )
             evaluated = stage(evaluated, "predictions")
             predictions = evaluated if predictions is None else predictions.unionByName(evaluated)
-            fitted_models = fits.join(fitted, "fit_id").withColumn("session", F.lit(session))
+        selections = known(max(sessions))
         if selections is None:  # only no-adaptation trajectories
-            empty = self.trajectories.sparkSession.createDataFrame(
+            selections = self.trajectories.sparkSession.createDataFrame(
                 [], "trajectory_id string, session int, query_round int, pick int, token string, label int"
             )
-            selections = empty
-        return Run(selections, predictions, fitted_models)
+        return Run(selections, predictions, fits.join(fitted, "fit_id").withColumn("session", F.lit(max(sessions))))
 
     def retained_predictions(self, run: Run, sessions: Sequence[int]) -> DataFrame:
         """The last model of every trajectory on the fixed tests of earlier sessions."""
-        tests = self.meta.filter((F.col("role") == "fixed_test") & F.col("session").isin(list(sessions)))
+        tests = self.rows_of("fixed_test", sessions)
         last = run.models.drop("trajectory_id", "session").dropDuplicates(["fit_id"])
-        scored = self.score(tests.select("participant", "token"), last)
+        scored = self.score("fixed_test", sessions, last)
         return (
             run.models.select("trajectory_id", "fit_id").join(scored, "fit_id")
             .join(tests.select("token", "session", F.col("label").alias("true_label")), "token")
