@@ -289,10 +289,12 @@ def bootstrap_bca(
     acceleration = F.coalesce(F.try_divide(F.col("_g3"), 6.0 * F.col("_g2")), F.lit(0.0))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("boot_mean")) - 1
     ranked = stage(boot.withColumn("_rank", rank), "ranked")
+    # A resample of every value once equals the mean up to summation order, hence the tolerance.
+    excess = F.col("boot_mean") - F.col("_theta")
+    below = excess < -ZERO_TOLERANCE
     share = ranked.join(moments, keys).groupBy(*keys).agg(
         F.count("*").alias("replicates"),
-        ((F.count_if(F.col("boot_mean") < F.col("_theta")) + 0.5 * F.count_if(F.col("boot_mean") == F.col("_theta")))
-         / F.count("*")).alias("_p"),
+        ((F.count_if(below) + 0.5 * F.count_if(F.abs(excess) <= ZERO_TOLERANCE)) / F.count("*")).alias("_p"),
         F.min("boot_mean").alias("_min"), F.max("boot_mean").alias("_max"),
     )
     edge = 1.0 / (2 * replicates)
