@@ -239,9 +239,13 @@ def _shrunk_covariance(part: dict, norm: dict) -> tuple[np.ndarray, np.ndarray,
     """Class mean and Ledoit-Wolf covariance on class-standardized z-scores, from moments alone."""
     n, p = part["n"], len(part["m0"])
     mean = _z_sum(part, norm) / n
-    cov = _gram(part, norm) / n - np.outer(mean, mean)
-    scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
-    scale = np.where(scale <= 1e-12, 1.0, scale)
+    square = _gram(part, norm) / n
+    cov = square - np.outer(mean, mean)
+    # A channel without spread in this class keeps rounding noise here; it counts as exactly flat.
+    flat = np.diag(cov) <= 1e-12 * (1.0 + np.diag(square))
+    cov[flat, :] = 0.0
+    cov[:, flat] = 0.0
+    scale = np.where(flat, 1.0, np.sqrt(np.where(flat, 1.0, np.diag(cov))))
     standard = cov / np.outer(scale, scale)
     # y^2 is a constant where the mask is off and a quadratic in l where it is on.
     a = 1.0 / (norm["std"] * scale)
@@ -261,8 +265,8 @@ def _shrunk_covariance(part: dict, norm: dict) -> tuple[np.ndarray, np.ndarray,
     delta_sum = (standard**2).sum()
     beta = (fourth / n - delta_sum) / (p * n)
     delta = (delta_sum - 2.0 * mu * np.trace(standard) + p * mu**2) / p
-    beta = min(beta, delta)
-    shrinkage = 0.0 if beta == 0 else beta / delta
+    beta = min(max(beta, 0.0), delta)  # non-negative but for rounding
+    shrinkage = beta / delta if beta > 0 else 0.0
     shrunk = (1.0 - shrinkage) * standard + shrinkage * mu * np.eye(p)
     return mean, shrunk * np.outer(scale, scale), float(shrinkage)
 
@@ -447,7 +451,7 @@ def calibrate(scored: DataFrame, c: float = 1.0, calibration_rows: int = CALIBRA
     ``scored``: fit_id, label, scores. Histories too large for one task are
     fitted by Spark ML, one distributed fit each.
     """
-    rows = scored.select("fit_id", F.col("label").cast("int").alias("label"), "scores")
+    rows = stage(scored.select("fit_id", F.col("label").cast("int").alias("label"), "scores"), "scores")
     schema = "fit_id string, calibration_classes array<int>, calibration_coef array<array<double>>, calibration_intercept array<double>"
 
     def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -473,7 +477,7 @@ def _calibrate_large(rows: DataFrame, fit_id: str, c: float, schema: str) -> Dat
 
     labels = sorted(r[0] for r in rows.select("label").distinct().collect())
     index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
-    data = stage(rows.select("scores", index.cast("double").alias("label")), "calibration")
+    data = rows.select("scores", index.cast("double").alias("label"))
     n = data.count()
     model = LogisticRegression(
         family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-10

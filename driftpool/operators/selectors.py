@@ -45,6 +45,30 @@ def global_margin(
     return top_per_group(pool, keys, [F.col(margin), F.col(token)], batch_size, "pick")
 
 
+def margin_batches(
+    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token",
+    label: str = "predicted_label", margin: str = "margin",
+) -> DataFrame:
+    """Both margin strategies from one pass: column ``strategy`` and its ``pick``.
+
+    The rows trimmed for the class-balanced batch also contain the global one,
+    so the pool is read and shuffled once for the comparison.
+    """
+    order = [F.col(margin), F.col(token)]
+    near = top_per_group(pool, [*keys, label], order, batch_size, "_class_rank")
+    group = Window.partitionBy(*keys)
+    ranked = near.withColumns({
+        "_balanced": F.row_number().over(group.orderBy((F.col("_class_rank") > 1).cast("int"), *order)),
+        "_global": F.row_number().over(group.orderBy(*order)),
+    })
+    arms = F.array(
+        F.struct(F.lit("class_balanced_margin").alias("strategy"), F.col("_balanced").alias("pick")),
+        F.struct(F.lit("global_margin").alias("strategy"), F.col("_global").alias("pick")),
+    )
+    kept = [c for c in pool.columns]
+    return ranked.select(*kept, F.inline(arms)).filter(F.col("pick") <= batch_size)
+
+
 def largest_score(pool: DataFrame, keys: Sequence[str], score: Column, batch_size: int = 7, token: str = "token") -> DataFrame:
     scored = pool.withColumn("acquisition_score", score)
     return top_per_group(scored, keys, [F.col("acquisition_score").desc(), F.col(token)], batch_size, "pick")

@@ -195,7 +195,40 @@ def _linear(spark, sf_dir, kind: str):
     return models.score(candidates, fitted, "participant")
 
 
-@query()
+_LDA = _fit_sql("").split("size AS (")[0] + """size AS (SELECT participant, count(DISTINCT token) AS n FROM z WHERE role = 'initial' GROUP BY ALL),
+hist AS MATERIALIZED (SELECT participant, token, label, c, z FROM z WHERE role = 'initial'),
+members AS (SELECT participant, label, count(DISTINCT token) AS n FROM hist GROUP BY ALL),
+mean AS MATERIALIZED (SELECT participant, label, c, avg(z) AS m, CASE WHEN stddev_pop(z) <= 1e-12 THEN 1 ELSE stddev_pop(z) END AS s FROM hist GROUP BY ALL),
+std AS MATERIALIZED (SELECT h.participant, h.token, h.label, h.c, (h.z - m) / s AS y FROM hist h JOIN mean USING (participant, label, c)),
+emp AS MATERIALIZED (SELECT a.participant, a.label, a.c AS i, b.c AS j, sum(a.y * b.y) / any_value(n) AS e FROM std a JOIN std b USING (participant, label, token)
+  JOIN members USING (participant, label) GROUP BY a.participant, a.label, a.c, b.c),
+fourth AS (SELECT participant, label, sum(q * q) AS f FROM (SELECT participant, label, token, sum(y * y) AS q FROM std GROUP BY ALL) GROUP BY ALL),
+parts AS (SELECT e.participant, e.label, any_value(n) AS n, sum(e.e * e.e) AS d, sum(CASE WHEN i = j THEN e.e ELSE 0 END) / 64 AS mu, any_value(f) AS f
+  FROM emp e JOIN fourth USING (participant, label) JOIN members USING (participant, label) GROUP BY e.participant, e.label),
+shrink AS MATERIALIZED (SELECT participant, label, mu, CASE WHEN least(beta, delta) = 0 THEN 0 ELSE least(beta, delta) / delta END AS lam
+  FROM (SELECT *, (f / n - d) / (64 * n) AS beta, (d - 64 * mu * mu) / 64 AS delta FROM parts)),
+pooled AS (SELECT e.participant, e.i, e.j, sum(m.n / t.n * ((1 - lam) * e.e + CASE WHEN e.i = e.j THEN lam * mu ELSE 0 END) * a.s * b.s) AS g
+  FROM emp e JOIN shrink USING (participant, label) JOIN members m USING (participant, label) JOIN size t USING (participant)
+  JOIN mean a ON a.participant = e.participant AND a.label = e.label AND a.c = e.i JOIN mean b ON b.participant = e.participant AND b.label = e.label AND b.c = e.j
+  GROUP BY e.participant, e.i, e.j),
+augmented AS (SELECT participant, i, list(g ORDER BY j) AS r FROM (SELECT * FROM pooled UNION ALL SELECT participant, c, 1000 + label, m FROM mean) GROUP BY ALL),
+gj AS (
+  SELECT participant, 0 AS step, i, r FROM augmented
+  UNION ALL
+  SELECT a.participant, a.step + 1, a.i, CASE WHEN a.i = a.step + 1 THEN list_transform(a.r, lambda x: x / a.r[a.step + 1])
+    ELSE list_transform(a.r, lambda x, t: x - a.r[a.step + 1] * p.r[t] / p.r[a.step + 1]) END
+  FROM gj a JOIN gj p ON p.participant = a.participant AND p.i = a.step + 1 AND p.step = a.step WHERE a.step < 64),
+ranked AS (SELECT participant, label, row_number() OVER (PARTITION BY participant ORDER BY label) AS pos FROM members),
+coef AS MATERIALIZED (SELECT g.participant, q.label AS k, g.i AS c, g.r[64 + q.pos] AS w FROM gj g JOIN ranked q USING (participant) WHERE g.step = 64),
+model AS MATERIALIZED (SELECT coef.participant, coef.k, -0.5 * sum(w * m) + ln(any_value(p.n) / any_value(t.n)) AS b FROM coef JOIN mean ON mean.participant = coef.participant AND mean.label = coef.k AND mean.c = coef.c
+  JOIN members p ON p.participant = coef.participant AND p.label = coef.k JOIN size t ON t.participant = coef.participant GROUP BY coef.participant, coef.k),
+s AS (SELECT z.token, coef.k, sum(z.z * coef.w) + any_value(b) AS score FROM z JOIN coef USING (participant, c) JOIN model USING (participant, k) WHERE z.role = 'candidate' GROUP BY z.token, coef.k),
+t AS (SELECT token, k, score, exp(score - max(score) OVER (PARTITION BY token)) AS e FROM s)
+SELECT token, first(k ORDER BY score DESC, k) AS predicted_label, round(list(score ORDER BY score DESC)[1] - list(score ORDER BY score DESC)[2], 6) AS margin,
+  round(max(e) / sum(e), 6) AS top_probability FROM t GROUP BY token"""
+
+
+@query(_LDA)
 def lda_posterior(spark, sf_dir):
     rows = models.with_posterior(_linear(spark, sf_dir, "lda"))
     return rounded(rows.select("token", "predicted_label", "margin", F.array_max("probability").alias("top_probability")), "margin", "top_probability")
@@ -291,13 +324,9 @@ def acquisition_balance(spark, sf_dir):
 
 
 def _balance(spark, sf_dir):
-    candidates = pool(spark, sf_dir)
-    arm = lambda df, name, tag: df.select(
-        F.lit(name).alias("strategy"), F.lit(B).alias("budget"), F.concat_ws("|", "grp", F.lit(tag)).alias("set_id"), "true_label"
-    )
-    sets = arm(selectors.class_balanced_margin(candidates, ["grp"], B), "class_balanced_margin", "balanced").unionByName(
-        arm(selectors.global_margin(candidates, ["grp"], B), "global_margin", "global")
-    )
+    both = selectors.margin_batches(pool(spark, sf_dir), ["grp"], B)
+    tag = F.when(F.col("strategy") == "global_margin", "global").otherwise("balanced")
+    sets = both.select("strategy", F.lit(B).alias("budget"), F.concat_ws("|", "grp", tag).alias("set_id"), "true_label")
     return metrics.acquisition_balance(sets, ["set_id"], ["strategy", "budget"], list(range(7)))
 
 

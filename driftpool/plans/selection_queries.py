@@ -37,15 +37,7 @@ SELECT strategy, participant, session, count(*) AS represented_classes,
   CAST(max(n) - CASE WHEN count(*) < 10 THEN 0 ELSE min(n) END AS BIGINT) AS count_range
 FROM counts GROUP BY ALL""")
 def flagship_balanced_margin(spark, sf_dir):
-    candidates = scored(spark, sf_dir)
-    arms = {
-        "class_balanced_margin": selectors.class_balanced_margin(candidates, CELL, B),
-        "global_margin": selectors.global_margin(candidates, CELL, B),
-    }
-    revealed = None
-    for strategy, picked in arms.items():
-        part = picked.select(F.lit(strategy).alias("strategy"), *CELL, "label")
-        revealed = part if revealed is None else revealed.unionByName(part)
+    revealed = selectors.margin_batches(scored(spark, sf_dir), CELL, B)
     return rounded(metrics.class_coverage(revealed, ["strategy", *CELL], LABELS, "label"), "normalized_entropy")
 
 

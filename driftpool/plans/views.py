@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftpool.functions import identity
+from driftpool.functions.staging import stage
 from driftpool.operators import models
 from driftpool.operators.protocol import assign_roles
 
@@ -52,7 +53,7 @@ TRIALS = """trials AS (
 def scored(spark: SparkSession, sf_dir: str, role: str = "candidate", features: bool = False) -> DataFrame:
     """Rows of one role scored by their participant's session-0 class centroids."""
     rows = trials(spark, sf_dir)
-    fitted = models.centroid_models(rows.filter("role = 'initial'"), ["participant"])
+    fitted = stage(models.centroid_models(rows.filter("role = 'initial'"), ["participant"]), "centroids")
     out = models.centroid_score(rows.filter(F.col("role") == role), fitted, ["participant"])
     return out if features else out.drop("embedding")
 
