@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from driftpool.functions import identity, vectors
+from driftpool.functions.ranking import largest_group
 from driftpool.functions.staging import stage
 from driftpool.operators.features import STD_FLOOR
 
@@ -84,7 +85,7 @@ def repetition_summaries(windows: DataFrame, token: str = "token") -> DataFrame:
 
 def _salted(history: DataFrame) -> DataFrame:
     """Spread fits with many rows over salts; the count runs on narrow history rows."""
-    sizes = history.groupBy("fit_id").agg(F.count("*").alias("_n"))
+    sizes = stage(history.groupBy("fit_id").agg(F.count("*").alias("_n")), "sizes")
     salts = F.least(F.ceil(F.col("_n") / ROWS_PER_SALT), F.lit(MAX_SALTS))
     return history.join(sizes, "fit_id").withColumn("salt", F.pmod(F.xxhash64("token"), salts).cast("int")).drop("_n")
 
@@ -127,8 +128,10 @@ def moments(history: DataFrame, windows: DataFrame, kind: str, pivot: Sequence[f
     names = _MATRICES[kind]
     center = np.asarray(pivot, dtype=float)
     order = ["fit_id", "salt", "fold", "label"]
+    history = history.select("fit_id", "token", "label", "fold")
+    salted = largest_group(history, ["fit_id"]) > ROWS_PER_SALT
     rows = (
-        _salted(history.select("fit_id", "token", "label", "fold"))
+        (_salted(history) if salted else history.withColumn("salt", F.lit(0)))
         .join(windows.select("token", "windows", "mask"), "token")
         .repartition("fit_id", "salt")
         .sortWithinPartitions(*order)
@@ -161,17 +164,50 @@ def moments(history: DataFrame, windows: DataFrame, kind: str, pivot: Sequence[f
         if current is not None:
             yield current.row((key[0], key[2], key[3], key[1]))
 
+    arrow_schema = _moment_arrow_schema()
+
+    def as_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in accumulate(batches):
+            yield pa.RecordBatch.from_pylist([record], schema=arrow_schema)
+
+    partial = rows.mapInArrow(as_batches, _MOMENT_SCHEMA)
+    return _merged(partial) if salted else partial
+
+
+def _moment_arrow_schema() -> pa.Schema:
     fields = {
         "fit_id": pa.string(), "fold": pa.int32(), "label": pa.int32(), "salt": pa.int32(), "repetitions": pa.int64(),
         "n": pa.int64(), **{name: pa.list_(pa.float64()) for name in ("m0", "m1", *_ALL)},
     }
-    arrow_schema = pa.schema(list(fields.items()))
+    return pa.schema(list(fields.items()))
 
-    def as_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in accumulate(batches):
-            yield pa.RecordBatch.from_pylist([record], schema=arrow_schema)
 
-    return rows.mapInArrow(as_batches, _MOMENT_SCHEMA)
+def _merged(partial: DataFrame) -> DataFrame:
+    """Sum the salts of each (fit, fold, label), one row in memory at a time, so that no solve sees salts."""
+    key = ["fit_id", "fold", "label"]
+    arrow_schema = _moment_arrow_schema()
+    summed = ["repetitions", "n", "m0", "m1", *_ALL]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                value = {name: row[name].as_py() for name in (*key, "repetitions", "n")} | {"salt": 0}
+                for name in ("m0", "m1", *_ALL):
+                    value[name] = row[name].values.to_numpy(zero_copy_only=False) if row[name].is_valid else None
+                if total is not None and all(total[k] == value[k] for k in key):
+                    for name in summed:
+                        if value[name] is not None:
+                            total[name] = total[name] + value[name]
+                    continue
+                if total is not None:
+                    yield pa.RecordBatch.from_pylist([total], schema=arrow_schema)
+                total = value
+        if total is not None:
+            yield pa.RecordBatch.from_pylist([total], schema=arrow_schema)
+
+    return partial.repartition(*key).sortWithinPartitions(*key).mapInArrow(add, _MOMENT_SCHEMA)
 
 
 def channel_pivot(windows: DataFrame) -> list[float]:
@@ -285,7 +321,7 @@ def _lda(by_class: dict, total: dict, norm: dict, alpha: float) -> tuple[np.ndar
 def solve(moment_rows: DataFrame, kind: str, pivot: Sequence[float], alpha: float = 1.0, zero_std: str = "floor", held_out: bool = False) -> DataFrame:
     """One model row per fit (``held_out_fold`` 0), plus one per held-out fold on request.
 
-    A group holds at most salts x folds x classes moment rows, whatever the history size.
+    A group holds at most folds x classes moment rows, whatever the history size.
     """
     center = np.asarray(pivot, dtype=float)
     names = _MATRICES[kind]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from driftpool.functions import identity
@@ -9,7 +11,7 @@ from driftpool.functions.staging import shared_dir, stage
 from driftpool.operators import compare, protocol, quality, selectors
 from driftpool.plans.registry import query, rounded
 from driftpool.plans.selection_queries import B, balanced_sql
-from driftpool.plans.views import FOLDS, LEVELS, POOL, PREDS, TRIALS, folds, pool, preds, table, trials
+from driftpool.plans.views import FOLDS, POOL, PREDS, TRIALS, folds, pool, preds, table, trials
 from driftpool.sources import contracts
 
 CELL = ["participant", "session"]
@@ -65,7 +67,7 @@ def reaggregated_counts(spark, sf_dir):
 
 @query(f"""WITH {FOLDS} SELECT strategy, budget, count(*) AS "rows", round(sum(value), 6) AS total FROM folds GROUP BY ALL""")
 def written_table(spark, sf_dir):
-    path = f"{shared_dir(spark)}/driftpool-folds-{abs(hash(sf_dir))}"
+    path = f"{shared_dir(spark)}/driftpool-written-{uuid.uuid4().hex}"
     contracts.write_table(folds(spark, sf_dir), path, "parquet", ["strategy"])
     back = spark.read.parquet(path)
     return rounded(back.groupBy("strategy", "budget").agg(F.count("*").alias("rows"), F.sum("value").alias("total")), "total")
@@ -497,17 +499,22 @@ def cell_counts(spark, sf_dir):
     return quality.cell_counts(rows, CELL, expected)
 
 
-@query(f"""WITH {TRIALS}, {SPLITS}, plan(strategy, query_budget, seed_index) AS (VALUES ('class_balanced_margin', 7, 0), ('uniform_random', 7, 1),
-  ('uniform_random', 7, 2), ('uniform_random', 7, 3), ('uniform_random', 14, 1), ('uniform_random', 14, 2), ('uniform_random', 14, 3))
-SELECT split_id || '|' || participant || '|' || strategy || '|' || query_budget || '|' || seed_index AS cell, 'missing' AS problem
-FROM (SELECT DISTINCT participant FROM trials), splits, plan WHERE participant = 'P02' AND seed_index = 2
-UNION ALL SELECT 'EXTRA|P01|none|0|0', 'unplanned'""")
+_PLANNED = [("error", 0), ("signup", 35), *[(s, b) for s in ("click", "purchase", "view") for b in (7, 14, 21)]]
+
+
+@query(f"""WITH {FOLDS}, plan(strategy, budget) AS (VALUES {', '.join(str(p) for p in _PLANNED)}),
+planned AS (SELECT participant, strategy, budget, CAST(seed_index AS INTEGER) AS seed_index FROM (SELECT DISTINCT participant FROM folds), plan, range(1, 31) u(seed_index)),
+observed AS (SELECT DISTINCT participant, strategy, budget, seed_index FROM folds)
+SELECT *, 'missing' AS problem FROM (SELECT * FROM planned EXCEPT SELECT * FROM observed)
+UNION ALL SELECT *, 'unplanned' FROM (SELECT * FROM observed EXCEPT SELECT * FROM planned)""")
 def grid_completeness(spark, sf_dir):
-    cell = F.concat_ws("|", "split_id", "participant", "strategy", "query_budget", "seed_index").alias("cell")
-    planned = _grid(spark, sf_dir)
-    done = planned.filter(~((F.col("participant") == "P02") & (F.col("seed_index") == 2))).select(cell)
-    extra = planned.filter("participant = 'P01'").select(F.lit("EXTRA|P01|none|0|0").alias("cell")).distinct()
-    return quality.grid_difference(planned.select(cell), done.unionByName(extra), ["cell"])
+    rows = folds(spark, sf_dir)
+    keys = ["participant", "strategy", "budget", "seed_index"]
+    cells = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(b).alias("budget")) for s, b in _PLANNED])
+    planned = rows.select("participant").distinct().select("participant", F.inline(cells)).withColumn(
+        "seed_index", F.explode(F.sequence(F.lit(1), F.lit(30)))
+    )
+    return quality.grid_difference(planned, rows.select(*keys).distinct(), keys)
 
 
 # -- comparisons ----------------------------------------------------------------------------------
@@ -532,14 +539,15 @@ def compare_selections(spark, sf_dir):
     return compare.compare_selections(*_two_runs(spark, sf_dir), ["grp"])
 
 
-@query(f"""WITH {PREDS} SELECT run_id, doc_id, CASE WHEN doc_id % 7 <> 0 THEN predicted_label END AS observed, CASE WHEN doc_id % 5 <> 0 THEN true_label END AS stored,
-  CASE WHEN doc_id % 5 = 0 THEN 'observed_only' WHEN doc_id % 7 = 0 THEN 'stored_only' ELSE 'both' END AS origin,
-  (CASE WHEN doc_id % 7 <> 0 THEN predicted_label END) IS NOT DISTINCT FROM (CASE WHEN doc_id % 5 <> 0 THEN true_label END) AS matches
-FROM preds WHERE doc_id % 5 <> 0 OR doc_id % 7 <> 0""")
+@query(f"""WITH {PREDS}, stored AS (SELECT CAST(doc_id % 6 AS INTEGER) AS run_id, doc_id, CAST(lang = 'en' AS INTEGER) AS v FROM documents)
+SELECT s.run_id, s.doc_id, p.true_label AS observed, s.v AS stored, CASE WHEN p.doc_id IS NULL THEN 'stored_only' ELSE 'both' END AS origin,
+  p.true_label IS NOT DISTINCT FROM s.v AS matches FROM stored s LEFT JOIN preds p USING (doc_id)""")
 def compare_predictions(spark, sf_dir):
-    rows = preds(spark, sf_dir)
-    left = rows.filter("doc_id % 7 <> 0").select("run_id", "doc_id", "predicted_label")
-    right = rows.filter("doc_id % 5 <> 0").select("run_id", "doc_id", F.col("true_label").alias("predicted_label"))
+    """Labels as one run, the language of every document as the other; unlabelled documents are on one side only."""
+    left = preds(spark, sf_dir).select("run_id", "doc_id", F.col("true_label").alias("predicted_label"))
+    right = table(spark, sf_dir, "documents").select(
+        (F.col("doc_id") % 6).cast("int").alias("run_id"), "doc_id", (F.col("lang") == "en").cast("int").alias("predicted_label")
+    )
     return compare.compare_predictions(left, right, ["run_id", "doc_id"])
 
 
