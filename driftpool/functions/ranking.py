@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from driftpool.functions.staging import stage
+
 #: Largest group that may be ranked inside one window partition.
 WINDOW_ROWS = 1_000_000
 #: Largest group whose values may be held by one exact percentile buffer.
 PERCENTILE_ROWS = 200_000
-#: Order-preserving buckets a large group is cut into.
-BUCKETS = 512
+#: Most order-preserving buckets a large group is cut into.
+MAX_BUCKETS = 4_096
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
@@ -58,15 +61,27 @@ def position_by_token(df: DataFrame, keys: Sequence[str], token: str, out: str =
     return _offset_rank(bucketed, keys, [F.col(token)], "_bucket", out)
 
 
-def _value_bucket(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Add ``_bucket``: monotone in ``value``, about ``BUCKETS`` even cells per group."""
-    cuts = [i / BUCKETS for i in range(1, BUCKETS)]
-    bounds = df.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx(value, cuts, 10_000)).alias("_bounds")
-    )
-    joined = df.join(bounds, list(keys)) if keys else df.join(bounds.hint("broadcast"))
-    below = F.size(F.filter("_bounds", lambda bound: bound < F.col(value)))
-    return joined.withColumn("_bucket", below).drop("_bounds")
+def _value_bucket(df: DataFrame, keys: Sequence[str], value: str, limit: int, largest: int) -> DataFrame:
+    """Add ``_bucket``, monotone in ``value``: about even cells for groups above ``limit`` rows, 0 elsewhere.
+
+    Bounds come from a quantile sketch of the large groups only (at most rows /
+    limit of them). A row finds its cell in two short scans, coarse then fine.
+    """
+    keys = list(keys)
+    buckets = min(MAX_BUCKETS, max(8, 4 * math.ceil(largest / limit)))
+    step = math.isqrt(buckets)
+    cuts = [i / buckets for i in range(1, buckets)]
+    sketch = F.array_distinct(F.percentile_approx(value, cuts, 10_000)).alias("_bounds")
+    if keys:
+        large = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys), "large")
+        bounds = df.join(large, keys, "left_semi").groupBy(*keys).agg(sketch)
+    else:
+        bounds = df.agg(sketch)
+    bounds = stage(bounds.withColumn("_coarse", F.expr(f"filter(_bounds, (b, i) -> (i + 1) % {step} = 0)")), "bounds")
+    joined = df.join(bounds, keys, "left") if keys else df.join(F.broadcast(bounds))  # without keys: one row
+    passed = F.size(F.filter("_coarse", lambda bound: bound < F.col(value))) * step
+    here = F.size(F.filter(F.slice("_bounds", passed + 1, F.lit(step)), lambda bound: bound < F.col(value)))
+    return joined.withColumn("_bucket", F.when(F.col("_bounds").isNull(), 0).otherwise(passed + here)).drop("_bounds", "_coarse")
 
 
 def position_in_order(
@@ -75,13 +90,14 @@ def position_in_order(
 ) -> DataFrame:
     """1-based position of every row by ``value`` then ``ties``.
 
-    Groups up to ``window_rows`` use one window; beyond it every group is cut at
+    Groups up to ``window_rows`` use one window; a larger one is cut at
     approximate quantiles and positions are rebuilt from bucket offsets.
     """
     order = [F.col(value), *ties]
-    if largest_group(df, keys) <= window_rows:
+    largest = largest_group(df, keys)
+    if largest <= window_rows:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return _offset_rank(_value_bucket(df, keys, value), keys, order, "_bucket", out)
+    return _offset_rank(_value_bucket(df, keys, value, window_rows, largest), keys, order, "_bucket", out)
 
 
 def exact_quantiles(
@@ -91,11 +107,12 @@ def exact_quantiles(
     """Linearly interpolated quantiles per group as one array column."""
     df = df.select(*keys, value).filter(F.col(value).isNotNull())
     probabilities = [float(p) for p in probabilities]
-    if largest_group(df, keys) <= group_rows:
+    largest = largest_group(df, keys)
+    if largest <= group_rows:
         literal = F.array(*[F.lit(p) for p in probabilities])
         return df.groupBy(*keys).agg(F.percentile(value, literal).alias(out))
     # Only the buckets that hold a wanted rank are ever ranked.
-    bucketed = _value_bucket(df, keys, value)
+    bucketed = _value_bucket(df, keys, value, group_rows, largest)
     cells = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(

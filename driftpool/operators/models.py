@@ -423,13 +423,11 @@ def centroid_models(labelled: DataFrame, keys: Sequence[str], label: str = "labe
     """
     cells = labelled.select(*keys, F.col(label).alias("_l"), F.posexplode(embedding).alias("_c", "_v"))
     means = cells.groupBy(*keys, "_l", "_c").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
-    vector = means.groupBy(*keys, "_l").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_c", "_m"))), lambda p: p["_m"]).alias("_centroid")
-    )
-    packed = F.array_sort(F.collect_list(F.struct("_l", "_centroid")))
-    grouped = vector.groupBy(*keys).agg(packed.alias("_p")) if keys else vector.agg(packed.alias("_p"))
+    packed = F.array_sort(F.collect_list(F.struct("_l", "_c", "_m")))  # classes x channels values
+    grouped = (means.groupBy(*keys) if keys else means).agg(packed.alias("_p"))
+    grouped = grouped.withColumn("classes", F.expr("array_distinct(transform(_p, p -> p._l))"))
     return grouped.select(
-        *keys, F.transform("_p", lambda p: p["_l"]).alias("classes"), F.transform("_p", lambda p: p["_centroid"]).alias("centroids")
+        *keys, "classes", F.expr("transform(classes, k -> transform(filter(_p, p -> p._l = k), p -> p._m))").alias("centroids")
     )
 
 

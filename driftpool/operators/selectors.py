@@ -10,7 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from driftpool.functions import identity, vectors
 from driftpool.functions.ranking import largest_group, position_by_token, top_per_group
@@ -22,6 +25,9 @@ SELECTOR_COLUMNS = ["opaque_candidate_token", "predicted_label", "margin"]
 SEQUENTIAL_ROWS = 50_000
 #: History rows packed into one block for the distance to history.
 ANCHOR_BLOCK = 256
+#: Candidate x history pairs of one group measured inside rows; larger groups use matrix chunks.
+ROW_PAIRS = 1_000_000
+CANDIDATE_CHUNK, HISTORY_CHUNK = 20_000, 5_000
 
 
 def class_balanced_margin(
@@ -119,31 +125,71 @@ def true_class_balanced(
 
 def distance_to_history(
     pool: DataFrame, history: DataFrame, keys: Sequence[str], token: str = "token", embedding: str = "embedding",
-    out: str = "history_distance",
+    out: str = "history_distance", row_pairs: int = ROW_PAIRS,
 ) -> DataFrame:
     """Smallest Euclidean distance of each candidate to its group's history.
 
-    History is packed into blocks, so a candidate meets a few block rows and
-    never one row per history member; the minimum is taken inside the row.
+    Small groups take the minimum inside the row, against history packed into
+    blocks. Where a group would cost more than ``row_pairs`` distances, chunks of
+    candidates meet blocks of history as two matrices. No pair is ever a row.
     """
-    sizes = history.groupBy(*keys).agg(F.count("*").alias("_n"))
+    keys = list(keys)
+    counts = lambda df, name: stage(df.groupBy(*keys).agg(F.count("*").alias(name)), "sizes")
+    sizes = counts(history, "_h")
+    if largest_group(pool, keys) * (sizes.agg(F.max("_h")).first()[0] or 0) > row_pairs:
+        reduced = _chunked_distance(pool, history, keys, token, embedding, counts(pool, "_p").join(sizes, keys), out)
+        return pool.join(reduced, [*keys, token])
     packed = (
         history.select(*keys, F.col(token).alias("_t"), F.col(embedding).cast("array<double>").alias("_e"))
-        .join(sizes, list(keys))
-        .withColumn("_block", F.pmod(F.xxhash64("_t"), F.ceil(F.col("_n") / ANCHOR_BLOCK)))
+        .join(sizes, keys)
+        .withColumn("_block", F.pmod(F.xxhash64("_t"), F.ceil(F.col("_h") / ANCHOR_BLOCK)))
         .groupBy(*keys, "_block")
         .agg(F.collect_list("_e").alias("_anchors"))
     )
     packed = stage(packed, "anchors")
     point = F.col(embedding).cast("array<double>")
     nearest = F.array_min(F.transform("_anchors", lambda anchor: vectors.squared_distance(anchor, point)))
-    met = pool.join(packed, list(keys))
+    met = pool.join(packed, keys)
     if largest_group(packed, keys) <= 1:
         return met.withColumn(out, F.sqrt(nearest)).drop("_anchors", "_block")
     reduced = met.select(*keys, token, nearest.alias("_d")).groupBy(*keys, token).agg(F.sqrt(F.min("_d")).alias(out))
     return pool.join(reduced, [*keys, token])
 
 
+def _chunked_distance(
+    pool: DataFrame, history: DataFrame, keys: list[str], token: str, embedding: str, sizes: DataFrame, out: str
+) -> DataFrame:
+    """Chunks of a group's candidates against blocks of its history, one matrix product each."""
+    sizes = stage(sizes.select(
+        *keys, F.ceil(F.col("_p") / CANDIDATE_CHUNK).cast("int").alias("_chunks"), F.ceil(F.col("_h") / HISTORY_CHUNK).cast("int").alias("_blocks")
+    ), "chunks")
+    vector = F.col(embedding).cast("array<double>").alias("_e")
+    cell = [*keys, "_chunk", "_block"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spread = lambda n: F.pmod(F.xxhash64("_t"), F.col(n)).cast("int")
+    left = pool.select(*keys, F.col(token).alias("_t"), vector).join(sizes, keys).select(
+        *keys, spread("_chunks").alias("_chunk"), every("_blocks").alias("_block"), "_t", "_e")
+    right = history.select(*keys, F.col(token).alias("_t"), vector).join(sizes, keys).select(
+        *keys, every("_chunks").alias("_chunk"), spread("_blocks").alias("_block"), "_e")
+
+    def nearest(candidates: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
+        result = candidates[[*keys, "_t"]].copy()
+        if not len(candidates) or not len(anchors):
+            return result.iloc[:0].assign(_d=pd.Series(dtype=float))
+        x, a = np.vstack(candidates["_e"].to_numpy()), np.vstack(anchors["_e"].to_numpy())
+        best = np.empty(len(x))
+        for start in range(0, len(x), 2_000):
+            part = x[start:start + 2_000]
+            square = (part**2).sum(axis=1)[:, None] + (a**2).sum(axis=1)[None, :] - 2.0 * part @ a.T
+            best[start:start + 2_000] = square.min(axis=1)
+        result["_d"] = np.maximum(best, 0.0)
+        return result
+
+    schema = StructType([*[pool.schema[k] for k in keys], StructField("_t", StringType()), StructField("_d", DoubleType())])
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(nearest, schema)
+    return found.groupBy(*keys, F.col("_t").alias(token)).agg(F.sqrt(F.min("_d")).alias(out))
+
+
 # -- sequential selectors ----------------------------------------------------------
 
 
@@ -235,24 +281,26 @@ def _in_rounds(state: DataFrame, keys: list[str], steps: int, rule: _Rule) -> Da
 
 
 def _sequential(
-    state: DataFrame, keys: Sequence[str], steps: int, rule: _Rule, token: str, pool: DataFrame, sequential_rows: int
+    pool: DataFrame, measure: Callable[[DataFrame], DataFrame], keys: Sequence[str], steps: int, rule: _Rule, token: str,
+    sequential_rows: int,
 ) -> DataFrame:
     """Pick in one exchange where groups fit a task, in rounds where they do not.
 
-    Group sizes are counted on the key columns of the input ``pool``.
+    Group sizes are counted on the key columns; ``measure`` turns a part of the
+    pool into rows (keys, token, ``_e``, ``_d``, ...).
     """
     keys = list(keys)
-    state = state.withColumnRenamed(token, "_token")
+    state = lambda part: measure(part).withColumnRenamed(token, "_token")
     if largest_group(pool, keys) <= sequential_rows:
-        picked = _in_one_exchange(state, keys, steps, rule)
+        picked = _in_one_exchange(state(pool), keys, steps, rule)
     elif not keys:
-        picked = _in_rounds(state, keys, steps, rule)
+        picked = _in_rounds(state(pool), keys, steps, rule)
     else:
         # At most rows / sequential_rows groups are large.
         large = pool.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > sequential_rows)
         large = stage(large.select(*keys), "large")
-        picked = _in_one_exchange(state.join(large, keys, "left_anti"), keys, steps, rule).unionByName(
-            _in_rounds(state.join(large, keys, "left_semi"), keys, steps, rule)
+        picked = _in_one_exchange(state(pool.join(large, keys, "left_anti")), keys, steps, rule).unionByName(
+            _in_rounds(state(pool.join(large, keys, "left_semi")), keys, steps, rule)
         )
     return picked.withColumnRenamed("_token", token)
 
@@ -262,9 +310,11 @@ def core_set(
     embedding: str = "embedding", sequential_rows: int = SEQUENTIAL_ROWS,
 ) -> DataFrame:
     """Farthest-first from history and picks; ties by token."""
-    measured = distance_to_history(pool, history, keys, token, embedding, "_d")
-    state = measured.select(*keys, token, F.col(embedding).cast("array<double>").alias("_e"), "_d")
-    return _sequential(state, keys, batch_size, _core_set_rule(), token, pool, sequential_rows)
+    def measure(part: DataFrame) -> DataFrame:
+        measured = distance_to_history(part, history, keys, token, embedding, "_d")
+        return measured.select(*keys, token, F.col(embedding).cast("array<double>").alias("_e"), "_d")
+
+    return _sequential(pool, measure, keys, batch_size, _core_set_rule(), token, sequential_rows)
 
 
 def ranked_batch(
@@ -272,18 +322,18 @@ def ranked_batch(
     token: str = "token", margin: str = "margin", embedding: str = "embedding", sequential_rows: int = SEQUENTIAL_ROWS,
 ) -> DataFrame:
     """Half scaled uncertainty, half scaled novelty; novelty is measured anew after each pick."""
-    measured = distance_to_history(pool, history, keys, token, embedding, "_d")
-    scale = measured.groupBy(*keys).agg(F.min(margin).alias("_m0"), F.max(margin).alias("_m1"))
     seed = {"_seed": tie_seed} if isinstance(tie_seed, Column) else {}
-    state = (
-        measured.withColumns(seed).join(scale, list(keys))
-        .select(
+
+    def measure(part: DataFrame) -> DataFrame:
+        measured = distance_to_history(part, history, keys, token, embedding, "_d").withColumns(seed)
+        scale = stage(part.groupBy(*keys).agg(F.min(margin).alias("_m0"), F.max(margin).alias("_m1")), "scale")
+        return measured.join(scale, list(keys)).select(
             *keys, token, F.col(embedding).cast("array<double>").alias("_e"), "_d", *seed,
             (1.0 - _minmax(F.col(margin), F.col("_m0"), F.col("_m1"))).alias("_u"),
         )
-    )
+
     rule = _ranked_batch_rule(F.col("_seed") if seed else tie_seed)
-    return _sequential(state, keys, batch_size, rule, token, pool, sequential_rows)
+    return _sequential(pool, measure, keys, batch_size, rule, token, sequential_rows)
 
 
 def squared_distance_seeding(
@@ -292,11 +342,14 @@ def squared_distance_seeding(
 ) -> DataFrame:
     """k-means++ seeding: first pick uniform, then with weight squared distance to the picks."""
     extra = {"_seed": seed} if isinstance(seed, Column) else {}
-    state = pool.withColumns(extra).select(
-        *keys, token, F.col(embedding).cast("array<double>").alias("_e"), F.lit(float("inf")).alias("_d"), *extra
-    )
+
+    def measure(part: DataFrame) -> DataFrame:
+        return part.withColumns(extra).select(
+            *keys, token, F.col(embedding).cast("array<double>").alias("_e"), F.lit(float("inf")).alias("_d"), *extra
+        )
+
     rule = _squared_weight_rule(F.col("_seed") if extra else seed)
-    return _sequential(state, keys, batch_size, rule, token, pool, sequential_rows)
+    return _sequential(pool, measure, keys, batch_size, rule, token, sequential_rows)
 
 
 # -- audits, reveal, checks ----------------------------------------------------------

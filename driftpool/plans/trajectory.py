@@ -84,8 +84,9 @@ class Experiment:
         """
         distinct, fits = models.distinct_fits(history)
         if self.model == "centroid":
-            fitted = models.centroid_models(distinct.join(self.features, "token"), ["fit_id"])
-        elif self.model == "ridge" and self.wants("probability"):
+            fitted = models.centroid_models(distinct.join(self.features, "token"), ["fit_id", "participant"])
+            return stage(fitted, "models"), fits
+        if self.model == "ridge" and self.wants("probability"):
             folded = protocol.stratified_folds(distinct, ["fit_id"], self.folds, order="token")
             folded = stage(folded.select("fit_id", "token", "label", "fold"), "folds")
             full, scored = models.out_of_fold_scores(folded, self.windows, pivot=self.pivot)

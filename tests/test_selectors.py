@@ -189,10 +189,13 @@ def test_squared_distance_law(spark):
     assert abs(given.reindex([1, 2, 3], fill_value=0) - expected).max() < 0.06
 
 
-def test_distance_to_history_in_several_blocks(spark, monkeypatch):
-    monkeypatch.setattr(selectors, "ANCHOR_BLOCK", 2)
+@pytest.mark.parametrize("pairs", [selectors.ROW_PAIRS, 0])
+def test_distance_to_history_in_several_blocks(spark, monkeypatch, pairs):
+    """Zero pairs forces the matrix chunks used for large groups."""
+    for name, size in (("ANCHOR_BLOCK", 2), ("CANDIDATE_CHUNK", 7), ("HISTORY_CHUNK", 2)):
+        monkeypatch.setattr(selectors, name, size)
     pool, history, p, h = clouds(spark)
-    found = {r.token: r.history_distance for r in selectors.distance_to_history(p, h, ["g"]).collect()}
+    found = {r.token: r.history_distance for r in selectors.distance_to_history(p, h, ["g"], row_pairs=pairs).collect()}
     for g, t, _, e in pool:
         assert found[t] == pytest.approx(min(np.linalg.norm(np.array(e) - np.array(a[2])) for a in history if a[0] == g))
 
