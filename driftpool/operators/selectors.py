@@ -169,8 +169,11 @@ def _chunked_distance(
     spread = lambda n: F.pmod(F.xxhash64("_t"), F.col(n)).cast("int")
     left = pool.select(*keys, F.col(token).alias("_t"), vector).join(sizes, keys).select(
         *keys, spread("_chunks").alias("_chunk"), every("_blocks").alias("_block"), "_t", "_e")
+    # Fresh names on this side: pool and history may come from one table.
+    named = [f"_history_{k}" for k in keys]
     right = history.select(*keys, F.col(token).alias("_t"), vector).join(sizes, keys).select(
-        *keys, every("_chunks").alias("_chunk"), spread("_blocks").alias("_block"), "_e")
+        *[F.col(k).alias(n) for k, n in zip(keys, named)], every("_chunks").alias("_chunk"), spread("_blocks").alias("_block"),
+        F.col("_e"))
 
     def nearest(candidates: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
         result = candidates[[*keys, "_t"]].copy()
@@ -186,7 +189,7 @@ def _chunked_distance(
         return result
 
     schema = StructType([*[pool.schema[k] for k in keys], StructField("_t", StringType()), StructField("_d", DoubleType())])
-    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(nearest, schema)
+    found = left.groupBy(*cell).cogroup(right.groupBy(*named, "_chunk", "_block")).applyInPandas(nearest, schema)
     return found.groupBy(*keys, F.col("_t").alias(token)).agg(F.sqrt(F.min("_d")).alias(out))
 
 

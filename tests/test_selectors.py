@@ -198,6 +198,8 @@ def test_distance_to_history_in_several_blocks(spark, monkeypatch, pairs):
     found = {r.token: r.history_distance for r in selectors.distance_to_history(p, h, ["g"], row_pairs=pairs).collect()}
     for g, t, _, e in pool:
         assert found[t] == pytest.approx(min(np.linalg.norm(np.array(e) - np.array(a[2])) for a in history if a[0] == g))
+    own = selectors.distance_to_history(p, p.filter(F.col("margin") < 0.5).select("g", "token", "embedding"), ["g"], row_pairs=pairs)
+    assert own.filter((F.col("margin") < 0.5) & (F.col("history_distance") > 1e-6)).count() == 0
 
 
 def test_full_pool_covers_everything_in_token_order(spark):
