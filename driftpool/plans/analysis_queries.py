@@ -8,7 +8,7 @@ from driftpool.operators import drift, features, inference, metrics, models, pro
 from driftpool.plans.registry import query, rounded
 from driftpool.plans.selection_queries import B, balanced_sql, windowed
 from driftpool.plans.views import (
-    BASE, BUDGETS, COMPARATORS, FOLDS, FULL, LABELS, LEVELS, POOL, PREDS, PROPOSED, SIGNALS, TRIALS, folds, pool, preds, scored,
+    BASE, COMPARATORS, FOLDS, FULL, LABELS, LEVELS, POOL, PREDS, PROPOSED, SIGNALS, TRIALS, folds, pool, preds, scored,
     scored_sql, signals, table, trials,
 )
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftpool.functions import identity, vectors
-from driftpool.operators import features, metrics, models, selectors
+from driftpool.functions import vectors
+from driftpool.operators import metrics, selectors
 from driftpool.plans import trajectory
-from driftpool.plans.registry import query, round_array, rounded
+from driftpool.plans.registry import query, rounded
 from driftpool.plans.views import LABELS, POOL, TRIALS, pool, scored, scored_sql, trials
 
 B = 7

@@ -3,7 +3,6 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from driftpool.operators import inference
 
