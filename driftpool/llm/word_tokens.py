@@ -8,18 +8,17 @@ from __future__ import annotations
 
 import json
 import os
-import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks and words that a worker keeps; beyond it starts anew.
-KEPT = 400_000
+#: Words that a worker keeps; beyond it starts anew.
+KEPT = 600_000
 #: Words that one call of the library gets.
 CALL_WORDS = 2_000
-# Letters that every step (composition, lower case, split) treats one by one, then at most one sign.
-_PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+# Letters that every step (composition, lower case, split) treats one by one, then signs that make one run.
+_PLAIN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -46,53 +45,57 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.places: dict[str, int] = {}
-        self.words: dict[str, np.ndarray] = {}
-        self.parts: list[np.ndarray] = []
-
-    def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _encode_words(self, words: list[str]) -> None:
-        """Plain words, many in a call; the ids that end a word tell them apart."""
-        for at in range(0, len(words), CALL_WORDS):
-            some = words[at : at + CALL_WORDS]
-            ids = self._library([" ".join(some)])[0]
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(some):
-                self.words.update(zip(some, np.split(ids, stops[:-1]), strict=True))
-            else:
-                self.words.update(zip(some, self._library(some), strict=True))
-
-    def _add(self, chunks: list[str]) -> None:
-        plain = [_PLAIN.fullmatch(c) for c in chunks]
-        needed = {part for m in plain if m for part in (m[1].lower(), m[2]) if part}
-        self._encode_words([w for w in needed if w not in self.words])
-        rest = iter(self._library([c for c, m in zip(chunks, plain, strict=True) if not m]))
-        for chunk, m in zip(chunks, plain, strict=True):
-            ids = next(rest) if m is None else self.words[m[1].lower()]
-            if m and m[2]:
-                ids = np.concatenate([ids, self.words[m[2]]])
-            self.places[chunk] = len(self.parts)
-            self.parts.append(ids)
+        self.sizes = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
+
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for x in ids for i in x), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words, many in one text; the ids that end a word tell them apart."""
+        ids = self._library([" ".join(words)])[0]
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.diff(stops, prepend=0)) if len(stops) == len(words) else self._library(words)
+
+    def _places(self, chunks: pa.Array, plain: bool) -> np.ndarray:
+        """Where the ids of each chunk are kept; encodes those that are new."""
+        coded = chunks.dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        new = [x for x in names if x not in self.places]
+        found = []
+        for at in range(0, len(new), CALL_WORDS):
+            some = new[at : at + CALL_WORDS]
+            found.append(self._words(some) if plain else self._library(some))
+        if found:
+            self.places.update(zip(new, range(len(self.sizes), len(self.sizes) + len(new)), strict=True))
+            self.flat = np.concatenate([self.flat, *(ids for ids, _ in found)])
+            self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in found)])
+        at = np.fromiter(map(self.places.__getitem__, names), np.int64, len(names))
+        return at[coded.indices.to_numpy(zero_copy_only=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and where each text's ids start (one more entry than texts)."""
+        if len(self.places) > KEPT:
+            self._clear()
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = split.flatten().dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        if len(self.parts) > KEPT or len(self.words) > KEPT:
-            self._clear()
-        self._add([c for c in chunks if c not in self.places])
-        own = [self.parts[self.places[c]] for c in chunks]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate([np.zeros(0, np.uint32), *own])
-        starts = np.cumsum(sizes) - sizes
-        at = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[at]
+        parts = pc.extract_regex(coded.dictionary, _PLAIN)
+        plain = parts.is_valid().to_numpy(zero_copy_only=False)
+        places = np.empty((len(plain), 2), np.int64)  # a chunk is a word and the signs after it
+        places[~plain, 0] = self._places(coded.dictionary.filter(parts.is_null()), False)
+        places[~plain, 1] = self._places(pa.array([""]), False)[0]
+        word, signs = parts.drop_null().flatten()
+        places[plain, 0] = self._places(pc.utf8_lower(word), True)
+        places[plain, 1] = self._places(signs, False)
+        at = places[coded.indices.to_numpy(zero_copy_only=False)].ravel()
+        starts = np.cumsum(self.sizes) - self.sizes
+        lengths = self.sizes[at]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
-        ids = flat[np.arange(total) + np.repeat(starts[at] - (ends - lengths), lengths)]
-        bounds = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        ids = self.flat[np.arange(total) + np.repeat(starts[at] - (ends - lengths), lengths)]
+        bounds = 2 * (split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py())
         return ids, np.concatenate([[0], ends])[bounds]
 
 
