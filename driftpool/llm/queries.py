@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftpool.llm import bpe, language_id, line_dedup, merkle, packing, suffix_dedup, token_files
+from driftpool.llm import bpe, jaccard_join, language_id, line_dedup, merkle, packing, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -76,6 +76,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents and the links of each."""
+    found = jaccard_join.near_groups(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "same_id", "n_links")
+
+
 @query("""
 WITH lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
