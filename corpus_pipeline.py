@@ -5,20 +5,40 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftpool.llm import line_dedup, packing
+from driftpool.llm import jaccard_join, language_id, line_dedup, packing, suffix_dedup
 from driftpool.llm.common import written
 
 
+def know_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is sure; learned from the labelled documents among them."""
+    return language_id.accepted(docs, language_id.train(docs))
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds go."""
     return line_dedup.kept_lines(docs, line_dedup.keep_bitmaps(docs))
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each near-duplicate group."""
+    return jaccard_join.one_of_each(docs)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur again go."""
+    return suffix_dedup.without_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows, as digests of their pieces."""
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
-STAGES = [("line dedup", drop_lines), ("packing", pack)]
+STAGES = [
+    ("language ID", know_languages), ("line dedup", drop_lines), ("n-gram Jaccard join", drop_near_copies),
+    ("suffix-array dedup", drop_repeats), ("packing", pack),
+]
 #: Language, near-duplicate links and token ids have no SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftpool.llm import bpe, jaccard_join, language_id, line_dedup, merkle, packing, suffix_dedup, token_files
+from driftpool.llm import bit_search, bpe, jaccard_join, language_id, line_dedup, merkle, packing, suffix_dedup, token_files, url_templates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,21 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+@query()
+def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page by rules, else by its template. A page is labelled if its path ends in the number of a labelled document."""
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    path = url_templates.host_and_path(F.col("url"))[1]
+    number = F.regexp_extract(path, "/([0-9]{1,18})(?:[.]html|/)?$", 1).try_cast("long")
+    good = F.expr("quality = 1 AND toxic = 0")
+    known = pages.select("page_id", number.alias("doc_id")).join(labels.select("doc_id", good.alias("good")), "doc_id").select("page_id", "good")
+    found = url_templates.judge(pages, known, RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "judged_by", F.round("score", 9).alias("score"))
+
+
 @query()
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, written as framed records and read back."""
@@ -76,6 +91,13 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op8_bit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return bit_search.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 @query()
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents and the links of each."""
