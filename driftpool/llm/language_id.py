@@ -109,14 +109,14 @@ def accepted(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -
     """Rows of ``docs`` whose language is sure, with all their columns; order and repeats as given."""
     prepare(docs.sparkSession)
 
-    @F.pandas_udf("boolean")
-    def sure(texts: Iterator) -> Iterator:
-        classifier = Classifier(model) if model else None
-        for batch in texts:
-            letters = pc.match_substring_regex(pa.array(batch), r"\p{L}").to_pylist()
-            yield batch.__class__([bool(known and classifier and classifier.judge(t)[1] >= margin) for t, known in zip(batch, letters, strict=True)], dtype=bool)
+    ready: list[Classifier | None] = []  # one in each worker
 
-    import pandas as pd
+    @F.pandas_udf("boolean")
+    def sure(texts):
+        if not ready:
+            ready.append(Classifier(model) if model else None)
+        letters = pc.match_substring_regex(pa.array(texts, pa.string()), r"\p{L}").to_pylist()
+        found = [bool(known and ready[0] and ready[0].judge(t)[1] >= margin) for t, known in zip(texts, letters, strict=True)]
+        return texts.__class__(found, dtype=bool)
 
-    sure.func.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return docs.filter(sure(whole_text()))
