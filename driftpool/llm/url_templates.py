@@ -2,9 +2,8 @@
 
 A path's segments are nodes of a tree below its host. Runs of digits become ``#`` and long hexadecimal strings ``%``;
 where a node has many different branches, all but the frequent ones become ``*``. Labelled pages give every node a
-count and a share of good pages. From the host downwards a branch is merged with the node above unless its share
-differs significantly, and a template is rejected if the smoothed share of the node it ends in is too low. Rules go
-before all that. Everything is DataFrame operations: counts are combined before each exchange, so a host with a third
+count and a share of good pages. Branches of one node whose smoothed shares fall into the same band are merged, and from
+the host downwards a branch is merged with what is above it unless its share differs significantly. A template is rejected if the smoothed share of the branch that it belongs to is too low. Rules go before all that. Everything is DataFrame operations: counts are combined before each exchange, so a host with a third
 of the pages costs one row per node and task.
 """
 
@@ -20,6 +19,8 @@ BRANCHES = 32
 PRIOR = 10.0
 #: Least smoothed share of good pages of a template that is let through.
 PURITY = 0.5
+#: Bands of the share of good pages, from 0 to 1.
+BANDS = 10
 #: Standard errors by which a branch must differ from the node above to stand alone.
 SIGNIFICANT = 2.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,7 +90,7 @@ def judge(
     pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = (), branches: int = BRANCHES, prior: float = PRIOR, purity: float = PURITY,
     significant: float = SIGNIFICANT,
 ) -> DataFrame:
-    """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``template``, ``judged_by`` (the node) and ``score`` of each row of ``pages``.
+    """``page_id``, ``host``, ``path``, ``rule``, ``verdict``, ``template``, ``judged_by`` (the merged branch) and ``score`` of each row of ``pages``.
 
     ``labels`` has ``page_id`` and ``good`` (boolean) for some pages; null or absent labels count for nothing, and of
     repeated labels every one counts. A null URL or one without ``://`` has an empty host, path and template. Repeated rows are judged each; a
@@ -101,13 +102,21 @@ def judge(
     known = rows.join(labelled, F.col("page_id") == F.col("of"), "left").groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("good").alias("n_labelled"), F.count_if("good").alias("n_good"),
     )
-    total = known.agg(F.coalesce(F.sum("n_good") / F.sum("n_labelled"), F.lit(1.0)).alias("base"))
+    total = known.agg(F.coalesce(F.try_divide(F.sum("n_good"), F.sum("n_labelled")), F.lit(1.0)).alias("base"))
     trees = templates(known.select("host", "shape", "n"), branches)
     nodes = trees.join(known, ["host", "shape"]).select("host", "shape", "n_labelled", "n_good", F.posexplode("nodes").alias("depth", "node"))
     stats = nodes.groupBy("host", "depth", "node").agg(F.sum("n_labelled").cast("double").alias("n"), F.sum("n_good").cast("double").alias("good"))
+    stats = stats.crossJoin(F.broadcast(total)).select(  # one row
+        "host", "depth", "node", "n", "good", F.when(F.col("depth") == 0, "").otherwise(F.regexp_replace("node", "/[^/]*$", "")).alias("above"),
+        F.floor(BANDS * (F.col("good") + F.col("base")) / (F.col("n") + 1)).cast("int").alias("band"),
+    )
+    alike = stats.groupBy("host", "depth", "above", "band").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    stats = stats.drop("n", "good").join(alike, ["host", "depth", "above", "band"]).select(
+        "host", "depth", "node", F.when(F.col("depth") == 0, "").otherwise(F.concat("above", F.lit("/~"), "band")).alias("branch"), "n", "good",
+    )
     chains = trees.withColumn("template", F.element_at("nodes", -1)).groupBy("host", "template").agg(F.first("nodes").alias("nodes"))
     steps = chains.select("host", "template", F.posexplode("nodes").alias("depth", "node")).join(stats, ["host", "depth", "node"])
-    chain = F.transform(F.array_sort(F.collect_list(F.struct("depth", "node", "n", "good"))), lambda x: F.struct(x["node"].alias("node"), x["n"].alias("n"), x["good"].alias("good")))
+    chain = F.transform(F.array_sort(F.collect_list(F.struct("depth", "branch", "n", "good"))), lambda x: F.struct(x["branch"].alias("node"), x["n"].alias("n"), x["good"].alias("good")))
     judged = steps.groupBy("host", "template").agg(chain.alias("chain")).crossJoin(F.broadcast(total))  # one row
     judged = judged.withColumn("by", _fold(F.col("base"), significant))
     judged = judged.select("host", "template", F.col("by.node").alias("judged_by"), ((F.col("by.good") + F.col("base") * prior) / (F.col("by.n") + prior)).alias("score"))
