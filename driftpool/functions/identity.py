@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Token length, seed modulus and the pattern of an opaque token.
 TOKEN_CHARS = 24
 SEED_MODULUS = 2_000_000_000
 TOKEN_PATTERN = "^[0-9a-f]{24}$"
 
-#: Histories up to this size are fingerprinted as one joined token string.
-FINGERPRINT_TOKENS = 4096
-
 # Training seeds by participant, index 0 to 5.
 TRAINING_SEEDS = {
     "P01": [618490612, 1207316626, 1718339452, 901025671, 1928051441, 514154804],
@@ -100,9 +97,8 @@ def history_fingerprint(
 ) -> DataFrame:
     """Order-free SHA-256 of each group's key and distinct tokens.
 
-    Up to ``FINGERPRINT_TOKENS`` tokens the payload is ``key|token|token...`` in
-    token order. A larger history is hashed per token prefix first, so no task
-    ever holds a whole hot group.
+    Tokens are hashed per prefix first, and the payload is the key and the prefixes'
+    digests in order, so no task ever holds a whole hot group. One rule for all sizes.
     """
     parts = (
         history.select(*keys, token, *([base.alias("_base")] if base is not None else []))
@@ -111,9 +107,7 @@ def history_fingerprint(
         .groupBy(*keys, "_bucket", *(["_base"] if base is not None else []))
         .agg(F.array_join(F.array_sort(F.collect_list(token)), "|").alias("_joined"), F.count("*").alias("_n"))
     )
-    parts = parts.withColumn("_total", F.sum("_n").over(Window.partitionBy(*keys)))
-    small = F.col("_total") <= FINGERPRINT_TOKENS
-    parts = parts.withColumn("_piece", F.when(small, F.col("_joined")).otherwise(F.sha2("_joined", 256)))
+    parts = parts.withColumn("_piece", F.sha2("_joined", 256))
     lead = [F.first("_base").cast("string")] if base is not None else []
     joined = parts.groupBy(*keys).agg(
         F.concat_ws(

@@ -50,24 +50,27 @@ def paired_delta(
 
 def contrast_family(
     values: DataFrame, units: Sequence[str], proposed: str, comparators: Sequence[str], within: Sequence[str] = (),
-    strategy: str = "strategy", value: str = "value", prefix: str = "contrast",
+    strategy: str = "strategy", value: str = "value", prefix: str = "contrast", complete: bool = True,
 ) -> DataFrame:
-    """Proposed minus every comparator per unit and stratum, keyed by ``analysis_id``."""
+    """Proposed minus every comparator per unit and stratum, keyed by ``analysis_id``.
+
+    A unit that lacks the proposed strategy or one of the comparators in a stratum is an error, unless ``complete`` is
+    false: then only pairs count.
+    """
     means = values.groupBy(*units, *within, strategy).agg(F.avg(value).alias("_m"))
-    own = means.filter(F.col(strategy) == proposed).select(*units, *within, F.col("_m").alias("_p"))
+    own = means.filter(F.col(strategy) == proposed).select(*units, *within, F.col("_m").alias("_p"), F.explode(F.array(*map(F.lit, comparators))).alias("comparator"))
     other = means.filter(F.col(strategy).isin(list(comparators))).withColumnRenamed(strategy, "comparator")
     label = F.concat_ws("__", F.lit(prefix), *[F.col(c).cast("string") for c in within], F.lit(proposed), F.col("comparator"))
-    return other.join(own, [*units, *within]).select(
-        label.alias("analysis_id"), *within, "comparator", *units, (F.col("_p") - F.col("_m")).alias("delta")
-    )
+    delta = F.coalesce(F.col("_p") - F.col("_m"), F.raise_error(F.lit("a unit lacks one strategy of a contrast")).cast("double"))
+    return other.join(own, [*units, *within, "comparator"], "full" if complete else "inner").select(label.alias("analysis_id"), *within, "comparator", *units, delta.alias("delta"))
 
 
 def seed_paired_contrasts(
     folds: DataFrame, proposed: str, comparators: Sequence[str], keys: Sequence[str] = ("participant", "seed_index", "session"),
-    value: str = "value", strategy: str = "strategy",
+    value: str = "value", strategy: str = "strategy", complete: bool = True,
 ) -> DataFrame:
     """Session differences averaged within seed, then over seeds, per participant and comparator."""
-    session = contrast_family(folds, keys, proposed, comparators, strategy=strategy, value=value)
+    session = contrast_family(folds, keys, proposed, comparators, strategy=strategy, value=value, complete=complete)
     seed = session.groupBy("comparator", *keys[:2]).agg(F.avg("delta").alias("_d"), F.count("*").alias("_s"))
     return seed.groupBy("comparator", keys[0]).agg(
         F.count("*").alias("seeds"), F.sum("_s").alias("paired_sessions"), F.avg("_d").alias("mean_difference"),

@@ -46,7 +46,7 @@ def fold_metrics(
     """Accuracy, balanced accuracy and macro F1 over the full label grid.
 
     One pass: each prediction adds to its true class, its predicted class and,
-    if right, the hits. Undefined precision or F1 counts as 0.
+    if right, the hits. Undefined precision or F1 counts as 0. A label outside ``labels`` is an error.
     """
     tally = predictions.groupBy(*keys, truth, predicted).agg(F.count("*").alias("_n"))
     sides = F.array(
@@ -56,7 +56,9 @@ def fold_metrics(
     hit = F.when((F.col(truth) == F.col(predicted)) & (F.col("_s.support") > 0), F.col("_n")).otherwise(0)
     by_label = tally.withColumn("_s", F.explode(sides)).groupBy(*keys, F.col("_s.label").alias("label")).agg(
         F.sum("_s.support").alias("support"), F.sum("_s.called").alias("called"), F.sum(hit).alias("hits")
-    ).filter(F.col("label").isin(list(labels)))
+    )
+    known = F.col("label").isin(list(labels))
+    by_label = by_label.filter(F.when(known, True).otherwise(F.raise_error(F.lit("a label is not in the label grid")).cast("boolean")))
     recall = _ratio(F.col("hits"), F.col("support"))
     precision = _ratio(F.col("hits"), F.col("called"))
     f1 = _ratio(2 * precision * recall, precision + recall)

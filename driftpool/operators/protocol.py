@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -157,38 +157,35 @@ def causal_schedule(metadata: DataFrame, splits=TEMPORAL_SPLITS, batch: int = 7)
 # -- imbalanced pools ------------------------------------------------------------------
 
 
-def pool_patterns(levels: dict[str, list[int]] = POOL_LEVELS) -> list[dict]:
-    """Class counts of every level under every rotation (a lookup of levels x classes rows)."""
-    patterns = []
-    for order, (level, counts) in enumerate(levels.items()):
-        for rotation in range(len(counts)):
-            rotated = [counts[(i - rotation) % len(counts)] for i in range(len(counts))]
-            patterns.append(
-                {
-                    "imbalance_level": level, "level_order": order, "rotation_index": rotation,
-                    "total_candidates": sum(rotated), "minimum_class_count": min(rotated),
-                    "maximum_class_count": max(rotated), "full_pool_control": sum(rotated) == 21,
-                    "class_counts": rotated,
-                }
+def _patterns(levels: Mapping[str, Sequence[int]], control: int) -> Column:
+    """Array of structs: each level's class counts turned right by 0, 1, ... places."""
+
+    def turned(level: str, counts: Sequence[int]) -> Column:
+        own, n = F.array(*map(F.lit, counts)), len(counts)
+
+        def pattern(places: Column) -> Column:
+            wanted = F.concat(F.slice(own, n - places + 1, places), F.slice(own, F.lit(1), n - places))
+            total = F.aggregate(wanted, F.lit(0), lambda s, x: s + x)
+            return F.struct(
+                F.lit(level).alias("imbalance_level"), places.alias("rotation_index"), total.alias("total_candidates"), F.array_min(wanted).alias("minimum_class_count"),
+                F.array_max(wanted).alias("maximum_class_count"), (total == control).alias("full_pool_control"), wanted.alias("class_counts"),
             )
-    return patterns
 
+        return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), pattern)
+
+    return F.flatten(F.array(*[turned(*item) for item in levels.items()]))
 
-def _pattern_literals(patterns: Sequence[dict], names: Sequence[str]) -> Column:
-    def value(v):
-        return F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)
 
-    return F.array(*[F.struct(*[value(p[n]).alias(n) for n in names]) for p in patterns])
+def pool_patterns(spark: SparkSession, levels: Mapping[str, Sequence[int]] = POOL_LEVELS, control: int = 21) -> DataFrame:
+    """Class counts of every level under every rotation; ``control`` is the size at which a pool is taken whole."""
+    return spark.range(1).select(F.inline(_patterns(levels, control)))
 
 
-def pattern_feasibility(candidates: DataFrame, keys: Sequence[str], patterns: Sequence[dict] | None = None) -> DataFrame:
+def pattern_feasibility(candidates: DataFrame, keys: Sequence[str], levels: Mapping[str, Sequence[int]] = POOL_LEVELS, control: int = 21) -> DataFrame:
     """Each pattern against each group's class counts: wanted, available and short candidates."""
-    patterns = pool_patterns() if patterns is None else patterns
-    names = ["imbalance_level", "rotation_index", "total_candidates", "minimum_class_count",
-             "maximum_class_count", "full_pool_control", "class_counts"]
     counts = candidates.groupBy(*keys, "label").agg(F.count("*").alias("n"))
     by_label = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label", "n"))).alias("_have"))
-    spread = by_label.withColumn("_p", F.explode(_pattern_literals(patterns, names))).select(*keys, "_have", "_p.*")
+    spread = by_label.withColumn("_p", F.explode(_patterns(levels, control))).select(*keys, "_have", "_p.*")
     have = F.transform("class_counts", lambda n, i: F.least(n, F.coalesce(F.try_element_at("_have", i), F.lit(0))))
     return spread.withColumn(
         "available_candidates", F.aggregate(have, F.lit(0).cast("bigint"), lambda s, x: s + x)
@@ -196,7 +193,7 @@ def pattern_feasibility(candidates: DataFrame, keys: Sequence[str], patterns: Se
 
 
 def stratified_pools(
-    candidates: DataFrame, seeds: Sequence[tuple[int, int]], patterns: Sequence[dict] | None = None,
+    candidates: DataFrame, seeds: Sequence[tuple[int, int]], levels: Mapping[str, Sequence[int]] = POOL_LEVELS,
     protocol: str = "driftpool", token: str = "token",
 ) -> DataFrame:
     """Hash-ranked pools: per pool and class the ``n`` lowest-ranked candidates.
@@ -204,13 +201,11 @@ def stratified_pools(
     ``candidates`` has participant, session, label, token; ``seeds`` are
     (realization, seed) pairs. Only ``max(n)`` rows per pool and class are shuffled.
     """
-    patterns = pool_patterns() if patterns is None else patterns
-    shape = _pattern_literals(patterns, ["imbalance_level", "rotation_index", "class_counts"])
     draws = F.array(
         *[F.struct(F.lit(i).alias("realization"), F.lit(s).cast("bigint").alias("seed")) for i, s in seeds]
     )
     spread = (
-        candidates.withColumn("_p", F.explode(shape)).withColumn("_r", F.explode(draws))
+        candidates.withColumn("_p", F.explode(_patterns(levels, 21))).withColumn("_r", F.explode(draws))
         .select(
             "participant", "session", "label", token, "_p.imbalance_level", "_p.rotation_index",
             F.get("_p.class_counts", F.col("label")).alias("wanted"), "_r.realization", "_r.seed",
@@ -225,7 +220,7 @@ def stratified_pools(
         )
     )
     cell = ["participant", "session", "imbalance_level", "rotation_index", "realization"]
-    most = max(p["maximum_class_count"] for p in patterns)
+    most = max(max(counts) for counts in levels.values())
     kept = top_per_group(spread, [*cell, "label"], [F.col("rank_hash"), F.col(token)], most, "class_rank")
     kept = kept.filter(F.col("class_rank") <= F.col("wanted"))
     in_pool = Window.partitionBy(*cell).orderBy("label", "rank_hash", token)

@@ -546,7 +546,7 @@ def paired_delta(spark, sf_dir):
 SELECT 'contrast__' || a.level || '__{PROPOSED}__' || b.strategy AS analysis_id, a.level, b.strategy AS comparator, a.participant, round(a.v - b.v, 6) AS delta
 FROM m a JOIN m b USING (participant, level) WHERE a.strategy = '{PROPOSED}' AND b.strategy IN ('click', 'signup', 'view')""")
 def contrast_families(spark, sf_dir):
-    return rounded(inference.contrast_family(folds(spark, sf_dir), P, PROPOSED, COMPARATORS, ["level"]), "delta")
+    return rounded(inference.contrast_family(folds(spark, sf_dir), P, PROPOSED, COMPARATORS, ["level"], complete=False), "delta")
 
 
 @query(f"""WITH {FOLDS}, m AS (SELECT participant, seed_index, session, strategy, avg(value) AS v FROM folds GROUP BY ALL),
@@ -555,7 +555,7 @@ s AS (SELECT b.strategy AS comparator, participant, seed_index, avg(a.v - b.v) A
 SELECT comparator, participant, count(*) AS seeds, CAST(sum(n) AS BIGINT) AS paired_sessions, round(avg(d), 6) AS mean_difference, round(stddev_samp(d), 6) AS sd_difference,
   round(min(d), 6) AS minimum_difference, round(max(d), 6) AS maximum_difference FROM s GROUP BY ALL""")
 def seed_paired_contrasts(spark, sf_dir):
-    out = inference.seed_paired_contrasts(folds(spark, sf_dir), PROPOSED, ["click", "view"])
+    out = inference.seed_paired_contrasts(folds(spark, sf_dir), PROPOSED, ["click", "view"], complete=False)  # events lack some pairs
     return rounded(out, "mean_difference", "sd_difference", "minimum_difference", "maximum_difference")
 
 
@@ -638,15 +638,15 @@ def _cells(spark, sf_dir):
 
 @query(f"""{_SEEDS}, packed AS (SELECT participant, list(value ORDER BY seed_index) AS v, avg(value) AS full_mean FROM cells GROUP BY ALL),
 spread AS (SELECT participant, v, full_mean, m, r, CAST(('0x' || substr(sha256('MC|' || participant || '|' || m), 1, 16)) AS UBIGINT) % 2000000000 + 1 AS seed
-  FROM packed, unnest([1, 5, 10, 25]) a(m), range(1, 101) b(r) WHERE m <= len(v)),
+  FROM packed, unnest([1, 2, 5, 10, 15, 20, 25, 30]) a(m), range(1, 1001) b(r) WHERE m <= len(v)),
 keyed AS (SELECT participant, full_mean, m, r, i, v[i + 1] AS x, substr(sha256(seed || '|' || r || '|' || (i // 8)), CAST((i % 8) * 8 + 1 AS BIGINT), 8) AS k
   FROM spread, unnest(range(len(v))) u(i)),
 kept AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY participant, m, r ORDER BY k, i) <= m),
 dev AS (SELECT participant, m, any_value(full_mean) AS full_mean, r, avg(x) - any_value(full_mean) AS d FROM kept GROUP BY participant, m, r)
-SELECT participant, m, round(any_value(full_mean), 6) AS full_mean, count(*) AS replicates, round(avg(d), 6) AS mean_deviation, round(1.96 * stddev_samp(d), 6) AS halfwidth,
-  round(quantile_cont(d, 0.025), 6) AS deviation_low, round(quantile_cont(d, 0.975), 6) AS deviation_high FROM dev GROUP BY ALL""")
+SELECT participant, m, round(any_value(full_mean), 6) AS full_mean, count(*) AS replicates, round(avg(d), 6) + 0.0 AS mean_deviation, round(1.96 * stddev_samp(d), 6) AS halfwidth,
+  round(quantile_cont(d, 0.025), 6) + 0.0 AS deviation_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS deviation_high FROM dev GROUP BY ALL""")
 def mc_convergence(spark, sf_dir):
-    out = inference.seed_convergence(_cells(spark, sf_dir), P, sizes=(1, 5, 10, 25), replicates=100)
+    out = inference.seed_convergence(_cells(spark, sf_dir), P)
     return rounded(out, "full_mean", "mean_deviation", "halfwidth", "deviation_low", "deviation_high")
 
 

@@ -235,9 +235,10 @@ def stable_seeds(spark, sf_dir):
     )
 
 
-@query(f"""WITH {TRIALS} SELECT participant, count(*) AS history_size, sha256(participant || '|' || string_agg(token, '|' ORDER BY token)) AS fingerprint,
-  CAST({_SEED.format(x="'42|' || participant || '|' || string_agg(token, '|' ORDER BY token)")} AS BIGINT) AS fit_seed
-FROM trials WHERE role = 'initial' GROUP BY participant""")
+@query(f"""WITH {TRIALS}, b AS (SELECT participant, substr(token, 1, 3) AS bucket, count(*) AS n, sha256(string_agg(token, '|' ORDER BY token)) AS d
+  FROM (SELECT DISTINCT participant, token FROM trials WHERE role = 'initial') GROUP BY ALL),
+p AS (SELECT participant, CAST(sum(n) AS BIGINT) AS history_size, participant || '|' || string_agg(d, '|' ORDER BY bucket) AS payload FROM b GROUP BY participant)
+SELECT participant, history_size, sha256(payload) AS fingerprint, CAST({_SEED.format(x="'42|' || payload")} AS BIGINT) AS fit_seed FROM p""")
 def history_fingerprint(spark, sf_dir):
     history = trials(spark, sf_dir).filter("role = 'initial'")
     plain = identity.history_fingerprint(history, ["participant"])
@@ -341,12 +342,11 @@ def causal_schedule(spark, sf_dir):
     return protocol.causal_schedule(trials(spark, sf_dir))
 
 
-_PATTERNS = ", ".join(
-    f"('{p['imbalance_level']}', {p['rotation_index']}, {p['total_candidates']}, {p['minimum_class_count']}, {p['maximum_class_count']}, "
-    f"{str(p['full_pool_control']).lower()}, {p['class_counts']})"
-    for p in protocol.pool_patterns()
-)
-PATTERNS = f"patterns(imbalance_level, rotation_index, total_candidates, minimum_class_count, maximum_class_count, full_pool_control, class_counts) AS (VALUES {_PATTERNS})"
+_LEVELS = ", ".join(f"('{level}', {counts})" for level, counts in protocol.POOL_LEVELS.items())
+PATTERNS = f"""levels(level, c) AS (VALUES {_LEVELS}),
+turned AS (SELECT level, CAST(r AS INTEGER) AS r, list_concat(c[len(c) - r + 1:len(c)], c[1:len(c) - r]) AS w FROM levels, unnest(range(7)) u(r)),
+patterns AS (SELECT level AS imbalance_level, r AS rotation_index, CAST(list_sum(w) AS INTEGER) AS total_candidates, list_min(w) AS minimum_class_count,
+  list_max(w) AS maximum_class_count, list_sum(w) = 21 AS full_pool_control, w AS class_counts FROM turned)"""
 
 
 @query(f"""WITH {TRIALS}, {PATTERNS}, n AS (SELECT participant, session, label, count(*) AS n FROM trials WHERE role = 'candidate' GROUP BY ALL),

@@ -331,7 +331,7 @@ FROM rates GROUP BY ALL"""
 
 _RETAINED = _rates("now", "results") + ", " + _rates("later", "retained") + """,
 diagonal AS (SELECT trajectory_id, session, sum(r) / 10 AS d FROM now GROUP BY ALL), final AS (SELECT trajectory_id, session, sum(r) / 10 AS f FROM later GROUP BY ALL)
-SELECT trajectory_id, round(avg(f - d), 6) AS backward_change, round(max(greatest(0, d - f)), 6) AS worst_drop, round(avg(f), 6) AS mean_retained,
+SELECT trajectory_id, round(avg(f - d), 6) + 0.0 AS backward_change, round(max(greatest(0, d - f)), 6) AS worst_drop, round(avg(f), 6) AS mean_retained,
   round(avg(d), 6) AS mean_diagonal FROM final JOIN diagonal USING (trajectory_id, session) WHERE trajectory_id LIKE '%margin' GROUP BY ALL"""
 
 

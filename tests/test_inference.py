@@ -104,3 +104,22 @@ def test_whole_schedule_has_no_deviation(spark):
     cells = spark.createDataFrame(rows, "cell string, seed_index int, value double")
     out = {r.m: r for r in inference.seed_convergence(cells, ["cell"], replicates=50).collect()}
     assert out[30].halfwidth == pytest.approx(0, abs=1e-12) and out[1].halfwidth > out[10].halfwidth > out[25].halfwidth
+
+
+def test_a_unit_without_its_comparator_is_an_error(spark):
+    rows = [("P01", "own", 1.0), ("P01", "other", 0.5), ("P02", "own", 1.0)]
+    values = spark.createDataFrame(rows, "participant string, strategy string, value double")
+    whole = inference.contrast_family(values.filter("participant = 'P01'"), ["participant"], "own", ["other"]).collect()
+    assert [r.delta for r in whole] == [0.5]
+    for missing in (values, values.filter("strategy = 'other'")):
+        with pytest.raises(Exception, match="lacks one strategy"):
+            inference.contrast_family(missing, ["participant"], "own", ["other"]).collect()
+
+
+def test_a_label_outside_the_grid_is_an_error(spark):
+    from driftpool.operators import metrics
+
+    rows = spark.createDataFrame([("a", 0, 0), ("a", 1, 2)], "k string, true_label int, predicted_label int")
+    assert metrics.fold_metrics(rows, ["k"], [0, 1, 2]).first().rows == 2
+    with pytest.raises(Exception, match="label grid"):
+        metrics.fold_metrics(rows, ["k"], [0, 1]).collect()

@@ -43,8 +43,8 @@ def test_causal_schedule(spark):
     assert row.allowed_history_sessions == "0|1|2" and row.history_before_query == 35 + 14
 
 
-def test_pool_patterns():
-    patterns = protocol.pool_patterns()
+def test_pool_patterns(spark):
+    patterns = [r.asDict() for r in protocol.pool_patterns(spark).collect()]
     assert len(patterns) == 28 and {p["total_candidates"] for p in patterns} == {35, 32, 28, 21}
     severe = [p for p in patterns if p["imbalance_level"] == "SEVERE_21"]
     assert severe[1]["class_counts"] == [1, 5, 5, 4, 3, 2, 1] and all(p["full_pool_control"] for p in severe)
@@ -118,15 +118,15 @@ def test_seeds_and_digests(spark):
     assert same.digest != identity.table_digest(df.distinct(), ["a", "b"]).first().digest
 
 
-def test_large_history_fingerprint_is_order_free(spark, monkeypatch):
-    rows = spark.range(200).select(F.lit("P01").alias("p"), F.sha2(F.col("id").cast("string"), 256).substr(1, 24).alias("token"))
-    small = identity.history_fingerprint(rows, ["p"]).first()
-    tokens = sorted(r.token for r in rows.collect())
-    assert small.fingerprint == hashlib.sha256(("P01|" + "|".join(tokens)).encode()).hexdigest()
-    monkeypatch.setattr(identity, "FINGERPRINT_TOKENS", 10)
-    large = identity.history_fingerprint(rows, ["p"]).first()
-    assert large.fingerprint == identity.history_fingerprint(rows.orderBy(F.rand()), ["p"]).first().fingerprint
-    assert large.fingerprint != small.fingerprint and large.history_size == 200
+def test_history_fingerprint_has_one_rule(spark):
+    for n in (1, 200, 6000):
+        rows = spark.range(n).select(F.lit("P01").alias("p"), F.sha2(F.col("id").cast("string"), 256).substr(1, 24).alias("token"))
+        found = identity.history_fingerprint(rows.union(rows).orderBy(F.rand()), ["p"]).first()
+        buckets = {}
+        for token in sorted(r.token for r in rows.collect()):
+            buckets.setdefault(token[:3], []).append(token)
+        parts = [hashlib.sha256("|".join(t).encode()).hexdigest() for _, t in sorted(buckets.items())]
+        assert found.fingerprint == hashlib.sha256("|".join(["P01", *parts]).encode()).hexdigest() and found.history_size == n
 
 
 def test_seed_schedule_sizes(spark):
