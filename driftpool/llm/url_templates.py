@@ -3,8 +3,10 @@
 A path's segments are nodes of a tree below its host. Runs of digits become ``#`` and long hexadecimal strings ``%``;
 where a node has many different branches, all but the frequent ones become ``*``. Labelled pages give every node a
 count and a share of good pages. Branches of one node whose smoothed shares fall into the same band are merged, and from
-the host downwards a branch is merged with what is above it unless its share differs significantly. A template is rejected if the smoothed share of the branch that it belongs to is too low. Rules go before all that. Everything is DataFrame operations: counts are combined before each exchange, so a host with a third
-of the pages costs one row per node and task.
+the host downwards a branch is merged with what is above it unless its share differs significantly. A template is
+rejected if the smoothed share of the branch that it belongs to is too low. Rules go before all that. Everything is
+DataFrame operations: counts are combined before each exchange, so a host with a third of the pages costs one row per
+node and task.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftpool.llm.common import written
+
 #: A node with more branches than this generalises those that have less than one page in so many.
 BRANCHES = 32
 #: Weight of the overall share of good pages, in labelled pages.
@@ -102,8 +106,9 @@ def judge(
     known = rows.join(labelled, F.col("page_id") == F.col("of"), "left").groupBy("host", "shape").agg(
         F.count("*").alias("n"), F.count("good").alias("n_labelled"), F.count_if("good").alias("n_good"),
     )
+    known = written(known, "url-shapes")
     total = known.agg(F.coalesce(F.try_divide(F.sum("n_good"), F.sum("n_labelled")), F.lit(1.0)).alias("base"))
-    trees = templates(known.select("host", "shape", "n"), branches)
+    trees = written(templates(known.select("host", "shape", "n"), branches), "url-trees")
     nodes = trees.join(known, ["host", "shape"]).select("host", "shape", "n_labelled", "n_good", F.posexplode("nodes").alias("depth", "node"))
     stats = nodes.groupBy("host", "depth", "node").agg(F.sum("n_labelled").cast("double").alias("n"), F.sum("n_good").cast("double").alias("good"))
     stats = stats.crossJoin(F.broadcast(total)).select(  # one row
