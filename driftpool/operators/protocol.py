@@ -199,7 +199,8 @@ def stratified_pools(
     """Hash-ranked pools: per pool and class the ``n`` lowest-ranked candidates.
 
     ``candidates`` has participant, session, label, token; ``seeds`` are
-    (realization, seed) pairs. Only ``max(n)`` rows per pool and class are shuffled.
+    (realization, seed) pairs. Only ``max(n)`` rows per pool and class are shuffled. A label
+    without a count stops the job; ``pattern_feasibility`` tells which pools fall short.
     """
     draws = F.array(
         *[F.struct(F.lit(i).alias("realization"), F.lit(s).cast("bigint").alias("seed")) for i, s in seeds]
@@ -208,7 +209,10 @@ def stratified_pools(
         candidates.withColumn("_p", F.explode(_patterns(levels, 21))).withColumn("_r", F.explode(draws))
         .select(
             "participant", "session", "label", token, "_p.imbalance_level", "_p.rotation_index",
-            F.get("_p.class_counts", F.col("label")).alias("wanted"), "_r.realization", "_r.seed",
+            F.coalesce(
+                F.get("_p.class_counts", F.col("label")),
+                F.raise_error(F.concat(F.lit("no class count for label "), F.coalesce(F.col("label").cast("string"), F.lit("NULL")))).cast("int"),
+            ).alias("wanted"), "_r.realization", "_r.seed",
         )
         .filter(F.col("wanted") > 0)
         .withColumn(
@@ -277,6 +281,19 @@ def leave_one_out(metadata: DataFrame, target: str, last_training_session: int)
     )
 
 
+def leave_each_out(metadata: DataFrame, last_training_session: int) -> DataFrame:
+    """Source rows of every held-out participant (column ``target``); each row serves all targets but its own.
+
+    The result has rows times participants by its definition. The participants' names, one short
+    list, travel with the rows, so nothing is shuffled for it.
+    """
+    people = metadata.agg(F.collect_set("participant").alias("_targets"))
+    spread = metadata.join(F.broadcast(people)).withColumn("target", F.explode("_targets")).drop("_targets")  # one row
+    return spread.filter(F.col("target") != F.col("participant")).withColumn(
+        "fold_role", F.when(F.col("session") <= last_training_session, "train").otherwise("validation")
+    )
+
+
 def leave_one_out_summary(metadata: DataFrame, last_training_session: int) -> DataFrame:
     """Source row counts of every leave-one-participant-out fold as total minus own.
 

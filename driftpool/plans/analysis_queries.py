@@ -238,7 +238,7 @@ def lda_posterior(spark, sf_dir):
 def oof_calibration(spark, sf_dir):
     rows = windowed(spark, sf_dir)
     history = rows.filter("role = 'initial'").select(F.col("participant").alias("fit_id"), "token", "label", "sequence_row")
-    folded = protocol.stratified_folds(history, ["fit_id"], 3)
+    folded = protocol.stratified_folds(history, ["fit_id"])
     full, scored_rows = models.out_of_fold_scores(folded, rows)
     calibrators = models.calibrate(scored_rows)
     candidates = rows.filter("role = 'candidate'").select(F.col("participant").alias("fit_id"), "token").join(models.repetition_summaries(rows), "token")
@@ -611,21 +611,46 @@ def jackknife_means(spark, sf_dir):
     return rounded(inference.jackknife(_deltas(spark, sf_dir), ["analysis_id"], "participant"), "mean_delta", "median_delta")
 
 
+_REPLICATES = 100_000
 _BOOT = f"""{_DELTAS}, vals AS (SELECT analysis_id, list(delta ORDER BY participant) AS v, count(*) AS n,
   CAST(('0x' || substr(sha256('BOOTSTRAP|' || analysis_id), 1, 16)) AS UBIGINT) % 2000000000 + 1 AS seed FROM d GROUP BY ALL),
 boot AS (SELECT analysis_id, b, list_sum(list_transform(range(n), lambda i:
     v[CAST(CAST(('0x' || substr(sha256(seed || '|' || b || '|' || (i // 8)), CAST((i % 8) * 8 + 1 AS BIGINT), 8)) AS UBIGINT) % n AS BIGINT) + 1])) / n AS boot_mean
-  FROM vals, unnest(range(1, 201)) u(b))"""
+  FROM vals, unnest(range(1, {_REPLICATES + 1})) u(b))"""
 
 
 @query(f"""{_BOOT} SELECT analysis_id, count(*) AS replicates, round(quantile_cont(boot_mean, 0.025), 6) AS ci_low, round(quantile_cont(boot_mean, 0.975), 6) AS ci_high FROM boot GROUP BY ALL""")
 def bootstrap_percentile(spark, sf_dir):
-    return rounded(inference.bootstrap_percentile(_deltas(spark, sf_dir), ["analysis_id"], "participant", 200), "ci_low", "ci_high")
-
-
-@query()
+    return rounded(inference.bootstrap_percentile(_deltas(spark, sf_dir), ["analysis_id"], "participant", _REPLICATES), "ci_low", "ci_high")
+
+
+def _normal_sql(x: str) -> str:
+    """Standard normal probability as its series; good to 1e-12 for sizes below 5."""
+    terms = f"list_transform(range(90), lambda k: pow({x}, 2 * k + 1) / list_product(list_transform(range(k + 1), lambda j: 2.0 * j + 1)))"
+    return f"(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum({terms}))"
+
+
+# The normal quantile is Newton's method from 0, which comes near from one side.
+@query(f"""{_BOOT.replace('WITH ', 'WITH RECURSIVE ', 1)},
+sizes AS (SELECT analysis_id, avg(delta) AS theta, count(*) AS n FROM d GROUP BY ALL),
+gaps AS (SELECT analysis_id, (delta - theta) / (n - 1) AS g FROM d JOIN sizes USING (analysis_id)),
+skew AS (SELECT analysis_id, coalesce(sum(g * g * g) / nullif(6 * pow(sum(g * g), 1.5), 0), 0) AS a FROM gaps GROUP BY ALL),
+share AS (SELECT analysis_id, count(*) AS replicates, list(boot_mean ORDER BY boot_mean) AS sorted,
+  (count(*) FILTER (boot_mean - theta < -1e-12) + 0.5 * count(*) FILTER (abs(boot_mean - theta) <= 1e-12)) / count(*) AS p
+  FROM boot JOIN sizes USING (analysis_id) GROUP BY ALL),
+newton AS (SELECT analysis_id, greatest(least(p, 1 - 0.5 / replicates), 0.5 / replicates) AS p, CAST(0 AS DOUBLE) AS z, 0 AS step FROM share
+  UNION ALL SELECT analysis_id, p, z - ({_normal_sql('z')} - p) * sqrt(2 * pi()) * exp(z * z / 2), step + 1 FROM newton WHERE step < 25),
+lean AS (SELECT analysis_id, z, a, alpha, z + q AS s FROM newton JOIN skew USING (analysis_id), (VALUES (0.025, -1.959963984540054), (0.975, 1.959963984540054)) v(alpha, q)
+  WHERE step = 25),
+moved AS (SELECT analysis_id, alpha, z + s / (1 - a * s) AS m FROM lean),
+places AS (SELECT analysis_id, 'bca' || alpha AS name, {_normal_sql('m')} AS place FROM moved UNION ALL SELECT analysis_id, 'percentile' || alpha, alpha FROM moved),
+found AS (SELECT analysis_id, name, replicates, sorted, place * (replicates - 1) AS h FROM places JOIN share USING (analysis_id)),
+points AS (SELECT analysis_id, name, replicates,
+  sorted[CAST(floor(h) AS BIGINT) + 1] + (sorted[CAST(ceil(h) AS BIGINT) + 1] - sorted[CAST(floor(h) AS BIGINT) + 1]) * (h - floor(h)) AS q FROM found)
+SELECT analysis_id, replicates, round(max(q) FILTER (name = 'bca0.025'), 6) AS bca_low, round(max(q) FILTER (name = 'bca0.975'), 6) AS bca_high,
+  round(max(q) FILTER (name = 'percentile0.025'), 6) AS percentile_low, round(max(q) FILTER (name = 'percentile0.975'), 6) AS percentile_high FROM points GROUP BY ALL""")
 def bootstrap_bca(spark, sf_dir):
-    out = inference.bootstrap_bca(_deltas(spark, sf_dir), ["analysis_id"], "participant", 2_000)
+    out = inference.bootstrap_bca(_deltas(spark, sf_dir), ["analysis_id"], "participant", _REPLICATES)
     return rounded(out, "bca_low", "bca_high", "percentile_low", "percentile_high")
 
 
@@ -668,7 +693,7 @@ locked AS (SELECT * FROM fx JOIN ci USING (analysis_id) JOIN adjusted USING (ana
 
 
 def _locked(spark, sf_dir):
-    return inference.locked_tests(_deltas(spark, sf_dir), F.lit("comparators"), "participant", 200)
+    return inference.locked_tests(_deltas(spark, sf_dir), F.lit("comparators"), "participant", _REPLICATES)
 
 
 @query(f"""{_LOCKED} SELECT analysis_id, 'comparators' AS family, round(mean_delta, 6) AS mean_delta, round(p_value, 6) AS p_value, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high,

@@ -157,20 +157,21 @@ def seed_identity(spark, sf_dir):
     return rounded(found.groupBy("seed_index", "seed").agg(F.count("*").alias("rows"), F.avg("value").alias("mean_value")), "mean_value")
 
 
-_LISTED = ["customer", "documents", "embeddings", "events", "labels", "orders"]
+_LISTED = ["benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part",
+           "region", "supplier"]
+_COUNTED = " UNION ALL ".join(f"""SELECT '{name}' AS table_name, count(*) AS "rows" FROM {name}""" for name in _LISTED)
 
 
 def _listing(spark, sf_dir):
     return contracts.catalogue(spark, {name: table(spark, sf_dir, name) for name in _LISTED}, {"text": ["text"], "time": ["date"], "vector": ["embedding"]})
 
 
-@query("""SELECT * FROM (
-  SELECT 'customer' AS table_name, 5 AS column_count, 'c_custkey|c_name|c_nationkey|c_acctbal|c_mktsegment' AS "columns", '' AS tags, count(*) AS "rows" FROM customer
-  UNION ALL SELECT 'documents', 5, 'doc_id|text|lang|source|n_chars', 'text', count(*) FROM documents
-  UNION ALL SELECT 'embeddings', 3, 'vec_id|embedding|label', 'vector', count(*) FROM embeddings
-  UNION ALL SELECT 'events', 6, 'event_id|ts|user_id|event_type|value|props', '', count(*) FROM events
-  UNION ALL SELECT 'labels', 3, 'doc_id|quality|toxic', '', count(*) FROM labels
-  UNION ALL SELECT 'orders', 6, 'o_orderkey|o_custkey|o_orderstatus|o_totalprice|o_orderdate|o_orderpriority', 'time', count(*) FROM orders)""")
+@query(f"""WITH counted AS ({_COUNTED}),
+listed AS (SELECT table_name, CAST(count(*) AS INTEGER) AS column_count, string_agg(column_name, '|' ORDER BY column_index) AS "columns"
+  FROM duckdb_columns() WHERE NOT internal GROUP BY table_name)
+SELECT table_name, column_count, "columns", "rows", concat_ws('|', CASE WHEN contains(table_name || ' ' || "columns", 'text') THEN 'text' END,
+  CASE WHEN contains(table_name || ' ' || "columns", 'date') THEN 'time' END, CASE WHEN contains(table_name || ' ' || "columns", 'embedding') THEN 'vector' END) AS tags
+FROM listed JOIN counted USING (table_name)""")
 def table_catalogue(spark, sf_dir):
     return _listing(spark, sf_dir)
 
@@ -342,28 +343,31 @@ def causal_schedule(spark, sf_dir):
     return protocol.causal_schedule(trials(spark, sf_dir))
 
 
-_LEVELS = ", ".join(f"('{level}', {counts})" for level, counts in protocol.POOL_LEVELS.items())
+# The given tables have ten labels: the counts of the first three classes serve the last three as well.
+_TEN = {level: [*counts, *counts[:3]] for level, counts in protocol.POOL_LEVELS.items()}
+_WHOLE = sum(_TEN["SEVERE_21"])
+_LEVELS = ", ".join(f"('{level}', {counts})" for level, counts in _TEN.items())
 PATTERNS = f"""levels(level, c) AS (VALUES {_LEVELS}),
-turned AS (SELECT level, CAST(r AS INTEGER) AS r, list_concat(c[len(c) - r + 1:len(c)], c[1:len(c) - r]) AS w FROM levels, unnest(range(7)) u(r)),
+turned AS (SELECT level, CAST(r AS INTEGER) AS r, list_concat(c[len(c) - r + 1:len(c)], c[1:len(c) - r]) AS w FROM levels, unnest(range(10)) u(r)),
 patterns AS (SELECT level AS imbalance_level, r AS rotation_index, CAST(list_sum(w) AS INTEGER) AS total_candidates, list_min(w) AS minimum_class_count,
-  list_max(w) AS maximum_class_count, list_sum(w) = 21 AS full_pool_control, w AS class_counts FROM turned)"""
+  list_max(w) AS maximum_class_count, list_sum(w) = {_WHOLE} AS full_pool_control, w AS class_counts FROM turned)"""
 
 
 @query(f"""WITH {TRIALS}, {PATTERNS}, n AS (SELECT participant, session, label, count(*) AS n FROM trials WHERE role = 'candidate' GROUP BY ALL),
 cells AS (SELECT DISTINCT participant, session FROM n)
 SELECT c.participant, c.session, p.imbalance_level, p.rotation_index, p.total_candidates, p.minimum_class_count, p.maximum_class_count, p.full_pool_control,
   array_to_string(p.class_counts, '|') AS class_counts, CAST(sum(least(p.class_counts[u.l + 1], coalesce(n.n, 0))) AS BIGINT) AS available_candidates
-FROM cells c CROSS JOIN patterns p CROSS JOIN range(7) u(l) LEFT JOIN n ON n.participant = c.participant AND n.session = c.session AND n.label = u.l
+FROM cells c CROSS JOIN patterns p CROSS JOIN range(10) u(l) LEFT JOIN n ON n.participant = c.participant AND n.session = c.session AND n.label = u.l
 GROUP BY ALL""")
 def pool_patterns(spark, sf_dir):
-    return protocol.pattern_feasibility(trials(spark, sf_dir).filter("role = 'candidate'"), CELL)
+    return protocol.pattern_feasibility(trials(spark, sf_dir).filter("role = 'candidate'"), CELL, _TEN, _WHOLE)
 
 
-_REALIZATIONS = [(1, 101), (2, 202)]
-_POOLS = f"""WITH {TRIALS}, {PATTERNS}, r(realization, seed) AS (VALUES (1, 101), (2, 202)),
+_REALIZATIONS = [(1, 101), (2, 202), (3, 303), (4, 404), (5, 505)]
+_POOLS = f"""WITH {TRIALS}, {PATTERNS}, r(realization, seed) AS (VALUES {', '.join(map(str, _REALIZATIONS))}),
 ranked AS (SELECT t.participant, t.session, t.label, t.token, p.imbalance_level, p.rotation_index, r.realization, p.class_counts[t.label + 1] AS wanted,
     sha256(printf('%d|%s|S%02d|%s|R%d|L%d|%s', r.seed, t.participant, t.session, p.imbalance_level, p.rotation_index, t.label, t.token)) AS rank_hash
-  FROM trials t, patterns p, r WHERE t.role = 'candidate' AND t.label < 7),
+  FROM trials t, patterns p, r WHERE t.role = 'candidate'),
 kept AS (SELECT *, row_number() OVER (PARTITION BY participant, session, imbalance_level, rotation_index, realization, label ORDER BY rank_hash, token) AS class_rank
   FROM ranked QUALIFY class_rank <= wanted),
 pools AS (SELECT *, 'POOL_' || substr(sha256(printf('driftpool|POOL|%s|S%02d|%s|ROT%d|REAL%02d', participant, session, imbalance_level, rotation_index, realization)), 1, 24) AS pool_id,
@@ -372,7 +376,7 @@ pools AS (SELECT *, 'POOL_' || substr(sha256(printf('driftpool|POOL|%s|S%02d|%s|
 
 @query(f"{_POOLS} SELECT pool_id, token, label, member_order FROM pools")
 def stratified_hash_pools(spark, sf_dir):
-    members = protocol.stratified_pools(trials(spark, sf_dir).filter("role = 'candidate'"), _REALIZATIONS)
+    members = protocol.stratified_pools(trials(spark, sf_dir).filter("role = 'candidate'"), _REALIZATIONS, _TEN)
     return members.select("pool_id", "token", "label", "member_order")
 
 
@@ -380,7 +384,7 @@ def stratified_hash_pools(spark, sf_dir):
 FROM pools JOIN trials USING (token) GROUP BY pool_id""")
 def pool_member_rows(spark, sf_dir):
     rows = trials(spark, sf_dir)
-    members = protocol.stratified_pools(rows.filter("role = 'candidate'"), _REALIZATIONS)
+    members = protocol.stratified_pools(rows.filter("role = 'candidate'"), _REALIZATIONS, _TEN)
     joined = protocol.pool_rows(rows.select("token", "sequence_row", "repetition"), members)
     return joined.groupBy("pool_id").agg(
         F.count("*").alias("rows"), F.sum("sequence_row").alias("row_sum"), F.min("repetition").alias("first_repetition")
@@ -412,9 +416,10 @@ def leave_one_out_folds(spark, sf_dir):
     return protocol.leave_one_out_summary(trials(spark, sf_dir), 2)
 
 
-@query(f"""WITH {TRIALS} SELECT sequence_row, CASE WHEN session <= 2 THEN 'train' ELSE 'validation' END AS fold_role FROM trials WHERE participant <> 'P01'""")
+@query(f"""WITH {TRIALS}, people AS (SELECT DISTINCT participant AS target FROM trials)
+SELECT target, sequence_row, CASE WHEN session <= 2 THEN 'train' ELSE 'validation' END AS fold_role FROM people JOIN trials ON participant <> target""")
 def leave_one_out_rows(spark, sf_dir):
-    return protocol.leave_one_out(trials(spark, sf_dir), "P01", 2).select("sequence_row", "fold_role")
+    return protocol.leave_each_out(trials(spark, sf_dir), 2).select("target", "sequence_row", "fold_role")
 
 
 @query(f"""WITH {TRIALS}, h AS (SELECT participant, sequence_row, label FROM trials WHERE role = 'initial'),

@@ -261,8 +261,10 @@ def selector_output_checks(spark, sf_dir):
 # -- trajectories ----------------------------------------------------------------------------------
 
 SESSIONS = [1, 2, 3]
-# (strategy, budget): one round of seven queries per session.
-ARMS = [("class_balanced_margin", B), ("global_margin", B), ("uniform_random", B), ("full_pool", 10_000), ("no_adaptation", 0)]
+#: Rounds of seven queries within a session; an arm takes part up to its budget.
+ROUNDS = [1, 2, 3]
+MARGIN_ARMS = [(strategy, B * r) for strategy in ("class_balanced_margin", "global_margin") for r in ROUNDS]
+ARMS = [*MARGIN_ARMS, *[("uniform_random", B * r) for r in ROUNDS], ("full_pool", 10_000), ("no_adaptation", 0)]
 
 
 def arms(spark, sf_dir, plan=tuple(ARMS)):
@@ -270,14 +272,15 @@ def arms(spark, sf_dir, plan=tuple(ARMS)):
     people = trials(spark, sf_dir).select("participant").distinct()
     arm = F.array(*[F.struct(F.lit(s).alias("strategy"), F.lit(b).alias("query_budget")) for s, b in plan])
     return people.withColumn("_a", F.explode(arm)).select(
-        F.concat_ws("|", "participant", "_a.strategy").alias("trajectory_id"), "participant", "_a.*", F.lit(77).alias("seed")
+        F.concat_ws("|", "participant", "_a.strategy", F.col("_a.query_budget").cast("string")).alias("trajectory_id"), "participant", "_a.*", F.lit(77).alias("seed")
     )
 
 
 def _loop_sql(tail: str) -> str:
-    """The loop unrolled over sessions for the centroid model."""
-    parts = [TRIALS, """arms AS (SELECT participant || '|' || s AS trajectory_id, participant, s AS strategy
-  FROM (SELECT DISTINCT participant FROM trials), unnest(['class_balanced_margin','global_margin','uniform_random','full_pool','no_adaptation']) AS u(s))""",
+    """The loop unrolled over sessions and rounds for the centroid model."""
+    plan = ", ".join(map(str, ARMS))
+    parts = [TRIALS, f"""arms AS (SELECT concat_ws('|', participant, s, b) AS trajectory_id, participant
+  FROM (SELECT DISTINCT participant FROM trials), (VALUES {plan}) AS u(s, b))""",
              "h0 AS (SELECT a.trajectory_id, a.participant, t.token FROM arms a JOIN trials t USING (participant) WHERE t.role = 'initial')"]
 
     def model(tag: str, history: str) -> str:
@@ -287,26 +290,33 @@ def _loop_sql(tail: str) -> str:
       SELECT h.trajectory_id, h.participant, t.label, unnest(t.embedding) AS v, generate_subscripts(t.embedding, 1) AS c
       FROM {history} h JOIN trials t USING (token)) GROUP BY ALL) GROUP BY ALL)"""
 
-    def predictions(tag: str, fitted: str, role: str, session: int) -> str:
+    def predictions(tag: str, fitted: str, role: str, session: int, history: str | None = None) -> str:
+        fresh = f" AND (m.trajectory_id, t.token) NOT IN (SELECT (trajectory_id, token) FROM {history})" if history else ""
         return f"""{tag} AS MATERIALIZED (
   SELECT trajectory_id, participant, session, token, label, first(class ORDER BY score DESC, class) AS predicted_label,
     list(score ORDER BY score DESC)[1] - list(score ORDER BY score DESC)[2] AS margin
   FROM (SELECT m.trajectory_id, m.participant, t.session, t.token, t.label, m.class, -list_distance(t.embedding, m.centroid) AS score
-    FROM {fitted} m JOIN trials t USING (participant) WHERE t.role = '{role}' AND t.session = {session}) GROUP BY ALL)"""
+    FROM {fitted} m JOIN trials t USING (participant) WHERE t.role = '{role}' AND t.session = {session}{fresh}) GROUP BY ALL)"""
 
+    last = "h0"
     for s in SESSIONS:
-        parts.append(model(f"m{s}", f"h{s - 1}"))
-        parts.append(predictions(f"p{s}", f"m{s}", "candidate", s))
-        parts.append(balanced_sql(f"bal{s}", f"(SELECT * FROM p{s} WHERE trajectory_id LIKE '%|class_balanced_margin')", "trajectory_id"))
-        parts.append(f"""sel{s} AS MATERIALIZED (
-  SELECT trajectory_id, participant, token FROM bal{s}
-  UNION ALL SELECT trajectory_id, participant, token FROM p{s} WHERE trajectory_id LIKE '%|global_margin'
-    QUALIFY row_number() OVER (PARTITION BY trajectory_id ORDER BY margin, token) <= {B}
-  UNION ALL SELECT trajectory_id, participant, token FROM p{s} WHERE trajectory_id LIKE '%|uniform_random'
-    QUALIFY row_number() OVER (PARTITION BY trajectory_id ORDER BY sha256('77|{s}|1|' || token), token) <= {B}
-  UNION ALL SELECT trajectory_id, participant, token FROM p{s} WHERE trajectory_id LIKE '%|full_pool')""")
-        parts.append(f"h{s} AS MATERIALIZED (SELECT * FROM h{s - 1} UNION ALL SELECT * FROM sel{s})")
-        parts.append(model(f"f{s}", f"h{s}"))
+        for r in ROUNDS:
+            step = f"{s}_{r}"
+            of = lambda strategy: f"FROM p{step} WHERE trajectory_id LIKE '%|{strategy}|%' AND CAST(split_part(trajectory_id, '|', 3) AS INTEGER) >= {B * r}"
+            parts.append(model(f"m{step}", last))
+            parts.append(predictions(f"p{step}", f"m{step}", "candidate", s, last))
+            parts.append(balanced_sql(f"bal{step}", f"(SELECT * {of('class_balanced_margin')})", "trajectory_id"))
+            whole = f"UNION ALL SELECT trajectory_id, participant, token {of('full_pool')}" if r == 1 else ""
+            parts.append(f"""sel{step} AS MATERIALIZED (
+  SELECT trajectory_id, participant, token FROM bal{step}
+  UNION ALL (SELECT trajectory_id, participant, token {of('global_margin')}
+    QUALIFY row_number() OVER (PARTITION BY trajectory_id ORDER BY margin, token) <= {B})
+  UNION ALL (SELECT trajectory_id, participant, token {of('uniform_random')}
+    QUALIFY row_number() OVER (PARTITION BY trajectory_id ORDER BY sha256('77|{s}|{r}|' || token), token) <= {B})
+  {whole})""")
+            parts.append(f"h{step} AS MATERIALIZED (SELECT * FROM {last} UNION ALL SELECT * FROM sel{step})")
+            last = f"h{step}"
+        parts.append(model(f"f{s}", last))
         parts.append(predictions(f"t{s}", f"f{s}", "fixed_test", s))
     parts.append("results AS (" + " UNION ALL ".join(f"SELECT * FROM t{s}" for s in SESSIONS) + ")")
     parts.append(predictions("q1", "f3", "fixed_test", 1))
@@ -323,7 +333,8 @@ def _rates(name: str, source: str) -> str:
 
 
 _EVALUATED = _rates("rates", "results") + """
-SELECT trajectory_id, split_part(trajectory_id, '|', 1) AS participant, split_part(trajectory_id, '|', 2) AS strategy, session,
+SELECT trajectory_id, split_part(trajectory_id, '|', 1) AS participant, split_part(trajectory_id, '|', 2) AS strategy,
+  CAST(split_part(trajectory_id, '|', 3) AS INTEGER) AS query_budget, session,
   CAST(sum(support) AS BIGINT) AS "rows", round(sum(hits) / sum(support), 6) AS accuracy, round(sum(r) / 10, 6) AS balanced_accuracy,
   round(sum(CASE WHEN r + p = 0 THEN 0 ELSE 2 * r * p / (r + p) END) / 10, 6) AS macro_f1,
   CAST(sum(support) - sum(hits) AS BIGINT) AS errors
@@ -332,14 +343,14 @@ FROM rates GROUP BY ALL"""
 _RETAINED = _rates("now", "results") + ", " + _rates("later", "retained") + """,
 diagonal AS (SELECT trajectory_id, session, sum(r) / 10 AS d FROM now GROUP BY ALL), final AS (SELECT trajectory_id, session, sum(r) / 10 AS f FROM later GROUP BY ALL)
 SELECT trajectory_id, round(avg(f - d), 6) + 0.0 AS backward_change, round(max(greatest(0, d - f)), 6) AS worst_drop, round(avg(f), 6) AS mean_retained,
-  round(avg(d), 6) AS mean_diagonal FROM final JOIN diagonal USING (trajectory_id, session) WHERE trajectory_id LIKE '%margin' GROUP BY ALL"""
+  round(avg(d), 6) AS mean_diagonal FROM final JOIN diagonal USING (trajectory_id, session) WHERE trajectory_id LIKE '%margin|%' GROUP BY ALL"""
 
 
 @query(_loop_sql(_EVALUATED))
 def trajectory_loop(spark, sf_dir):
     rows = trials(spark, sf_dir)
     run = trajectory.Experiment(rows, arms(spark, sf_dir), "centroid", B).run(SESSIONS)
-    table = trajectory.evaluate(run, LABELS).drop("query_budget")
+    table = trajectory.evaluate(run, LABELS)
     return rounded(table, "accuracy", "balanced_accuracy", "macro_f1")
 
 
@@ -354,15 +365,14 @@ def windowed(spark, sf_dir):
 @query()
 def trajectory_ridge(spark, sf_dir):
     plan = [("class_balanced_margin", B), ("least_confidence", B), ("core_set", B)]
-    experiment = trajectory.Experiment(windowed(spark, sf_dir), arms(spark, sf_dir, plan), "ridge", B, folds=3)
-    return rounded(trajectory.evaluate(experiment.run(SESSIONS[:1]), LABELS), "accuracy", "balanced_accuracy", "macro_f1")
+    experiment = trajectory.Experiment(windowed(spark, sf_dir), arms(spark, sf_dir, plan), "ridge", B)
+    return rounded(trajectory.evaluate(experiment.run(SESSIONS), LABELS), "accuracy", "balanced_accuracy", "macro_f1")
 
 
 @query(_loop_sql(_RETAINED))
 def final_state_retention(spark, sf_dir):
     rows = trials(spark, sf_dir)
-    plan = [("class_balanced_margin", B), ("global_margin", B)]
-    experiment = trajectory.Experiment(rows, arms(spark, sf_dir, plan), "centroid", B)
+    experiment = trajectory.Experiment(rows, arms(spark, sf_dir, MARGIN_ARMS), "centroid", B)
     run = experiment.run(SESSIONS)
     labels = LABELS
     final = metrics.fold_metrics(experiment.retained_predictions(run, SESSIONS[:-1]), ["trajectory_id", "session"], labels)
