@@ -133,3 +133,18 @@ def test_seed_schedule_sizes(spark):
     people = spark.createDataFrame([(f"P{i:02d}",) for i in range(1, 8)], "participant string")
     counts = {r.seed_family: r["count"] for r in identity.seed_schedule(people, "ns").groupBy("seed_family").count().collect()}
     assert (counts["RANDOM_ACQUISITION"], counts["POOL_SUBSET"], counts["MODEL_TRAINING"]) == (60, 5, 42) and sum(counts.values()) == 111
+
+
+def test_pools_stop_at_a_label_without_a_count(spark):
+    rows = spark.createDataFrame([("P01", 1, 9, "aa")], "participant string, session int, label int, token string")
+    with pytest.raises(Exception, match="no class count for label 9"):
+        protocol.stratified_pools(rows, [(1, 101)]).collect()
+
+
+def test_every_participant_is_left_out_once(spark):
+    rows = spark.createDataFrame([("P01", 1), ("P02", 3), ("P03", 1)], "participant string, session int")
+    found = {tuple(r) for r in protocol.leave_each_out(rows, 2).select("target", "participant", "fold_role").collect()}
+    assert found == {
+        ("P01", "P02", "validation"), ("P01", "P03", "train"), ("P02", "P01", "train"), ("P02", "P03", "train"),
+        ("P03", "P01", "train"), ("P03", "P02", "validation"),
+    }
