@@ -37,12 +37,89 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
-@query()
+@query(r"""
+WITH RECURSIVE cut AS (
+  SELECT page_id, instr(url, '://') > 0 AS there, substring(url, instr(url, '://') + 3) AS rest FROM pages
+), split AS (
+  SELECT page_id,
+    CASE WHEN there THEN translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+    CASE WHEN there THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM cut
+), shaped AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(path,
+    '\b(?:[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[0-9A-Fa-f]{16,})\b', '%', 'g'), '[0-9]+', '#', 'g'), '/+', '/', 'g'), '/\z', '') AS shape,
+    TRY_CAST(regexp_extract(path, '/([0-9]{1,18})(?:[.]html|/)?\z', 1) AS BIGINT) AS number
+  FROM split
+), labelled AS (
+  SELECT page_id, quality = 1 AND toxic = 0 AS good FROM shaped JOIN labels ON number = doc_id WHERE (quality = 1 AND toxic = 0) IS NOT NULL
+), known AS (
+  SELECT host, shape, count(*) AS n, count(good) AS n_labelled, count(*) FILTER (WHERE good) AS n_good
+  FROM shaped LEFT JOIN labelled USING (page_id) GROUP BY host, shape
+), total AS (
+  SELECT coalesce(sum(n_good)::DOUBLE / nullif(sum(n_labelled), 0), 1.0) AS base FROM known
+), parts AS (
+  SELECT host, shape, n, [x FOR x IN string_split(shape, '/') IF x <> ''] AS p FROM known
+), steps AS (
+  SELECT host, shape, n, d, p[d + 1] AS segment, array_to_string(p[1:d], '/') AS above FROM (SELECT *, unnest(range(len(p))) AS d FROM parts)
+), counts AS (
+  SELECT host, d, above, segment, sum(n) AS pages FROM steps GROUP BY ALL
+), rare AS (
+  SELECT host, d, above, segment FROM (
+    SELECT *, count(*) OVER w AS fan, sum(pages) OVER w AS everything FROM counts WINDOW w AS (PARTITION BY host, d, above)
+  ) WHERE fan > 32 AND pages * 32 < everything
+), named AS (
+  SELECT s.host, s.shape, s.d, CASE WHEN r.host IS NULL THEN s.segment ELSE '*' END AS segment
+  FROM steps s LEFT JOIN rare r ON s.host = r.host AND s.d = r.d AND s.above = r.above AND s.segment = r.segment
+), nodes AS (
+  SELECT host, shape, 0 AS depth, '' AS node FROM known
+  UNION ALL
+  SELECT host, shape, d + 1, '/' || string_agg(segment, '/') OVER (PARTITION BY host, shape ORDER BY d) FROM named
+), stats AS (
+  SELECT host, depth, node, CASE WHEN depth = 0 THEN '' ELSE regexp_replace(node, '/[^/]*\z', '') END AS above,
+    sum(n_labelled)::DOUBLE AS n, sum(n_good)::DOUBLE AS good
+  FROM nodes JOIN known USING (host, shape) GROUP BY host, depth, node
+), banded AS (
+  SELECT host, depth, node, above, n, good, floor(10 * (good + base) / (n + 1))::INT AS band FROM stats, total
+), branches AS (
+  SELECT host, depth, node, CASE WHEN depth = 0 THEN '' ELSE above || '/~' || band END AS branch,
+    sum(n) OVER w AS n, sum(good) OVER w AS good
+  FROM banded WINDOW w AS (PARTITION BY host, depth, above, band)
+), ends AS (
+  SELECT host, shape, arg_max(node, depth) AS template FROM nodes GROUP BY host, shape
+), chains AS (
+  SELECT DISTINCT host, template, depth, branch, b.n, b.good
+  FROM ends JOIN nodes USING (host, shape) JOIN branches b USING (host, depth, node)
+), folded AS (
+  SELECT host, template, 0 AS depth, branch AS node, n, good FROM chains WHERE depth = 0
+  UNION ALL
+  SELECT c.host, c.template, c.depth, CASE WHEN other THEN c.branch ELSE c.node END, CASE WHEN other THEN c.n ELSE c.old_n END,
+    CASE WHEN other THEN c.good ELSE c.old_good END
+  FROM (
+    SELECT c.*, f.node, f.n AS old_n, f.good AS old_good,
+      f.n = 0 OR abs(c.good - c.n * ((f.good + base) / (f.n + 1)))
+        > 2 * sqrt(c.n * ((f.good + base) / (f.n + 1)) * (1 - (f.good + base) / (f.n + 1))) + 0.5 AS other
+    FROM folded f JOIN chains c ON c.host = f.host AND c.template = f.template AND c.depth = f.depth + 1, total
+  ) c
+), judged AS (
+  SELECT host, template, arg_max(node, depth) AS judged_by, (arg_max(good, depth) + base * 10) / (arg_max(n, depth) + 10) AS score
+  FROM folded, total GROUP BY host, template, base
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM shaped
+)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN score < 0.5 THEN 'block' ELSE 'allow' END AS verdict, template, judged_by, round(score, 9) AS score
+FROM ruled JOIN ends USING (host, shape) JOIN judged USING (host, template)""")
 def op2_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page by rules, else by its template. A page is labelled if its path ends in the number of a labelled document."""
     pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
     path = url_templates.host_and_path(F.col("url"))[1]
-    number = F.regexp_extract(path, "/([0-9]{1,18})(?:[.]html|/)?$", 1).try_cast("long")
+    number = F.regexp_extract(path, "/([0-9]{1,18})(?:[.]html|/)?\\z", 1).try_cast("long")
     good = F.expr("quality = 1 AND toxic = 0")
     known = pages.select("page_id", number.alias("doc_id")).join(labels.select("doc_id", good.alias("good")), "doc_id").select("page_id", "good")
     found = url_templates.judge(pages, known, RULES)

@@ -1,6 +1,6 @@
 """Verdicts on URLs by rules and by a tree of path templates for each host.
 
-A path's segments are nodes of a tree below its host. Runs of digits become ``#`` and long hexadecimal strings ``%``;
+A path's segments are nodes of a tree below its host. Runs of digits become ``#``, UUIDs and long hexadecimal words ``%``;
 where a node has many different branches, all but the frequent ones become ``*``. Labelled pages give every node a
 count and a share of good pages. Branches of one node whose smoothed shares fall into the same band are merged, and from
 the host downwards a branch is merged with what is above it unless its share differs significantly. A template is
@@ -27,6 +27,7 @@ PURITY = 0.5
 BANDS = 10
 #: Standard errors by which a branch must differ from the node above to stand alone.
 SIGNIFICANT = 2.0
+UUID = "[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,9 +52,9 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Col
 
 
 def shape_of(path: Column) -> Column:
-    """The path with ``#`` for runs of digits and ``%`` for hexadecimal strings of 16 or more signs; no empty segments."""
-    shape = F.regexp_replace(path, r"(?i)(?<![0-9a-z])(?=[0-9a-f-]*[0-9])[0-9a-f-]{16,}(?![0-9a-z])", "%")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(shape, r"[0-9]+", "#"), "/+", "/"), "/$", "")
+    """The path with ``#`` for runs of digits and ``%`` for UUIDs and words of 16 or more hexadecimal digits; no empty segments."""
+    shape = F.regexp_replace(path, f"(?<![0-9A-Za-z_])(?:{UUID}|[0-9A-Fa-f]{{16,}})(?![0-9A-Za-z_])", "%")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(shape, r"[0-9]+", "#"), "/+", "/"), r"/\z", "")
 
 
 def templates(pages: DataFrame, branches: int = BRANCHES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import re
 
+import oracle
 from pyspark.sql import functions as F
 
 from driftpool.llm import queries, url_templates
@@ -66,3 +67,21 @@ def test_shapes(spark):
     cases = {"/a/12/b-3.html": "/a/#/b-#.html", "/x//y/": "/x/y", "/u/3f2504e0-4f89-11d3-9a0c-0305e82c3301": "/u/%", "/": "", "": "", "/deadbeef": "/deadbeef"}
     got = spark.createDataFrame([(k,) for k in cases], "path string").select("path", url_templates.shape_of(F.col("path")).alias("shape")).collect()
     assert {r.path: r.shape for r in got} == cases
+
+
+def test_sql_on_odd_and_wide_pages(spark, tmp_path):
+    """Every branch of the method: wildcards, merged and separate branches, hexadecimal words, repeated and null labels."""
+    words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(100)]
+    urls = ODD + [f"http://w.net/{w}/{i}" for i, w in enumerate(words)] + [f"http://w.net/often/{i}.html" for i in range(300)]
+    urls += [f"http://h.net/{'spam' if i % 3 == 0 else 'news' if i % 3 == 1 else 'blog'}/{i % 7}/{i}/" for i in range(600)]
+    urls += ["http://u.net/3F2504e0-4f89-11d3-9a0c-0305e82c3301/0123456789abcdef/x_0123456789abcdef/0123456789abcdefg", "http://u.net/a//b/", "http://u.net/a\n/1/\n"]
+    pages = spark.createDataFrame(list(enumerate(urls + urls[:9])) + [(None, ODD[5]), (3, ODD[3])], "page_id long, url string")
+    labels = [(i, int(i % 3 > 0 or i % 60 == 0), 0 if i % 11 else 1) for i in range(0, 600, 2)] + [(4, 1, 0), (4, 0, 0), (6, None, 0), (None, 1, 0)]
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = oracle.duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = queries.QUERIES["op2_url_templates"](spark, str(tmp_path))
+    assert oracle.compare(found, queries.SQL["op2_url_templates"], con) is None
+    assert {r.verdict for r in found.filter("rule IS NULL").select("verdict").collect()} == {"allow", "block"}
