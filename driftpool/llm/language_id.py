@@ -23,6 +23,8 @@ from driftpool.llm.common import prepare, whole_text
 SAMPLE_TEXTS, SAMPLE_POINTS, DICTIONARY_BYTES = 160, 2_000, 128 << 10
 #: Languages that a model may have (the most frequent, should labels hold more).
 MOST_LANGUAGES = 64
+#: Partitions whose best texts are compared in one task before those of a whole language are.
+PARTS_TOGETHER = 32
 LEVEL = 9
 #: Smallest lead over the second language, as a share of the second's size beyond a frame's own bytes.
 MARGIN = 0.01
@@ -48,7 +50,9 @@ def train(labelled: DataFrame) -> dict[str, bytes]:
     rows = labelled.select("lang", whole_text().alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
     rows = rows.join(F.broadcast(common), "lang").select("lang", F.xxhash64("text").alias("tie"), F.substring("text", 1, SAMPLE_POINTS).alias("text"))
-    sample = top_per_group(rows.dropDuplicates(["lang", "tie"]), ["lang"], [F.col("tie")], SAMPLE_TEXTS)
+    rows = rows.dropDuplicates(["lang", "tie"]).withColumn("part", F.floor(F.spark_partition_id() / PARTS_TOGETHER))
+    best = top_per_group(rows, ["lang", "part"], [F.col("tie")], SAMPLE_TEXTS)  # bounds what one task of a language reads
+    sample = top_per_group(best.select("lang", "tie", "text"), ["lang"], [F.col("tie")], SAMPLE_TEXTS)
     parts: dict[str, list[bytes]] = {}
     for row in sample.orderBy("lang", "tie").collect():  # at most MOST_LANGUAGES * SAMPLE_TEXTS short texts
         parts.setdefault(row.lang, []).append(letters_of(row.text))
