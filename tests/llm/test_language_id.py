@@ -1,5 +1,7 @@
 """Held-out accuracy and odd texts of the language classifier."""
 
+import random
+
 from driftpool.llm import language_id, queries
 
 
@@ -30,3 +32,19 @@ def test_no_labels_and_no_rows(no_docs, odd_docs):
 def test_clean_documents_stay(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("length(text) > 400")
     assert language_id.accepted(docs, language_id.train(docs)).count() >= 0.97 * docs.count()
+
+
+def test_clean_document_of_any_length(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    model = language_id.train(docs)
+    texts = [r.text for r in docs.filter("lang = 'en' AND length(text) > 400").orderBy("doc_id").collect()]
+    texts = [t for t in texts if language_id.Classifier(model).judge(t)[0] == "en"]
+    words, draw = " ".join(texts).split(" "), random.Random(1)
+    starts = [draw.randrange(len(words) - 8) for _ in range(240_000)]
+    long = " ".join(" ".join(words[k : k + 8]) for k in starts)
+    assert len(long) > 10_000_000
+    rows = spark.createDataFrame([(1, long[:100_000]), (2, long)], "doc_id long, text string")
+    found = {r.doc_id: r for r in language_id.predict(rows, model).collect()}
+    assert {r.lang_pred for r in found.values()} == {"en"} and not any(r.rejected for r in found.values())
+    assert abs(found[1].score - found[2].score) < 0.2 * found[1].score
+    assert language_id.accepted(rows, model).count() == 2
