@@ -2,8 +2,9 @@
 
 A section ends at a blank line or after a paragraph whose hash says so, hence an edit moves no other section's border.
 A fingerprint is the tree as a string: the root's hash, ``#``, then sections between ``|``, paragraphs between ``;``,
-sentences between ``,``. A sentence is 8 digits of its hash and its length (code points), all hexadecimal. Inner hashes
-follow from their children, so only the root's is kept. Equal texts have equal fingerprints.
+sentences between ``,``. A sentence is 8 digits of its hash and its length (code points), all hexadecimal. One of more
+than LEAF code points is several leaves, with borders that the content sets, so that an edit changes only leaves around
+it. Inner hashes follow from their children, so only the root's is kept. Equal texts have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -22,13 +23,47 @@ from pyspark.sql import DataFrame, Window, functions as F
 from driftpool.llm.common import prepare, texts, written
 
 _SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
+_WORD = re.compile(r"\S+\s*|\s+")
 #: One paragraph in so many ends a section.
 SECTION = 8
+#: Most code points of a leaf, and fewest before a border that the content sets.
+LEAF, LEAST = 64, 16
+#: In a longer sentence, one word in so many is a border; where words are none, one window of code points in so many.
+WORDS, WINDOW, WINDOWS = 4, 6, 16
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode())
+
+
+def _cut(part: str) -> Iterator[str]:
+    """Parts of at most LEAF code points; borders follow from the code points before them, or else from the last border."""
+    start = 0
+    while len(part) - start > LEAF:
+        end = next((k for k in range(start + LEAST, start + LEAF) if _hash(part[k - WINDOW : k]) % WINDOWS == 0), start + LEAF)
+        yield part[start:end]
+        start = end
+    yield part[start:]
+
+
+def leaves(sentence: str) -> list[str]:
+    """A sentence, or its parts if it has more than LEAF code points."""
+    if len(sentence) <= LEAF:
+        return [sentence]
+    found, start, end = [], 0, 0
+    for word in _WORD.findall(sentence):
+        end += len(word)
+        if end - start >= LEAST and _hash(word.rstrip()) % WORDS == 0:
+            found += _cut(sentence[start:end])
+            start = end
+    if start < end:
+        found += _cut(sentence[start:])
+    return found
 
 
 def paragraph(line: str) -> str:
-    """Sentences of one paragraph as hash and length."""
-    return ",".join(f"{xxhash.xxh3_64_intdigest(s.encode()) >> 32:08x}{len(s):x}" for s in _SENTENCE.findall(line))
+    """Leaves of one paragraph as hash and length."""
+    return ",".join(f"{_hash(leaf) >> 32:08x}{len(leaf):x}" for s in _SENTENCE.findall(line) for leaf in leaves(s))
 
 
 def fingerprint(text: str) -> str:
@@ -46,7 +81,7 @@ def fingerprint(text: str) -> str:
 
 
 def _leaves(sections: Counter) -> Counter:
-    """Sentences, each with the newline-free length that it stands for; blank paragraphs count 1."""
+    """Leaves, each with the newline-free length that it stands for; blank paragraphs count 1."""
     found: Counter = Counter()
     for section, times in sections.items():
         for leaf in section.replace(";", ",").split(","):
@@ -59,7 +94,7 @@ def _weight(leaves: Counter) -> int:
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the two texts (0 to 1) in sentences that both have, by length; equal branches are not opened."""
+    """Share of the two texts (0 to 1) in leaves that both have, by length; equal branches are not opened."""
     if a == b:
         return 1.0
     x, y = Counter(a.partition("#")[2].split("|")), Counter(b.partition("#")[2].split("|"))
@@ -89,6 +124,26 @@ def edits(a: str, b: str) -> list[tuple[int, int]]:
     return found
 
 
+def edited_leaves(a: str, b: str) -> list[tuple[int, int, int, int]]:
+    """Where inside the paragraphs of ``edits``: section, paragraph, start and length (code points) of each leaf that the second text lacks."""
+    x = [s.split(";") for s in a.partition("#")[2].split("|")]
+    places = edits(a, b)
+    inside = set(places)
+    spare = _leaves(Counter(b.partition("#")[2].split("|")))
+    spare -= _leaves(Counter(p for k, s in enumerate(x) for j, p in enumerate(s) if (k, j) not in inside))
+    found = []
+    for k, j in places:
+        start = 0
+        for leaf in x[k][j].split(","):
+            n = int(leaf[8:], 16) if leaf else 0
+            if spare[leaf] > 0:
+                spare[leaf] -= 1
+            else:
+                found.append((k, j, start, n))
+            start += n
+    return found
+
+
 def edited(text: str, following: str) -> str:
     """The last third (code points, rounded down) replaced by as many of the following text, or all it has."""
     n = len(text) // 3

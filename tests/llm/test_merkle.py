@@ -1,6 +1,7 @@
 """Merkle fingerprints and the comparison with the next document."""
 
 import hashlib
+import random
 
 from driftpool.llm import merkle
 
@@ -45,3 +46,27 @@ def test_edits_are_located():
     section, paragraph = places[0]
     assert a.partition("#")[2].split("|")[section].split(";")[paragraph] == merkle.paragraph(text.split("\n")[31])
     assert 0.95 < merkle.likeness(a, b) < 1 and merkle.likeness(a, merkle.fingerprint("Other words.")) == 0
+
+
+def test_leaves_are_bounded_and_edits_stay_local():
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(2, 9))) for _ in range(400)]
+    lines = [
+        " ".join(draw.choices(words, k=600)),  # no full stop
+        " | ".join(str(draw.randrange(10**6)) for _ in range(400)),
+        "".join(chr(0x4E00 + draw.randrange(3000)) + "。" * (k % 12 == 0) for k in range(2_000)),
+        "".join(draw.choices("0123456789abcdef", k=3_000)),
+        "ab " * 1_000, "=" * 3_000, ". " * 900, "!" * 2_000, " " * 2_000,
+    ]
+    for line in lines:
+        parts = [leaf for s in merkle._SENTENCE.findall(line) for leaf in merkle.leaves(s)]
+        assert "".join(parts) == line and max(map(len, parts)) <= merkle.LEAF and len(parts) < len(line) / 8 + 900 * (line == ". " * 900)
+        a = merkle.fingerprint(line)
+        assert merkle.likeness(a, merkle.fingerprint(merkle.edited(line, "Other text here" * 500))) > 0.6
+        half = len(line) // 2
+        for changed in (line[:half] + "#" + line[half:], line[:half] + "#" + line[half + 1 :], "#" + line):
+            assert 0.85 < merkle.likeness(a, merkle.fingerprint(changed)) < 1
+    changed = lines[0][:2000] + "#" + lines[0][2000:]
+    places = merkle.edited_leaves(merkle.fingerprint(lines[0]), merkle.fingerprint(changed))
+    assert 0 < len(places) < 6 and any(start <= 2000 <= start + n for *_, start, n in places) and all(abs(start - 2000) < 500 for *_, start, n in places)
+    assert merkle.edited_leaves(merkle.fingerprint(lines[0]), merkle.fingerprint(lines[0])) == []
