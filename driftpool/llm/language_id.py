@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,12 +19,12 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from driftpool.functions.ranking import top_per_group
-from driftpool.llm.common import prepare, whole_text
+from driftpool.llm.common import prepare, whole_text, written
 
 #: The classifier's sample: so many labelled texts per language, so many code points of each, so many bytes in all.
 SAMPLE_TEXTS, SAMPLE_POINTS, DICTIONARY_BYTES = 160, 2_000, 128 << 10
-#: Languages that a model may have (the most frequent, should labels hold more).
-MOST_LANGUAGES = 64
+#: Languages whose dictionaries are ready at once; more are scored group by group.
+LANGUAGES_TOGETHER = 64
 #: Partitions whose best texts are compared in one task before those of a whole language are.
 PARTS_TOGETHER = 32
 LEVEL = 9
@@ -47,45 +48,93 @@ def dictionaries(sample: dict[str, list[bytes]]) -> dict[str, bytes]:
 def train(labelled: DataFrame) -> dict[str, bytes]:
     """Dictionary content per language from ``text`` and ``lang``; rows that lack either or have no letter are left out.
 
-    The sample is the texts of smallest hash, so it depends neither on order nor on partitions; equal texts count once
-    and ties cannot occur. No labelled row gives an empty model.
+    Every language that is left is learned. The sample is the texts of smallest hash, read from their first letter on, so
+    it depends neither on order nor on partitions; equal texts count once and ties cannot occur. No labelled row gives an
+    empty model. The driver and each worker hold at most DICTIONARY_BYTES per language and half of the sample.
     """
+    prepare(labelled.sparkSession)
     rows = labelled.select("lang", whole_text().alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    common = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    rows = rows.join(F.broadcast(common), "lang").select("lang", F.xxhash64("text").alias("tie"), F.substring("text", 1, SAMPLE_POINTS).alias("text"))
+    from_letter = F.regexp_replace("text", r"\A\P{L}+", "")
+    rows = rows.select("lang", F.xxhash64("text").alias("tie"), F.substring(from_letter, 1, SAMPLE_POINTS).alias("text"))
     rows = rows.dropDuplicates(["lang", "tie"]).withColumn("part", F.floor(F.spark_partition_id() / PARTS_TOGETHER))
     best = top_per_group(rows, ["lang", "part"], [F.col("tie")], SAMPLE_TEXTS)  # bounds what one task of a language reads
     sample = top_per_group(best.select("lang", "tie", "text"), ["lang"], [F.col("tie")], SAMPLE_TEXTS)
-    parts: dict[str, list[bytes]] = {}
-    for row in sample.orderBy("lang", "tie").collect():  # at most MOST_LANGUAGES * SAMPLE_TEXTS short texts
-        parts.setdefault(row.lang, []).append(letters_of(row.text))
-    halves = [Classifier(dictionaries({lang: x[k::2] for lang, x in parts.items()})) for k in (0, 1)]
-    checked = {
-        lang: [t for k, t in enumerate(x) if lang not in halves[1 - k % 2].languages or halves[1 - k % 2].smallest(t)[0] == lang] or x
-        for lang, x in parts.items()
-    }
-    return dictionaries(checked)
+    sample = written(sample.select("lang", "rank", "text"), "language-sample")
+    models: list[dict[str, bytes]] = [{}, {}]
+    for lang, parts in _by_language(sample):
+        for half in (0, 1):
+            models[half] |= dictionaries({lang: [t for rank, t, _ in parts if (rank - 1) % 2 == half]})
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        halves = [Classifier(m) for m in models]
+        for batch in batches:
+            own = [True] * batch.num_rows
+            langs, ranks, given = (batch.column(c).to_pylist() for c in ("lang", "rank", "text"))
+            for half in (0, 1):
+                there = [k for k, (lang, rank) in enumerate(zip(langs, ranks, strict=True)) if (rank - 1) % 2 == half and lang in models[1 - half]]
+                for k, (found, _) in zip(there, halves[1 - half].judge_all([given[k] for k in there]), strict=True):
+                    own[k] = found == langs[k]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("lang", "rank", "text")), pa.array(own, pa.bool_())], names=["lang", "rank", "text", "own"])
+
+    checked = written(sample.mapInArrow(check, "lang string, rank int, text string, own boolean"), "language-checked")
+    model: dict[str, bytes] = {}
+    for lang, parts in _by_language(checked):
+        model |= dictionaries({lang: [t for _, t, own in parts if own] or [t for _, t, _ in parts]})
+    return model
+
+
+def _by_language(sample: DataFrame) -> Iterator[tuple[str, list[tuple[int, bytes, bool]]]]:
+    """Rank, letters and check of each language's texts; the driver holds one partition at a time."""
+    rows = sample.orderBy("lang", "rank").toLocalIterator()
+    for lang, parts in groupby(rows, key=lambda r: r.lang):
+        yield lang, [(r["rank"], letters_of(r.text), "own" not in r or r.own) for r in parts]
 
 
 class Classifier:
     def __init__(self, model: dict[str, bytes]) -> None:
-        self.languages, self.compressors = sorted(model), []
-        for lang in self.languages:
-            content = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        self.model, self.languages = model, sorted(model)
+        self.groups = [self.languages[k : k + LANGUAGES_TOGETHER] for k in range(0, len(self.languages), LANGUAGES_TOGETHER)]
+        self.kept = self.compressors(self.groups[0]) if len(self.groups) == 1 else None
+
+    def compressors(self, languages: list[str]) -> list[zstandard.ZstdCompressor]:
+        found = []
+        for lang in languages:
+            content = zstandard.ZstdCompressionDict(self.model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(level=LEVEL)
-            self.compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+            found.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+        return found
 
     def judge(self, text: str) -> tuple[str, float]:
         """Language and lead: 0 (tie) to 1; ties go to the language first in order."""
-        return self.smallest(letters_of(text))
+        return self.judge_all([text])[0]
+
+    def judge_all(self, texts: list[str]) -> list[tuple[str, float]]:
+        """The same for many texts; each group's dictionaries are made ready once, the best two go on."""
+        data = [letters_of(t) for t in texts]
+        pieces = [[x[k : k + PIECE_BYTES] for k in range(0, len(x), PIECE_BYTES)] or [x] for x in data]
+        best: list[list[tuple[int, str]]] = [[] for _ in data]
+        for group in self.groups if data else []:
+            ready = self.kept or self.compressors(group)
+            for k, parts in enumerate(pieces):
+                best[k] = sorted([*best[k], *((sum(len(c.compress(p)) for p in parts), lang) for c, lang in zip(ready, group, strict=True))])[:2]
+        return [_lead(two, len(parts)) for two, parts in zip(best, pieces, strict=True)]
+
+
+def _lead(two: list[tuple[int, str]], frames: int) -> tuple[str, float]:
+    if len(two) == 1:
+        return two[0][1], 1.0
+    (best, lang), (second, _) = two
+    return lang, (second - best) / max(1, second - FRAME_BYTES * frames, second - best)
+
 
-    def smallest(self, data: bytes) -> tuple[str, float]:
-        pieces = [data[k : k + PIECE_BYTES] for k in range(0, len(data), PIECE_BYTES)] or [data]
-        sizes = sorted((sum(len(c.compress(p)) for p in pieces), lang) for c, lang in zip(self.compressors, self.languages, strict=True))
-        if len(sizes) == 1:
-            return sizes[0][1], 1.0
-        (best, lang), (second, _) = sizes[:2]
-        return lang, (second - best) / max(1, second - FRAME_BYTES * len(pieces), second - best)
+def _judged(texts: pa.Array, classifier: Classifier | None) -> list[tuple[str, float]]:
+    """Answers for a batch; texts without letters, or an empty model, are unknown."""
+    found, given = [(UNKNOWN, 0.0)] * len(texts), texts.to_pylist()
+    if classifier:
+        there = [k for k, known in enumerate(pc.match_substring_regex(texts, r"\p{L}").to_pylist()) if known]
+        for k, answer in zip(there, classifier.judge_all([given[k] for k in there]), strict=True):
+            found[k] = answer
+    return found
 
 
 def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
@@ -99,10 +148,7 @@ def predict(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = Classifier(model) if model else None
         for batch in batches:
-            found = []
-            letters = pc.match_substring_regex(batch.column("text"), r"\p{L}").to_pylist()
-            for text, known in zip(batch.column("text").to_pylist(), letters, strict=True):
-                found.append(classifier.judge(text) if known and classifier else (UNKNOWN, 0.0))
+            found = _judged(batch.column("text"), classifier)
             langs, scores = [x for x, _ in found], [s for _, s in found]
             rejected = [x == UNKNOWN or s < margin for x, s in found]
             yield pa.RecordBatch.from_arrays(
@@ -123,8 +169,7 @@ def accepted(docs: DataFrame, model: dict[str, bytes], margin: float = MARGIN) -
     def sure(texts):
         if not ready:
             ready.append(Classifier(model) if model else None)
-        letters = pc.match_substring_regex(pa.array(texts, pa.string()), r"\p{L}").to_pylist()
-        found = [bool(known and ready[0] and ready[0].judge(t)[1] >= margin) for t, known in zip(texts, letters, strict=True)]
+        found = [lang != UNKNOWN and score >= margin for lang, score in _judged(pa.array(texts, pa.string()), ready[0])]
         return texts.__class__(found, dtype=bool)
 
     return docs.filter(sure(whole_text()))

@@ -48,3 +48,19 @@ def test_clean_document_of_any_length(spark, sf_dir):
     assert {r.lang_pred for r in found.values()} == {"en"} and not any(r.rejected for r in found.values())
     assert abs(found[1].score - found[2].score) < 0.2 * found[1].score
     assert language_id.accepted(rows, model).count() == 2
+
+
+def test_every_language_is_learned(spark):
+    draw, rows = random.Random(2), []
+    names = [f"l{k:02d}" for k in range(70)]
+    for k, lang in enumerate(names):
+        words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(3, 8))) for _ in range(60)]
+        rows += [(100 * k + i, lang, "1234567890 " * 300 * (k == 69) + " ".join(draw.choices(words, k=80))) for i in range(4 if k < 64 else 3)]
+    docs = spark.createDataFrame([*rows, (-1, "none", "12 34"), (-2, None, "some words")], "doc_id long, lang string, text string")
+    model = language_id.train(docs)
+    assert sorted(model) == names
+    given = docs.filter("doc_id >= 0").repartition(2)
+    found = language_id.predict(given, model)
+    right = found.join(given, "doc_id").filter("lang = lang_pred AND NOT rejected")
+    assert right.count() == len(rows) == language_id.accepted(given, model).count()
+    assert [language_id.Classifier({x: model[x] for x in names[:64]}).judge(t)[0] for *_, t in rows[:3]] == ["l00"] * 3
