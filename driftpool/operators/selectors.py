@@ -7,6 +7,7 @@ results do not depend on partitioning.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -28,6 +29,8 @@ ANCHOR_BLOCK = 256
 #: Candidate x history pairs of one group measured inside rows; larger groups use matrix chunks.
 ROW_PAIRS = 1_000_000
 CANDIDATE_CHUNK, HISTORY_CHUNK = 20_000, 5_000
+#: Candidates whose differences to a block of history are held at once.
+MATRIX_ROWS = 200
 
 
 def class_balanced_margin(
@@ -132,12 +135,18 @@ def distance_to_history(
     Small groups take the minimum inside the row, against history packed into
     blocks. Where a group would cost more than ``row_pairs`` distances, chunks of
     candidates meet blocks of history as two matrices. No pair is ever a row.
+    Both sum squared differences in the embedding's order, hence agree in every
+    bit. A group with candidates but no history is an error.
     """
     keys = list(keys)
     counts = lambda df, name: stage(df.groupBy(*keys).agg(F.count("*").alias(name)), "sizes")
     sizes = counts(history, "_h")
-    if largest_group(pool, keys) * (sizes.agg(F.max("_h")).first()[0] or 0) > row_pairs:
-        reduced = _chunked_distance(pool, history, keys, token, embedding, counts(pool, "_p").join(sizes, keys), out)
+    groups = stage(counts(pool, "_p").join(sizes, keys, "left").filter("_p > 0"), "groups")
+    lacking = groups.filter("coalesce(_h, 0) = 0").select(*keys).limit(5).collect()
+    if lacking:
+        raise ValueError(f"groups of candidates without history, among them: {[r.asDict() for r in lacking]}")
+    if math.prod(groups.agg(F.max("_p"), F.max("_h")).first()[k] or 0 for k in (0, 1)) > row_pairs:
+        reduced = _chunked_distance(pool, history, keys, token, embedding, groups, out)
         return pool.join(reduced, [*keys, token])
     packed = (
         history.select(*keys, F.col(token).alias("_t"), F.col(embedding).cast("array<double>").alias("_e"))
@@ -159,7 +168,7 @@ def distance_to_history(
 def _chunked_distance(
     pool: DataFrame, history: DataFrame, keys: list[str], token: str, embedding: str, sizes: DataFrame, out: str
 ) -> DataFrame:
-    """Chunks of a group's candidates against blocks of its history, one matrix product each."""
+    """Chunks of a group's candidates against blocks of its history, differences summed over the dimensions."""
     sizes = stage(sizes.select(
         *keys, F.ceil(F.col("_p") / CANDIDATE_CHUNK).cast("int").alias("_chunks"), F.ceil(F.col("_h") / HISTORY_CHUNK).cast("int").alias("_blocks")
     ), "chunks")
@@ -181,11 +190,14 @@ def _chunked_distance(
             return result.iloc[:0].assign(_d=pd.Series(dtype=float))
         x, a = np.vstack(candidates["_e"].to_numpy()), np.vstack(anchors["_e"].to_numpy())
         best = np.empty(len(x))
-        for start in range(0, len(x), 2_000):
-            part = x[start:start + 2_000]
-            square = (part**2).sum(axis=1)[:, None] + (a**2).sum(axis=1)[None, :] - 2.0 * part @ a.T
-            best[start:start + 2_000] = square.min(axis=1)
-        result["_d"] = np.maximum(best, 0.0)
+        for start in range(0, len(x), MATRIX_ROWS):
+            part = x[start:start + MATRIX_ROWS]
+            square = np.zeros((len(part), len(a)))
+            for ours, theirs in zip(part.T, a.T, strict=True):
+                apart = np.subtract.outer(ours, theirs)
+                square += np.multiply(apart, apart, out=apart)
+            best[start:start + MATRIX_ROWS] = square.min(axis=1)
+        result["_d"] = best
         return result
 
     schema = StructType([*[pool.schema[k] for k in keys], StructField("_t", StringType()), StructField("_d", DoubleType())])

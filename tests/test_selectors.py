@@ -225,3 +225,28 @@ def test_gradient_embedding(spark):
     got = row.select(gradient_embedding(F.col("p"), F.col("r")).alias("g")).first().g
     error = np.array([0.2, -0.5, 0.3])
     assert got == pytest.approx(np.r_[np.outer(error, [1.0, -2.0]).ravel(), error])
+
+
+def test_distance_is_the_same_by_both_plans(spark):
+    draw = np.random.default_rng(3)
+    points = 1e6 + 1e-3 * draw.integers(0, 50, (20, 6))
+    rows = [("a", f"t{k:02d}", x.tolist()) for k, x in enumerate(points)]
+    p = spark.createDataFrame(rows[:12], "g string, token string, embedding array<double>")
+    h = spark.createDataFrame(rows[12:], p.schema)
+    small, large = (
+        {r.token: r.history_distance for r in selectors.distance_to_history(p, h, ["g"], row_pairs=n).collect()} for n in (10**6, 1))
+    assert small == large and len(small) == 12
+    for (_, token, _), x in zip(rows[:12], points):
+        assert large[token] == pytest.approx(np.sqrt(((points[12:] - x) ** 2).sum(axis=1)).min(), rel=1e-12)
+
+
+@pytest.mark.parametrize("pairs", [10**6, 1])
+def test_candidates_without_history_are_an_error(spark, pairs):
+    p = spark.createDataFrame([("a", "t1", [1.0]), ("b", "t2", [2.0])], "g string, token string, embedding array<double>")
+    h = p.filter("g = 'a'")
+    with pytest.raises(ValueError, match="without history.*'b'"):
+        selectors.distance_to_history(p, h, ["g"], row_pairs=pairs)
+    with pytest.raises(ValueError, match="without history"):
+        selectors.core_set(p, h, ["g"], 1)
+    with pytest.raises(ValueError, match="without history"):
+        selectors.ranked_batch(p.withColumn("margin", F.lit(0.5)), h, ["g"], 1)
