@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftpool.llm import bit_search, bpe, jaccard_join, language_id, line_dedup, merkle, packing, suffix_dedup, token_files, url_templates
+from driftpool.llm import (
+    bit_search, bpe, jaccard_join, language_id, line_dedup, merkle, packing, spelling, suffix_dedup, token_files, url_templates,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -203,3 +205,52 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     report = line_dedup.kept_report(docs, line_dedup.keep_bitmaps(docs))
     return report.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+# -- CRC-32 in SQL: a byte's eight steps as a table, then one look-up per byte of the text ------
+
+CRC = """polynomial AS (
+  SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) FOR i IN range(256)] AS steps
+)"""
+
+
+def crc(text: str) -> str:
+    """SQL for the unsigned CRC-32 of the UTF-8 bytes of ``text``, whose code points are below 2048."""
+    points = f"flatten([CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6), 128 + (ord(c) & 63)] END FOR c IN string_split({text}, '')])"
+    return f"xor(list_reduce({points}, lambda r, b: xor(r >> 8, steps[xor(r & 255, b) + 1]), 4294967295), 4294967295)"
+
+
+@query(f"""
+WITH RECURSIVE {CRC}, runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents
+), lowered AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+  FROM runs WHERE length(run) >= 6 GROUP BY ALL
+), hashed AS (
+  SELECT run, n, {crc("doc_id || ':' || run")} AS h FROM lowered, polynomial
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5
+), rests AS (
+  SELECT word, n, i, left(word, i - 1) || substring(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word AS u, b.word AS v, b.n FROM rests a JOIN rests b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN rests b ON a.word = b.rest
+  UNION SELECT b.word, a.word, a.n FROM words a JOIN rests b ON a.word = b.rest
+), near AS (
+  SELECT u AS word, count(*) AS n_near, max(n) AS best_n FROM pairs GROUP BY u
+), best AS (
+  SELECT u AS word, min(v) AS best FROM pairs JOIN near ON u = word AND n = best_n GROUP BY u
+), judged AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN near USING (word) LEFT JOIN best USING (word)
+), walk AS (
+  SELECT word, word AS root, form AS next FROM judged
+  UNION ALL
+  SELECT w.word, w.next, j.form FROM walk w JOIN judged j ON j.word = w.next
+)
+SELECT j.word, j.form, w.root, j.n, j.n_near, j.form_n FROM judged j JOIN walk w ON w.word = j.word AND w.next IS NULL""")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, their commoner spellings and how many words are near."""
+    found = spelling.variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
