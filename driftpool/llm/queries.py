@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftpool.llm import (
-    bit_search, bpe, jaccard_join, language_id, line_dedup, merkle, packing, spelling, suffix_dedup, token_files, url_templates,
+    bit_search, bpe, conversation_repair, jaccard_join, language_id, line_dedup, merkle, packing, spelling, suffix_dedup, token_files, url_templates,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,3 +254,67 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents, their commoner spellings and how many words are near."""
     found = spelling.variants(table(spark, sf_dir, "documents"))
     return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def _more(x: str, cost: int, edit: str) -> str:
+    """SQL for a repair (its cost in nine digits, then its audit) with one more edit at the front."""
+    return f"lpad((left({x}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || '{edit}' || substring({x}, 10)"
+
+
+def _backwards() -> str:
+    """SQL columns b0 to b3: the least repair of a conversation from row k on, by the state before it, from those behind it."""
+    cut = "CASE WHEN r.fault = 'truncated' THEN 3 ELSE 0 END"
+    step = {0: 2, 1: 2, 2: 3, 3: 2}
+    edits = {}
+    for p, q in step.items():
+        keep = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[p]
+        kept = " ".join(f"WHEN r.initial = '{c}' THEN " + _more(f"b.b{to}", cut, "K") for c, to in keep.items())
+        edits[p] = f"CASE WHEN r.fault IN ('blank', 'duplicate') THEN {_more(f'b.b{p}', 4, 'D')} ELSE least({_more(f'b.b{p}', 4, 'D')}, {_more(f'b.b{q}', '3 + ' + cut, 'R')}, CASE {kept} END) END"
+    one = ", ".join(f"{edits[p]} AS e{p}" for p in step)
+    closed = ["least(e0, {i2}, {ii3})", "least(e1, {i2}, {ii3})", "least(e2, {i3})", "least(e3, {i2})"]
+    closed = ", ".join(c.format(i2=_more("e2", 3, "I"), i3=_more("e3", 3, "I"), ii3=_more("e3", 6, "II")) + f" AS b{p}" for p, c in enumerate(closed))
+    return f"SELECT conv_id, k, {closed} FROM (SELECT b.conv_id, r.k, {one} FROM back b JOIN marked r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.k = b.k - 1)"
+
+
+@query(f"""
+WITH RECURSIVE {CRC}, kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, polynomial
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds
+), placed AS (
+  SELECT *, left(role, 1) AS initial, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS k,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core FROM damaged
+), marked AS (
+  SELECT *, CASE WHEN core = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 THEN 'duplicate'
+    WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault,
+    lag(initial) OVER (PARTITION BY conv_id ORDER BY k) || initial AS meeting FROM placed
+), totals AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (meeting NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM marked GROUP BY conv_id
+), back AS (
+  SELECT conv_id, n + 1 AS k, '000000000' AS b0, '000000006II' AS b1, '000000003I' AS b2, '000000000' AS b3 FROM totals
+  UNION ALL
+  {_backwards()}
+), repairs AS (
+  SELECT conv_id, left(b0, 9)::BIGINT AS cost, substring(b0, 10) AS audit FROM back WHERE k = 1
+), letters AS (
+  SELECT conv_id, i, audit[i] AS edit, i - count(*) FILTER (audit[i] = 'I') OVER w AS k, count(*) FILTER (audit[i] <> 'D') OVER w AS j
+  FROM (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS i FROM repairs) WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), lines AS (
+  SELECT l.*, m.role, m.initial, m.text, bool_or(j = 1 AND edit = 'K' AND initial = 's') OVER (PARTITION BY l.conv_id) AS opened
+  FROM letters l LEFT JOIN marked m ON m.conv_id IS NOT DISTINCT FROM l.conv_id AND m.k = l.k AND edit <> 'I' WHERE edit <> 'D'
+), hashes AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (j - coalesce(opened, false)::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || coalesce(text, ''), chr(10) ORDER BY i)) AS digest FROM lines GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN repairs r ON r.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN hashes h ON h.conv_id IS NOT DISTINCT FROM c.conv_id""")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations after damage: their faults and the cheapest repair."""
+    return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
