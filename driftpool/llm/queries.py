@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftpool.llm import (
-    bit_search, bpe, conversation_repair, jaccard_join, language_id, line_dedup, merkle, packing, spelling, suffix_dedup, token_files, url_templates,
+    bit_search, bpe, conversation_repair, jaccard_join, language_id, line_dedup, merkle, packing, spelling, suffix_dedup, super_minhash, token_files,
+    url_templates,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,3 +319,32 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN totals t ON t.conv
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations after damage: their faults and the cheapest repair."""
     return conversation_repair.repair(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+@query(r"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(w[i : i + 3], ' ') FOR i IN range(1, len(w) - 2)])) END AS s FROM worded
+), named AS (
+  SELECT r, doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) ELSE 'row ' || r END AS class, s FROM sets
+), classes AS (
+  SELECT class, any_value(n) AS n, any_value(s) AS s, min(doc_id) AS doc_id FROM named GROUP BY class
+), grams AS (
+  SELECT class, n, unnest(s) AS gram FROM classes
+), links AS (
+  SELECT a.class AS x, b.class AS y FROM grams a JOIN grams b ON a.gram = b.gram AND a.class <> b.class AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.class, a.n, b.class, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reached AS (
+  SELECT class AS x, class AS y FROM classes
+  UNION
+  SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), components AS (
+  SELECT x AS class, min(doc_id) AS component_id FROM reached JOIN classes ON y = class GROUP BY x
+)
+SELECT doc_id, n AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM named JOIN components USING (class)""")
+def op13_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return super_minhash.near_groups(table(spark, sf_dir, "documents"))
