@@ -6,10 +6,10 @@ independent hashes, and a text stops at the first round in which every register
 number, so long texts need few rounds.
 
 Texts with equal shingle sets are one class. Classes that share a band meet in a bucket. First every member of a bucket is
-verified against the bucket's least class only, and links are grouped: a large group of near copies is one component
-after this, at one comparison each. Then only pairs of a bucket whose components still differ are verified, each once, in
-the first bucket where it meets: the members outside the bucket's largest component against each other and against that
-component, in blocks. Blocks unite what they link, so no pair that is already connected is compared, and they return a
+verified against the bucket's centre only, the class that meets most others, and links are grouped: a large group of near
+copies is one component after this, at one comparison each. Then only pairs around one centre that share a band and whose
+components still differ are verified: the members outside the centre's largest component against each other and against
+that component, in blocks. Blocks unite what they link, so no pair that is already connected is compared, and they return a
 forest, never the pairs. Similarities are counted on whole shingle sets (64-bit hashes).
 """
 
@@ -85,7 +85,7 @@ def signatures(sets: list[np.ndarray], size: int) -> np.ndarray:
                 if not active.any():
                     break
                 item, owner, place = item[active], owner[active], place[active]
-            drawn = _mixed(item + np.uint64(j + 1) * _A)
+            drawn = _mixed(item + np.uint64((j + 1) * int(_A) & 0xFFFFFFFFFFFFFFFF))
             other = j + ((drawn & _LOW32) * np.uint64(size - j) >> np.uint64(32)).astype(np.int64)
             row = np.arange(len(item))
             register = place[row, other]
@@ -144,7 +144,7 @@ def linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarra
     return 100 * both >= percent * (len(one) + sizes - both)
 
 
-def _to_the_least(words: int, percent: int):
+def _to_the_centre(words: int, percent: int):
     """Rows sorted by unit, its centre first: the members that link to the centre. Holds the centre and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted rows, one batch per unit."""
     held, now = [], None
     for batch in batches:
-        units = list(zip(*(batch.column(c).to_pylist() for c in ("label", "x", "y")), strict=True))
+        units = list(zip(*(batch.column(c).to_pylist() for c in ("centre", "x", "y")), strict=True))
         k = 0
         while k < len(units):
             end = k
@@ -196,10 +196,10 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Unit:
-    """Members of two blocks of a bucket and the pairs to verify there."""
+    """Members of two blocks around a centre and the pairs to verify there."""
 
     def __init__(self, rows: pa.RecordBatch, percent: int) -> None:
-        self.rows, self.percent, self.label = rows, percent, rows.column("label")[0].as_py()
+        self.percent = percent
         self.labels = rows.column("labels").flatten().to_numpy().reshape(rows.num_rows, -1)
         self.size = rows.column("n_shingles").to_numpy()
         names: dict[bytes, int] = {}
@@ -207,20 +207,19 @@ class _Unit:
         side = rows.column("side").to_numpy(zero_copy_only=False)
         self.alone = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
         self.left, self.right = np.flatnonzero(~side), np.flatnonzero(side)
-        self.band = int(np.flatnonzero(self.labels[0] == self.label)[0])
 
     def partners(self) -> Iterator[tuple[int, np.ndarray]]:
-        """Per member its partners: another component, a fitting size, and no earlier band in common."""
+        """Per member its partners: another component, a fitting size, and a band in common."""
         for k, x in enumerate(self.left.tolist()):
             y = self.left[k + 1 :] if self.alone else self.right
             y = y[self.root[y] != self.root[x]]
             y = y[100 * np.minimum(self.size[y], self.size[x]) >= self.percent * np.maximum(self.size[y], self.size[x])]
-            y = y[~(self.labels[y, : self.band] == self.labels[x, : self.band]).any(axis=1)]
+            y = y[(self.labels[y] == self.labels[x]).any(axis=1)]
             if len(y):
                 yield x, y
 
 
-_UNIT = "label long, x int, y int, side boolean, class binary, root binary, n_shingles long, labels array<long>"
+_UNIT = "centre binary, x int, y int, side boolean, class binary, root binary, n_shingles long, labels array<long>"
 
 
 def _needed(percent: int):
@@ -276,39 +275,45 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
     ), "set-classes")
     keys = classes.select("class", "least.doc", "least.tie")
     met = classes.select("class", "n_shingles", F.explode("labels").alias("label"))
-    centres = met.groupBy("label").agg(F.min(F.struct("class", "n_shingles")).alias("centre"), F.count("*").alias("members")).filter("members > 1")
-    shared = written(met.join(centres, "label").select("label", "class", "n_shingles", F.col("centre.class").alias("centre"), F.col("centre.n_shingles").alias("centre_size")), "buckets")
-
-    # Every member against the least class of its bucket.
+    crowds = met.groupBy("label").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = written(met.join(crowds, "label"), "shared-bands")
+    # A text that others were edited from shares more bands with more classes than its copies do among each other.
+    score = shared.groupBy("class").agg(F.sum("members").alias("score"))
+    scored = shared.join(score, "class").select("label", "class", "n_shingles", F.struct("score", "class", "n_shingles").alias("rank"))
+    centres = scored.groupBy("label").agg(F.max("rank").alias("centre"))
+    around = shared.join(centres, "label").select("class", "n_shingles", F.col("centre.class").alias("centre"), F.col("centre.n_shingles").alias("centre_size"))
+    around = written(around.filter(F.col("class") != F.col("centre")).distinct(), "centres")
+
+    # Every member against the centres of its buckets.
     fits = 100 * F.least("n_shingles", "centre_size") >= percent * F.greatest("n_shingles", "centre_size")
-    stars = shared.filter(F.col("class") != F.col("centre")).filter(fits).select("centre", "class").distinct()
+    stars = around.filter(fits).select("centre", "class")
     sizes = stars.groupBy("centre").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("salts"))
     salted = stars.join(sizes, "centre").select("centre", F.pmod(F.xxhash64("class"), "salts").cast("int").alias("salt"), F.lit(True).alias("member"), "class")
     middle = sizes.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("member"), F.col("centre").alias("class"))
     asked = with_texts(docs, salted.unionByName(middle).join(keys, "class"))
     unit = ["centre", "salt"]
-    first = written(asked.repartition(*unit).sortWithinPartitions(*unit, "member").mapInArrow(_to_the_least(words, percent), "a binary, b binary"), "star-links")
+    first = written(asked.repartition(*unit).sortWithinPartitions(*unit, "member").mapInArrow(_to_the_centre(words, percent), "a binary, b binary"), "star-links")
     roots = components(first)
 
-    # Pairs of a bucket that are still in different components.
-    known = shared.filter(F.col("class") != F.col("centre")).join(roots.withColumnRenamed("node", "class"), "class", "left")
-    known = written(known.select("label", "class", "n_shingles", F.coalesce("root", "class").alias("root")), "bucket-components")
-    open_ = known.groupBy("label").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("label")
-    members = known.join(open_, "label")
-    parts = members.groupBy("label", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    # Pairs around a centre that are still in different components.
+    known = around.join(roots.withColumnRenamed("node", "class"), "class", "left")
+    known = written(known.select("centre", "class", "n_shingles", F.coalesce("root", "class").alias("root")), "components-around")
+    open_ = known.groupBy("centre").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("centre")
+    members = known.join(open_, "centre")
+    parts = members.groupBy("centre", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     pieces = lambda n, s: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
-    plan = parts.groupBy("label").agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).select(
-        "label", F.col("top.root").alias("largest"), pieces(F.col("top.n"), F.col("top.s")).alias("k"), pieces(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("r"),
+    plan = parts.groupBy("centre").agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).select(
+        "centre", F.col("top.root").alias("largest"), pieces(F.col("top.n"), F.col("top.s")).alias("k"), pieces(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("r"),
     )
-    planned = members.join(written(plan, "open-buckets"), "label").withColumn("large", F.col("root") == F.col("largest"))
+    planned = members.join(written(plan, "open-centres"), "centre").withColumn("large", F.col("root") == F.col("largest"))
     planned = planned.withColumn("own", F.pmod(F.xxhash64("class"), F.when(F.col("large"), F.col("k")).otherwise(F.col("r"))).cast("int"))
     # Blocks of the rest have numbers below r, those of the largest component lie above.
     place = F.when(F.col("large"), F.expr("transform(sequence(0, r - 1), i -> struct(i AS x, r + own AS y, true AS side))")).otherwise(
         F.expr("transform(sequence(0, r + k - 1), j -> struct(least(own, j) AS x, greatest(own, j) AS y, j < own AS side))")
     )
-    dealt = planned.select("label", "class", "root", "n_shingles", F.explode(place).alias("at")).select("label", "at.*", "class", "root", "n_shingles")
+    dealt = planned.select("centre", "class", "root", "n_shingles", F.explode(place).alias("at")).select("centre", "at.*", "class", "root", "n_shingles")
     dealt = dealt.join(classes.select("class", "labels"), "class").select(*(c.split()[0] for c in _UNIT.split(", ")))
-    unit = ["label", "x", "y"]
+    unit = ["centre", "x", "y"]
     needed = written(dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_needed(percent), _UNIT), "needed-pairs")
     asked = with_texts(docs, needed.join(keys, "class"))
     second = written(asked.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_united(words, percent), "a binary, b binary"), "block-links")
