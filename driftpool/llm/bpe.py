@@ -12,6 +12,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +20,12 @@ from pyspark.sql import DataFrame
 
 from driftpool.llm.common import prepare, texts
 
-#: Words that a worker keeps; beyond it starts anew.
-KEPT = 400_000
+#: Bytes that a worker keeps for words it has met; what is to exceed it starts anew.
+KEPT_BYTES = 48 << 20
+#: What a kept word takes besides its own characters and tokens.
+ENTRY_BYTES = 160
+#: Words looked up together, and characters split together; both bound a worker's memory whatever a text's length.
+WORDS_AT_ONCE, POINTS_AT_ONCE = 50_000, 1 << 20
 #: Longest word (bytes) whose proposal is searched together with all others; longer ones are searched alone.
 TOGETHER = 64
 NEVER = np.int64(1 << 40)
@@ -32,6 +37,7 @@ _COMMON = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^\\s{_L}0-9]+|\\s+(?!\\S)|\\s+")
 _coders: dict[str, Coder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 def coder(path: str) -> Coder:
@@ -40,6 +46,47 @@ def coder(path: str) -> Coder:
     return _coders[path]
 
 
+def decoder(path: str) -> Decoder:
+    if path not in _decoders:
+        _decoders[path] = Decoder(path)
+    return _decoders[path]
+
+
+def shown_bytes() -> dict[str, int]:
+    """Bytes by the characters that stand for them: themselves where they print, those from 256 on elsewhere."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {c: b for b, c in [*zip(shown, map(chr, shown), strict=True), *((b, chr(256 + k)) for k, b in enumerate(hidden))]}
+
+
+def contents(vocab: dict[str, int], special: dict[str, int]) -> list[bytes]:
+    """The bytes of every token by its id."""
+    byte_of = shown_bytes()
+    content = [b""] * (max([*vocab.values(), *special.values()]) + 1)
+    for token, i in vocab.items():
+        content[i] = bytes(map(byte_of.__getitem__, token))
+    for token, i in special.items():
+        content[i] = token.encode()
+    return content
+
+
+class Decoder:
+    """Token bytes only: a worker that decodes needs neither merges nor the tree."""
+
+    def __init__(self, path: str) -> None:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        content = contents(spec["model"]["vocab"], {t["content"]: t["id"] for t in spec["added_tokens"]})
+        self.token_bytes = pa.array(content, pa.binary())
+        self.token_sizes = np.array([len(x) for x in content], np.int64)
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of runs of ids; bytes that are no UTF-8 become replacement characters."""
+        data = (self.token_bytes.take(pa.array(ids)).buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        at = np.concatenate([[0], np.cumsum(self.token_sizes[ids])])[bounds].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The runs of ``flat`` that begin at ``starts``, one after the other."""
     ends = np.cumsum(sizes)
@@ -58,18 +105,9 @@ class Coder:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("|".join(f"({re.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.library = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
-        # Bytes stand for themselves where they print, and for the characters from 256 on elsewhere.
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        self.byte_of = {c: b for b, c in [*zip(shown, map(chr, shown), strict=True), *((b, chr(256 + k)) for k, b in enumerate(hidden))]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        content = [b""] * size
-        for token, i in vocab.items():
-            content[i] = self._bytes(token)
-        for token, i in self.special.items():
-            content[i] = token.encode()
-        self.token_bytes = pa.array(content, pa.binary())
-        self.token_sizes = np.array([len(x) for x in content], np.int64)
+        self.byte_of = shown_bytes()
+        content = contents(vocab, self.special)
+        size = len(content)
         self._learn_merges(vocab, merges, size)
         self._grow_tree({content[i]: i for i in vocab.values() if self.sound[i]})
         self._clear()
@@ -116,8 +154,12 @@ class Coder:
 
     def _clear(self) -> None:
         self.places: dict[str, int] = {t: k for k, t in enumerate(self.special)}
-        self.flat = np.fromiter(self.special.values(), np.int64)
-        self.sizes = np.ones(len(self.special), np.int64)
+        n = len(self.special)
+        self.flat, self.used = np.zeros(1 << 12, np.int32), n
+        self.flat[:n] = list(self.special.values())
+        self.starts, self.sizes = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.starts[:n], self.sizes[:n] = np.arange(n), 1
+        self.held = 0
 
     def _pair_rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         key = x * self.size + y
@@ -239,33 +281,71 @@ class Coder:
         starts = np.cumsum(counts) - counts
         at = np.fromiter((number[w] for x in split for w in x), np.int64)
         bounds = np.concatenate([[0], np.cumsum(counts[at])])[np.cumsum([0, *map(len, split)])]
-        self.places.update(zip(chunks, range(len(self.sizes), len(self.sizes) + len(chunks)), strict=True))
-        self.flat = np.concatenate([self.flat, ragged(tokens, starts[at], counts[at])])
-        self.sizes = np.concatenate([self.sizes, np.diff(bounds)])
-
-    def _chunks(self, text: str) -> list[str]:
-        if self.cut is None or not any(t in text for t in self.special):
-            return _CHUNKS.findall(text)
-        return [c for part in self.cut.split(text) if part for c in ([part] if part in self.special else _CHUNKS.findall(part))]
-
-    def encode(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and where each text's begin (one more entry than texts)."""
-        if len(self.places) > KEPT:
+        first, more = len(self.places), int(bounds[-1])
+        self.places.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        self.flat = _grown(self.flat, self.used + more)
+        self.flat[self.used : self.used + more] = ragged(tokens, starts[at], counts[at])
+        self.starts, self.sizes = _grown(self.starts, first + len(chunks)), _grown(self.sizes, first + len(chunks))
+        self.starts[first : first + len(chunks)], self.sizes[first : first + len(chunks)] = self.used + bounds[:-1], np.diff(bounds)
+        self.used += more
+
+    def _blocks(self, text: str) -> Iterator[list[str]]:
+        """What the split never joins, in lists of bounded length."""
+        for part in self.cut.split(text) if self.cut is not None and any(t in text for t in self.special) else [text]:
+            if part in self.special:
+                yield [part]
+            elif part and len(part) <= POINTS_AT_ONCE:
+                yield _CHUNKS.findall(part)
+            elif part:
+                found = _CHUNKS.finditer(part)
+                while block := [m.group() for m in islice(found, WORDS_AT_ONCE)]:
+                    yield block
+
+    def _look_up(self, chunks: list[str]) -> np.ndarray:
+        new = dict.fromkeys(c for c in chunks if c not in self.places)
+        weight = sum(map(len, new)) * 2 + len(new) * ENTRY_BYTES
+        if self.held + weight > KEPT_BYTES and self.held:
             self._clear()
-        split = [self._chunks(t) for t in given]
-        new = list({c: None for x in split for c in x if c not in self.places})
+            new = dict.fromkeys(c for c in chunks if c not in self.places)
+            weight = sum(map(len, new)) * 2 + len(new) * ENTRY_BYTES
         if new:
-            self._add(new)
-        at = np.fromiter((p for x in split for p in map(self.places.__getitem__, x)), np.int64)
-        starts = np.cumsum(self.sizes) - self.sizes
-        ids = ragged(self.flat, starts[at], self.sizes[at])
-        return ids, np.concatenate([[0], np.cumsum(self.sizes[at])])[np.cumsum([0, *map(len, split)])]
+            self._add(list(new))
+            self.held += weight
+        return np.fromiter(map(self.places.__getitem__, chunks), np.int64, len(chunks))
 
-    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
-        """The texts of runs of ids; bytes that are no UTF-8 become replacement characters."""
-        data = (self.token_bytes.take(pa.array(ids)).buffers()[2] or pa.py_buffer(b"")).to_pybytes()
-        at = np.concatenate([[0], np.cumsum(self.token_sizes[ids])])[bounds].tolist()
-        return [data[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+    def encode(self, given: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (one more entry than texts)."""
+        parts, counts = [np.zeros(0, np.int32)], np.zeros(len(given), np.int64)
+        chunks: list[str] = []
+        owners: list[tuple[int, int]] = []
+
+        def flush() -> None:
+            at = self._look_up(chunks)
+            sizes = self.sizes[at].astype(np.int64)
+            parts.append(ragged(self.flat, self.starts[at].astype(np.int64), sizes))
+            whose, how_many = zip(*owners, strict=True)
+            np.add.at(counts, np.repeat(whose, how_many), sizes)
+            chunks.clear()
+            owners.clear()
+
+        for k, text in enumerate(given):
+            for block in self._blocks(text):
+                chunks += block
+                owners.append((k, len(block)))
+                if len(chunks) >= WORDS_AT_ONCE:
+                    flush()
+        if chunks:
+            flush()
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
+
+
+def _grown(held: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` entries; it doubles when it must grow."""
+    if size <= len(held):
+        return held
+    more = np.zeros(max(size, 2 * len(held)), held.dtype)
+    more[: len(held)] = held
+    return more
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -293,7 +373,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             parts = [x or b"" for x in batch.column("ids").to_pylist()]
             bounds = np.cumsum([0, *(len(x) // 4 for x in parts)])
-            decoded = coder(path).decode(np.frombuffer(b"".join(parts), "<u4").astype(np.int64), bounds)
+            decoded = decoder(path).decode(np.frombuffer(b"".join(parts), "<u4").astype(np.int64), bounds)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(decoded, pa.string())], names=["doc_id", "ids", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, text string")

@@ -299,7 +299,8 @@ def near_groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, ban
     known = around.join(roots.withColumnRenamed("node", "class"), "class", "left")
     known = written(known.select("centre", "class", "n_shingles", F.coalesce("root", "class").alias("root")), "components-around")
     open_ = known.groupBy("centre").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("centre")
-    members = known.join(open_, "centre")
+    # A written table of known size, so that a centre with very many members stays dealt as it is.
+    members = known.join(written(open_, "centres-left"), "centre")
     parts = members.groupBy("centre", "root").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
     pieces = lambda n, s: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
     plan = parts.groupBy("centre").agg(F.max(F.struct("n", "s", "root")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s")).select(

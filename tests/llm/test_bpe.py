@@ -51,3 +51,19 @@ def test_proposals_are_checked():
 
 def test_empty(no_docs):
     assert bpe.decode(bpe.encode(no_docs, PATH), PATH).count() == 0
+
+
+def test_long_text_and_small_memory(spark, library, monkeypatch):
+    """Texts beyond one block, one of them without white space, and a store that is full all the time."""
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, 9))) for _ in range(400_000))
+    check(spark.createDataFrame([(1, long), (2, "ab" * 40_000), (3, "x<|endoftext|>" + long[:1_200_000])], "doc_id long, text string"), library)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 5_000)
+    monkeypatch.setattr(bpe, "WORDS_AT_ONCE", 10)
+    monkeypatch.setattr(bpe, "POINTS_AT_ONCE", 50)
+    own = bpe.Coder(PATH)
+    texts = ["", long[:3000], " a", "<|endoftext|>", long[2000:9000]]
+    ids, bounds = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert own.held < 3 * bpe.KEPT_BYTES
+    assert bpe.Decoder(PATH).decode(ids, bounds) == texts
