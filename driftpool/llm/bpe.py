@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from driftpool.llm.common import prepare, texts
 
 #: Bytes that a worker keeps for words it has met; what is to exceed it starts anew.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 80 << 20
 #: What a kept word takes besides its own characters and tokens.
 ENTRY_BYTES = 160
 #: Words looked up together, and characters split together; both bound a worker's memory whatever a text's length.
