@@ -22,13 +22,11 @@ from pyspark.sql import DataFrame, functions as F
 from driftpool.functions import identity, vectors
 from driftpool.functions.ranking import largest_group
 from driftpool.functions.staging import stage
+from driftpool.operators.calibration import calibrate  # noqa: F401  part of this module's interface
 from driftpool.operators.features import STD_FLOOR
 
 #: Rows of one fit handled by one moment task before the fit is salted.
 ROWS_PER_SALT = 4_096
-MAX_SALTS = 256
-#: Histories up to this size calibrate in one task; larger ones use Spark ML.
-CALIBRATION_ROWS = 20_000
 
 _MATRICES = {"ridge": ("s00", "s10", "s11"), "lda": ("s00", "s10", "s11", "s20", "s21", "s22")}
 _ALL = ("s00", "s10", "s11", "s20", "s21", "s22")
@@ -55,29 +53,30 @@ def _tensor(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return cells.reshape(len(inner), -1), per_row
 
 
-def repetition_summaries(windows: DataFrame, token: str = "token") -> DataFrame:
-    """Per repetition: window count and, per channel, valid count and sum of ``log1p``.
+def repetition_summaries(windows: DataFrame, token: str = "token", keep: Sequence[str] = ()) -> DataFrame:
+    """Per repetition: window count and, per channel, valid count and sum of ``log1p``; ``keep`` names columns carried along.
 
     Decision scores are affine in the windows, so the mean score of a repetition
     is the score of its mean embedding and these sums are all that scoring needs.
     """
-    rows = windows.select(token, "windows", "mask")
+    rows = windows.select("windows", "mask", token, *keep)
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, per_row = _tensor(batch.column(1), float)
-            m, _ = _tensor(batch.column(2), float)
+            x, per_row = _tensor(batch.column(0), float)
+            m, _ = _tensor(batch.column(1), float)
             start = np.concatenate([[0], np.cumsum(per_row)[:-1]])
             counts = np.add.reduceat(m, start, axis=0)
             sums = np.add.reduceat(np.where(m > 0, np.log1p(x), 0.0), start, axis=0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(per_row, pa.int32()), pa.array(list(counts)), pa.array(list(sums))],
-                names=[token, "n_windows", "valid_count", "log_sum"],
+                [*batch.columns[2:], pa.array(per_row, pa.int32()), pa.array(list(counts)), pa.array(list(sums))],
+                names=[token, *keep, "n_windows", "valid_count", "log_sum"],
             )
 
-    return rows.mapInArrow(summarize, f"{token} string, n_windows int, valid_count array<double>, log_sum array<double>")
+    carried = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(summarize, f"{token} string, {carried + ', ' if keep else ''}n_windows int, valid_count array<double>, log_sum array<double>")
 
 
 # -- moments ----------------------------------------------------------------------------
@@ -86,7 +85,7 @@ def repetition_summaries(windows: DataFrame, token: str = "token") -> DataFrame:
 def _salted(history: DataFrame) -> DataFrame:
     """Spread fits with many rows over salts; the count runs on narrow history rows."""
     sizes = stage(history.groupBy("fit_id").agg(F.count("*").alias("_n")), "sizes")
-    salts = F.least(F.ceil(F.col("_n") / ROWS_PER_SALT), F.lit(MAX_SALTS))
+    salts = F.ceil(F.col("_n") / ROWS_PER_SALT)
     return history.join(sizes, "fit_id").withColumn("salt", F.pmod(F.xxhash64("token"), salts).cast("int")).drop("_n")
 
 
@@ -211,11 +210,15 @@ def _merged(partial: DataFrame) -> DataFrame:
 
 
 def channel_pivot(windows: DataFrame) -> list[float]:
-    """Mean of ``log1p`` per channel over all valid cells: one row, one value per channel.
+    """Mean of ``log1p`` per channel over all valid cells of ``windows``: one row, one value per channel."""
+    return pivot_of(repetition_summaries(windows))
 
-    Moments are taken around it so that variances do not cancel.
+
+def pivot_of(sums: DataFrame) -> list[float]:
+    """The pivot from repetition summaries. Moments are taken around it so that variances do not cancel.
+
+    Give it rows of the history only: nothing else may enter a fit, not even by rounding.
     """
-    sums = repetition_summaries(windows)
     per_channel = sums.select(
         F.posexplode(F.arrays_zip(F.col("valid_count").alias("c"), F.col("log_sum").alias("s"))).alias("channel", "v")
     ).groupBy("channel").agg(F.sum("v.c").alias("c"), F.sum("v.s").alias("s"))
@@ -355,11 +358,19 @@ def solve(moment_rows: DataFrame, kind: str, pivot: Sequence[float], alpha: floa
     return moment_rows.groupBy("fit_id").applyInPandas(solve_fit, _MODEL_SCHEMA)
 
 
+def windows_of(history: DataFrame, windows: DataFrame) -> DataFrame:
+    return windows.join(history.select("token"), "token", "left_semi")
+
+
 def fit(
     history: DataFrame, windows: DataFrame, kind: str = "ridge", alpha: float = 1.0, zero_std: str = "floor",
     pivot: Sequence[float] | None = None, held_out: bool = False,
 ) -> DataFrame:
-    """Ridge classifier (one-vs-rest on +-1 targets) or shrinkage LDA for every ``fit_id``."""
+    """Ridge classifier (one-vs-rest on +-1 targets) or shrinkage LDA for every ``fit_id``.
+
+    Only windows of ``history`` are read, for the pivot too.
+    """
+    windows = windows_of(history, windows)
     pivot = channel_pivot(windows) if pivot is None else pivot
     return solve(moments(history, windows, kind, pivot), kind, pivot, alpha, zero_std, held_out)
 
@@ -441,85 +452,6 @@ def centroid_score(rows: DataFrame, models: DataFrame, keys: Sequence[str], embe
 # -- probability calibration -----------------------------------------------------------------
 
 
-def _multinomial(x: np.ndarray, y: np.ndarray, c: float, iterations: int = 200, tolerance: float = 1e-10):
-    """Newton steps on C * log loss + |W|^2 / 2 with free intercepts."""
-    labels = np.unique(y)
-    k, (n, d) = len(labels), x.shape
-    design = np.hstack([x, np.ones((n, 1))])
-    target = (y[:, None] == labels[None, :]).astype(float)
-    penalty = np.r_[np.ones(d), 0.0]
-    weights = np.zeros((k, d + 1))
-
-    def loss(w):
-        logits = design @ w.T
-        peak = logits.max(axis=1, keepdims=True)
-        log_norm = peak[:, 0] + np.log(np.exp(logits - peak).sum(axis=1))
-        return c * (log_norm - (logits * target).sum(axis=1)).sum() + 0.5 * (penalty * w**2).sum()
-
-    value = loss(weights)
-    for _ in range(iterations):
-        logits = design @ weights.T
-        p = np.exp(logits - logits.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        gradient = c * (p - target).T @ design + penalty * weights
-        if np.abs(gradient).max() < tolerance:
-            break
-        hessian = np.zeros((k * (d + 1), k * (d + 1)))
-        for i in range(k):
-            for j in range(k):
-                w = c * p[:, i] * ((i == j) - p[:, j])
-                block = (design * w[:, None]).T @ design + (np.diag(penalty) if i == j else 0.0)
-                hessian[i * (d + 1):(i + 1) * (d + 1), j * (d + 1):(j + 1) * (d + 1)] = block
-        step = np.linalg.lstsq(hessian, gradient.ravel(), rcond=1e-14)[0].reshape(weights.shape)
-        size = 1.0
-        while size > 1e-8 and loss(weights - size * step) > value:
-            size /= 2
-        weights = weights - size * step
-        value = loss(weights)
-    return labels, weights[:, :d], weights[:, d] - weights[:, d].mean()
-
-
-def calibrate(scored: DataFrame, c: float = 1.0, calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
-    """Multinomial L2 logistic map from out-of-fold scores to labels, one per ``fit_id``.
-
-    ``scored``: fit_id, label, scores. Histories too large for one task are
-    fitted by Spark ML, one distributed fit each.
-    """
-    rows = stage(scored.select("fit_id", F.col("label").cast("int").alias("label"), "scores"), "scores")
-    schema = "fit_id string, calibration_classes array<int>, calibration_coef array<array<double>>, calibration_intercept array<double>"
-
-    def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.vstack(pdf["scores"].to_numpy()), pdf["label"].to_numpy()
-        labels, coef, intercept = _multinomial(x, y, c)
-        return pd.DataFrame({
-            "fit_id": [pdf["fit_id"].iloc[0]], "calibration_classes": [[int(v) for v in labels]],
-            "calibration_coef": [[list(r) for r in coef]], "calibration_intercept": [list(intercept)],
-        })
-
-    sizes = rows.groupBy("fit_id").agg(F.count("*").alias("_n"))
-    large = [r[0] for r in sizes.filter(F.col("_n") > calibration_rows).select("fit_id").collect()]  # few by definition
-    small = rows.filter(~F.col("fit_id").isin(large)) if large else rows
-    fitted = small.groupBy("fit_id").applyInPandas(fit_group, schema)
-    for fit_id in large:
-        fitted = fitted.unionByName(_calibrate_large(rows.filter(F.col("fit_id") == fit_id), fit_id, c, schema))
-    return fitted
-
-
-def _calibrate_large(rows: DataFrame, fit_id: str, c: float, schema: str) -> DataFrame:
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
-
-    labels = sorted(r[0] for r in rows.select("label").distinct().collect())
-    index = F.array_position(F.array(*[F.lit(x) for x in labels]), F.col("label")) - 1
-    data = rows.select("scores", index.cast("double").alias("label"))
-    n = data.count()
-    model = LogisticRegression(
-        family="multinomial", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False, maxIter=500, tol=1e-10
-    ).fit(data.select(array_to_vector("scores").alias("features"), "label"))
-    coef = [list(map(float, r)) for r in model.coefficientMatrix.toArray()]
-    return rows.sparkSession.createDataFrame([(fit_id, labels, coef, [float(v) for v in model.interceptVector])], schema)
-
-
 def out_of_fold_scores(folded_history: DataFrame, windows: DataFrame, kind: str = "ridge", pivot: Sequence[float] | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(full models, out-of-fold scores) from one pass of moments over the history.
 
@@ -527,7 +459,7 @@ def out_of_fold_scores(folded_history: DataFrame, windows: DataFrame, kind: str
     was fitted, normalizer included, on the other folds.
     """
     models = stage(fit(folded_history, windows, kind, pivot=pivot, held_out=True, **options), "models")
-    summaries = repetition_summaries(windows)
+    summaries = repetition_summaries(windows_of(folded_history, windows))
     rows = folded_history.join(summaries, "token").withColumnRenamed("fold", "held_out_fold")
     scored = score(rows, models.filter("held_out_fold > 0"), ["fit_id", "held_out_fold"])
     return models.filter("held_out_fold = 0"), scored.select("fit_id", "token", "label", "scores", "predicted_label")

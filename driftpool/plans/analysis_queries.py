@@ -255,10 +255,9 @@ def leakage_perturbation(spark, sf_dir):
         "windows": F.when(inside, F.col("windows")).otherwise(F.transform("windows", lambda w: F.transform(w, lambda v: F.lit(123.456)))),
         "label": F.when(inside, F.col("label")).otherwise(9 - F.col("label")),
     })
-    pivot = [0.0] * 64  # a fixed pivot: the default one is read from all windows
     def fitted(df):
         history = df.filter("role = 'initial'").select(F.col("participant").alias("fit_id"), "token", "label")
-        made = models.fit(history, df, "ridge", pivot=pivot)
+        made = models.fit(history, df, "ridge")
         close = lambda c: F.transform(c, lambda x: F.round(x, 9))
         return made.select("fit_id", F.transform("coef", lambda r: F.transform(r, lambda x: F.round(x, 9))).alias("coef"),
                            close("intercept").alias("intercept"), close("means").alias("means"), close("stds").alias("stds"))

@@ -57,12 +57,37 @@ class Experiment:
             self.source = rows.select("participant", "session", "role", "token", "embedding")
             self.features = self.source.filter(F.col("role").isin("initial", "candidate")).select("token", "embedding")
         else:
-            self.windows = rows.select("token", "windows", "mask")
-            self.features = stage(models.repetition_summaries(self.windows), "summaries")
-            self.pivot = models.channel_pivot(self.windows)
+            # Windows and their summaries lie by role and session: a round reads those of the rows it reveals.
+            laid_out = ["role", "session"]
+            self.windows = stage(rows.select("participant", "token", "windows", "mask", *laid_out), "windows", laid_out)
+            self.features = stage(models.repetition_summaries(self.windows, keep=["participant", *laid_out]), "summaries", laid_out)
+            self.pivot = models.pivot_of(self.features.filter("role = 'initial'"))
+            self.revealed: dict[int, list[DataFrame]] = {}
 
     # -- history and fits --
 
+    def learn(self, session: int, tokens: DataFrame | None) -> None:
+        """Copy the windows of rows just revealed; fits read these and the initial windows, never the candidates' table.
+
+        None stands for the whole session, which needs no copy.
+        """
+        if self.model == "centroid":
+            return
+        own = self.windows.filter((F.col("role") == "candidate") & (F.col("session") == session)).select("token", "windows", "mask")
+        if tokens is None:
+            self.revealed[session] = [own]
+            return
+        parts = self.revealed.setdefault(session, [])
+        for part in parts:
+            tokens = tokens.join(part.select("token"), "token", "left_anti")
+        parts.append(stage(own.join(tokens, "token", "left_semi"), "revealed-windows"))
+
+    def known_windows(self) -> DataFrame:
+        known = self.windows.filter("role = 'initial'").select("token", "windows", "mask")
+        for part in [p for parts in self.revealed.values() for p in parts]:
+            known = known.unionByName(part)
+        return known
+
     def history(self, selections: DataFrame | None, trajectories: DataFrame) -> DataFrame:
         """Initial rows of the participant plus everything the trajectory has revealed."""
         initial = (
@@ -89,10 +114,10 @@ class Experiment:
         if self.model == "ridge" and self.wants("probability"):
             folded = protocol.stratified_folds(distinct, ["fit_id"], self.folds, order="token")
             folded = stage(folded.select("fit_id", "token", "label", "fold"), "folds")
-            full, scored = models.out_of_fold_scores(folded, self.windows, pivot=self.pivot)
+            full, scored = models.out_of_fold_scores(folded, self.known_windows(), pivot=self.pivot)
             fitted = full.join(models.calibrate(scored), "fit_id")
         else:
-            fitted = models.fit(distinct, self.windows, self.model, pivot=self.pivot)
+            fitted = models.fit(distinct, self.known_windows(), self.model, pivot=self.pivot)
         owners = fits.join(self.trajectories.select("trajectory_id", "participant"), "trajectory_id")
         owners = owners.groupBy("fit_id").agg(F.min("participant").alias("participant"))
         return stage(fitted.join(owners, "fit_id"), "models"), fits
@@ -114,7 +139,7 @@ class Experiment:
             chosen = (F.col("role") == role) & F.col("session").isin(list(sessions))
             features = self.source.filter(chosen).select("participant", "token", "embedding")
         else:
-            features = self.rows_of(role, sessions).select("participant", "token").join(self.features, "token")
+            features = self.features.filter((F.col("role") == role) & F.col("session").isin(list(sessions))).drop("role", "session")
         if self.model == "centroid":
             scored = models.centroid_score(features, fitted, on)
             return scored.withColumn("probability", vectors.softmax(F.col("scores")))
@@ -167,7 +192,11 @@ class Experiment:
             return selectors.squared_distance_seeding(own, key, b, seed)
         mine = self.history(selections, self.trajectories.filter(F.col("strategy") == strategy))
         # History embeddings under each trajectory's own normalizer.
-        seen = mine.select("trajectory_id", "token").join(fits, "trajectory_id").join(self.features, "token")
+        features = self.features
+        if self.model != "centroid":
+            past = (F.col("role") == "initial") | (F.col("role") == "candidate") & (F.col("session") <= session)
+            features = features.filter(past).drop("role", "session", "participant")
+        seen = mine.select("trajectory_id", "token").join(fits, "trajectory_id").join(features, "token")
         if self.model != "centroid":
             seen = models.embed(seen, fitted, "fit_id")
         seen = seen.select("trajectory_id", "token", "embedding")
@@ -206,6 +235,9 @@ class Experiment:
                 active = self.trajectories.filter(adaptive & (F.col("query_budget") >= query_round * b))
                 made = stage(self.acquire(session, query_round, chosen, active, fitted, fits), "selections")
                 chosen = made if chosen is None else chosen.unionByName(made)
+                self.learn(session, made.select("token").distinct())
+            if full is not None:
+                self.learn(session, None)
             if chosen is not None or full is not None:
                 fitted, fits = self.fit(self.history(known(session), self.trajectories))
             tests = self.rows_of("fixed_test", [session])

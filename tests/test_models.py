@@ -136,20 +136,60 @@ def test_out_of_fold_models_exclude_their_fold(spark):
     assert full.count() == 2
 
 
-def test_calibration_is_the_penalized_optimum(spark):
+def newton(s, y, c=1.0):
+    """All rows at once, plain steps with halving, in one matrix."""
+    labels = np.unique(y)
+    k, x = len(labels), np.hstack([s, np.ones((len(s), 1))])
+    d = x.shape[1]
+    t, penalty, w = (y[:, None] == labels).astype(float), np.tile(np.r_[np.ones(d - 1), 0.0], (k, 1)), np.zeros((k, d))
+
+    def probabilities(w):
+        e = np.exp(x @ w.T - (x @ w.T).max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    loss = lambda w: -c * np.log((probabilities(w) * t).sum(axis=1)).sum() + 0.5 * (penalty * w**2).sum()
+    for _ in range(100):
+        p = probabilities(w)
+        gradient = c * (p - t).T @ x + penalty * w
+        h = c * (np.einsum("ni,ij,na,nb->iajb", p, np.eye(k), x, x, optimize=True) - np.einsum("ni,nj,na,nb->iajb", p, p, x, x, optimize=True))
+        step = np.linalg.lstsq(h.reshape(k * d, k * d) + np.diag(penalty.ravel()), gradient.ravel(), rcond=1e-14)[0].reshape(k, d)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w) + 1e-12:
+            size /= 2
+        w = w - size * step
+        if np.abs(step).max() < 1e-13:
+            break
+    return labels, w[:, :-1], w[:, -1] - w[:, -1].mean()
+
+
+def test_calibration_equals_newton_on_all_rows(spark):
+    """One fit of 30,000 rows over many tasks, small ones, one with two labels, one that is separable, one of one label."""
+    rng = np.random.default_rng(3)
+    fits = {}
+    for name, n, labels in (("large", 30_000, 4), ("small", 40, 3), ("two", 25, 2), ("one", 6, 1)):
+        y = rng.integers(0, labels, n) * 2 + 1
+        fits[name] = (rng.normal(size=(n, 3)) + 0.4 * y[:, None] * np.array([1.0, -0.5, 0.1]), y)
+    y = np.repeat([5, 9], 10)
+    fits["apart"] = (np.where(y[:, None] == 5, 30.0, -30.0) + rng.normal(size=(20, 3)), y)
+    rows = [(f, int(b), a.tolist()) for f, (s, y) in fits.items() for a, b in zip(s, y)]
+    scored = spark.createDataFrame(rows, "fit_id string, label int, scores array<double>").repartition(7)
+    found = {r.fit_id: r for r in models.calibrate(scored).collect()}
+    assert set(found) == set(fits)
+    for name, (s, y) in fits.items():
+        labels, coef, intercept = newton(s, y)
+        assert found[name].calibration_classes == labels.tolist()
+        assert np.allclose(found[name].calibration_coef, coef, rtol=1e-9, atol=1e-9)
+        assert np.allclose(found[name].calibration_intercept, intercept, rtol=1e-9, atol=1e-9)
+
+
+def test_calibration_of_out_of_fold_scores(spark):
     _, _, _, (history, windows) = data(spark)
     _, scored = models.out_of_fold_scores(history, windows)
-    grouped = {r.fit_id: r for r in models.calibrate(scored).collect()}
-    spread = {r.fit_id: r for r in models.calibrate(scored, calibration_rows=5).collect()}
     rows = scored.filter("fit_id = 'a'").collect()
-    s, y = np.array([r.scores for r in rows]), np.array([r.label for r in rows])
-    for found in (grouped["a"], spread["a"]):
-        w, b = np.array(found.calibration_coef), np.array(found.calibration_intercept)
-        p = np.exp(s @ w.T + b)
-        p /= p.sum(axis=1, keepdims=True)
-        residual = p - (y[:, None] == np.arange(K))
-        assert np.abs(residual.T @ s + w).max() < 1e-4 and np.abs(residual.sum(axis=0)).max() < 1e-4
-    assert np.allclose(grouped["a"].calibration_coef, spread["a"].calibration_coef, atol=1e-4)
+    _, coef, intercept = newton(np.array([r.scores for r in rows]), np.array([r.label for r in rows]))
+    found = {r.fit_id: r for r in models.calibrate(scored).collect()}["a"]
+    assert np.allclose(found.calibration_coef, coef, atol=1e-9) and np.allclose(found.calibration_intercept, intercept, atol=1e-9)
+    assert models.calibrate(scored.limit(0)).count() == 0
 
 
 def test_equal_histories_are_fitted_once(spark):
@@ -167,8 +207,7 @@ def test_rows_outside_the_history_never_matter(spark):
     changed = windows.withColumn(
         "windows", F.when(F.col("token").startswith("a"), F.col("windows")).otherwise(F.transform("windows", lambda w: F.transform(w, lambda v: F.lit(123.456))))
     )
-    pivot = [0.0] * C
-    before, after = (models.fit(inside, w, "ridge", pivot=pivot) for w in (windows, changed))
+    before, after = (models.fit(inside, w, "ridge") for w in (windows, changed))
     flags = quality.unchanged_models(before, after, "fit_id", ["coef", "intercept", "means", "stds"]).first()
     assert flags.coef and flags.intercept and flags.means and flags.stds
 
