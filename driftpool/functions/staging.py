@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 _local_dir: str | None = None
 _written: list[str] = []
@@ -30,21 +30,41 @@ def shared_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def stage(df: DataFrame, name: str = "table", partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a reader on it."""
+def stage(df: DataFrame, name: str = "table", partition_by: Sequence[str] = (), guards: Mapping[str, Column] | None = None, rows: int | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and return a reader on it.
+
+    ``guards`` name what no row may be; ``rows`` is how many rows there must be. Both are counted by the job that writes,
+    and looked at before the table is handed out: a violation deletes it and is an error.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/driftpool-{name}-{uuid.uuid4().hex}"
+    watch = Observation() if guards or rows is not None else None
+    if watch:
+        counts = [F.count_if(F.coalesce(bad, F.lit(True))).alias(what) for what, bad in (guards or {}).items()]
+        df = df.observe(watch, F.count("*").alias("number of rows"), *counts)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     _written.append(path)
+    if watch:
+        found = watch.get
+        wrong = {what: found[what] for what in guards or {} if found[what]}
+        if rows is not None and found["number of rows"] != rows:
+            wrong[f"number of rows is not {rows}"] = found["number of rows"]
+        if wrong:
+            _written.pop()
+            _delete(spark, path)
+            raise ValueError(f"{name}: {wrong}")
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def release(spark: SparkSession) -> int:
     """Delete the tables this process staged; results that still read them must be done. Returns how many."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     count = len(_written)
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
     return count

@@ -34,15 +34,20 @@ def centroids(
 
 def rms_distance(
     embeddings: DataFrame, centers: DataFrame, repetition_keys: Sequence[str], keys: Sequence[str] = ("participant",),
-    label: str = "label",
+    label: str = "label", complete: bool = True,
 ) -> DataFrame:
-    """RMS distance to the own class centroid over channels valid on both sides."""
+    """RMS distance to the own class centroid over channels valid on both sides.
+
+    A repetition without such a channel is an error, unless ``complete`` is false: then it has no row.
+    """
     centers = stage(centers.select(*keys, label, "channel", "centroid"), "centroids")
     gap = F.col("embedding") - F.col("centroid")
     carried = [k for k in dict.fromkeys([*repetition_keys, *keys, label])]
-    return embeddings.join(centers, [*keys, label, "channel"]).groupBy(*carried).agg(
+    measured = embeddings.join(centers, [*keys, label, "channel"], "left").groupBy(*carried).agg(
         F.count(gap).alias("joint_channels"), F.sqrt(F.avg(gap * gap)).alias("rms_distance")
-    ).filter(F.col("joint_channels") > 0)
+    )
+    none = F.raise_error(F.lit("a repetition shares no valid channel with its class centroid")).cast("boolean")
+    return measured.filter(F.when(F.col("joint_channels") > 0, F.lit(True)).otherwise(none if complete else F.lit(False)))
 
 
 def distance_by_order(

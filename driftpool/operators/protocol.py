@@ -194,10 +194,12 @@ def pattern_feasibility(candidates: DataFrame, keys: Sequence[str], levels: Mapp
 
 def stratified_pools(
     candidates: DataFrame, seeds: Sequence[tuple[int, int]], levels: Mapping[str, Sequence[int]] = POOL_LEVELS,
-    protocol: str = "driftpool", token: str = "token",
+    protocol: str = "driftpool", token: str = "token", complete: bool = True,
 ) -> DataFrame:
     """Hash-ranked pools: per pool and class the ``n`` lowest-ranked candidates.
 
+    A pool that lacks candidates of a class is an error, unless ``complete`` is false: then it stays short.
+
     ``candidates`` has participant, session, label, token; ``seeds`` are
     (realization, seed) pairs. Only ``max(n)`` rows per pool and class are shuffled. A label
     without a count stops the job; ``pattern_feasibility`` tells which pools fall short.
@@ -212,7 +214,7 @@ def stratified_pools(
             F.coalesce(
                 F.get("_p.class_counts", F.col("label")),
                 F.raise_error(F.concat(F.lit("no class count for label "), F.coalesce(F.col("label").cast("string"), F.lit("NULL")))).cast("int"),
-            ).alias("wanted"), "_r.realization", "_r.seed",
+            ).alias("wanted"), F.aggregate("_p.class_counts", F.lit(0), lambda a, n: a + n).alias("size"), "_r.realization", "_r.seed",
         )
         .filter(F.col("wanted") > 0)
         .withColumn(
@@ -227,15 +229,22 @@ def stratified_pools(
     most = max(max(counts) for counts in levels.values())
     kept = top_per_group(spread, [*cell, "label"], [F.col("rank_hash"), F.col(token)], most, "class_rank")
     kept = kept.filter(F.col("class_rank") <= F.col("wanted"))
-    in_pool = Window.partitionBy(*cell).orderBy("label", "rank_hash", token)
+    if complete:
+        lacks = F.raise_error(F.lit("a pool lacks candidates of a class")).cast("boolean")
+        kept = kept.withColumn("_n", F.count("*").over(Window.partitionBy(*cell)))
+        kept = kept.filter(F.when(F.col("_n") == F.col("size"), F.lit(True)).otherwise(lacks)).drop("_n")
+    order = F.row_number().over(Window.partitionBy(*cell).orderBy("label", "rank_hash", token))
     return kept.withColumn(
         "pool_id", identity.pool_id(protocol, *[F.col(c) for c in cell])
-    ).withColumn("member_order", F.row_number().over(in_pool)).drop("wanted", "seed")
+    ).withColumn("member_order", order).drop("wanted", "seed", "size")
 
 
 def pool_rows(metadata: DataFrame, members: DataFrame, token: str = "token") -> DataFrame:
-    """Metadata rows of the pools, one per (pool, token)."""
-    return members.select("pool_id", token).dropDuplicates().join(metadata, token)
+    """Metadata rows of the pools, one per (pool, token); a repeated member or one without its row is an error."""
+    once = members.groupBy("pool_id", token).agg(F.count("*").alias("_n"))
+    found = once.join(metadata.withColumn("_found", F.lit(True)), token, "left")
+    wrong = F.when(F.col("_n") > 1, F.lit("a pool holds a member twice")).when(F.col("_found").isNull(), F.lit("a member has no row"))
+    return found.filter(F.when(wrong.isNull(), F.lit(True)).otherwise(F.raise_error(wrong).cast("boolean"))).drop("_n", "_found")
 
 
 # -- grids, folds, cohorts ---------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Batch acquisition for many candidate groups at once.
 
 Every selector takes the group columns (trajectory, session, round, ...) and
-returns the picked rows with ``pick`` = 1..B. All orders end in the token, so
+returns the picked rows with ``pick`` = 1..B. A group with fewer than B candidates
+is an error unless ``complete`` is false. All orders end in the token, so
 results do not depend on partitioning.
 """
 
@@ -33,9 +34,21 @@ CANDIDATE_CHUNK, HISTORY_CHUNK = 20_000, 5_000
 MATRIX_ROWS = 200
 
 
+def whole_batches(picked: DataFrame, keys: Sequence[str], batch_size: int, complete: bool = True) -> DataFrame:
+    """Picks of groups that have a whole batch; a group with fewer candidates is an error, or keeps them if not ``complete``.
+
+    Picks lie by their group already, at most a batch each, so the count moves nothing.
+    """
+    if not complete:
+        return picked
+    short = F.raise_error(F.lit(f"a pool holds fewer candidates than a batch of {batch_size}")).cast("boolean")
+    counted = picked.withColumn("_batch", F.count("*").over(Window.partitionBy(*keys)))
+    return counted.filter(F.when(F.col("_batch") >= batch_size, F.lit(True)).otherwise(short)).drop("_batch")
+
+
 def class_balanced_margin(
     pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token",
-    label: str = "predicted_label", margin: str = "margin",
+    label: str = "predicted_label", margin: str = "margin", complete: bool = True,
 ) -> DataFrame:
     """Lowest margin of each predicted class first, then the lowest margins left.
 
@@ -45,18 +58,18 @@ def class_balanced_margin(
     order = [F.col(margin), F.col(token)]
     near = top_per_group(pool, [*keys, label], order, batch_size, "_class_rank")
     nominees_first = [(F.col("_class_rank") > 1).cast("int"), *order]
-    return top_per_group(near, keys, nominees_first, batch_size, "pick").drop("_class_rank")
+    return whole_batches(top_per_group(near, keys, nominees_first, batch_size, "pick").drop("_class_rank"), keys, batch_size, complete)
 
 
 def global_margin(
-    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token", margin: str = "margin"
+    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token", margin: str = "margin", complete: bool = True,
 ) -> DataFrame:
-    return top_per_group(pool, keys, [F.col(margin), F.col(token)], batch_size, "pick")
+    return whole_batches(top_per_group(pool, keys, [F.col(margin), F.col(token)], batch_size, "pick"), keys, batch_size, complete)
 
 
 def margin_batches(
     pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token",
-    label: str = "predicted_label", margin: str = "margin",
+    label: str = "predicted_label", margin: str = "margin", complete: bool = True,
 ) -> DataFrame:
     """Both margin strategies from one pass: column ``strategy`` and its ``pick``.
 
@@ -75,31 +88,31 @@ def margin_batches(
         F.struct(F.lit("global_margin").alias("strategy"), F.col("_global").alias("pick")),
     )
     kept = [c for c in pool.columns]
-    return ranked.select(*kept, F.inline(arms)).filter(F.col("pick") <= batch_size)
+    return whole_batches(ranked.select(*kept, F.inline(arms)).filter(F.col("pick") <= batch_size), [*keys, "strategy"], batch_size, complete)
 
 
-def largest_score(pool: DataFrame, keys: Sequence[str], score: Column, batch_size: int = 7, token: str = "token") -> DataFrame:
+def largest_score(pool: DataFrame, keys: Sequence[str], score: Column, batch_size: int = 7, token: str = "token", complete: bool = True) -> DataFrame:
     scored = pool.withColumn("acquisition_score", score)
-    return top_per_group(scored, keys, [F.col("acquisition_score").desc(), F.col(token)], batch_size, "pick")
+    return whole_batches(top_per_group(scored, keys, [F.col("acquisition_score").desc(), F.col(token)], batch_size, "pick"), keys, batch_size, complete)
 
 
 def least_confidence(
-    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token", probability: str = "probability"
+    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token", probability: str = "probability", complete: bool = True,
 ) -> DataFrame:
-    return largest_score(pool, keys, vectors.least_confidence(F.col(probability)), batch_size, token)
+    return largest_score(pool, keys, vectors.least_confidence(F.col(probability)), batch_size, token, complete)
 
 
 def predictive_entropy(
-    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token", probability: str = "probability"
+    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token", probability: str = "probability", complete: bool = True,
 ) -> DataFrame:
-    return largest_score(pool, keys, vectors.entropy(F.col(probability)), batch_size, token)
+    return largest_score(pool, keys, vectors.entropy(F.col(probability)), batch_size, token, complete)
 
 
 def uniform_random(
-    pool: DataFrame, keys: Sequence[str], seed: Column, batch_size: int = 7, token: str = "token"
+    pool: DataFrame, keys: Sequence[str], seed: Column, batch_size: int = 7, token: str = "token", complete: bool = True,
 ) -> DataFrame:
     """Uniform without replacement: the smallest keyed digests. Order-free and repeatable."""
-    return top_per_group(pool, keys, [identity.token_tie(seed, F.col(token)), F.col(token)], batch_size, "pick")
+    return whole_batches(top_per_group(pool, keys, [identity.token_tie(seed, F.col(token)), F.col(token)], batch_size, "pick"), keys, batch_size, complete)
 
 
 def full_pool_rounds(pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token") -> DataFrame:
@@ -114,13 +127,12 @@ def full_pool_rounds(pool: DataFrame, keys: Sequence[str], batch_size: int = 7,
 
 
 def true_class_balanced(
-    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token", label: str = "true_label"
+    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token", label: str = "true_label", complete: bool = True,
 ) -> DataFrame:
     """Reference ceiling that reads hidden labels: equal counts by class in token order."""
     near = top_per_group(pool, [*keys, label], [F.col(token)], batch_size, "_class_rank")
-    return top_per_group(near, keys, [F.col("_class_rank"), F.col(label), F.col(token)], batch_size, "pick").drop(
-        "_class_rank"
-    )
+    picked = top_per_group(near, keys, [F.col("_class_rank"), F.col(label), F.col(token)], batch_size, "pick")
+    return whole_batches(picked.drop("_class_rank"), keys, batch_size, complete)
 
 
 # -- distance to labelled history ------------------------------------------------
@@ -297,7 +309,7 @@ def _in_rounds(state: DataFrame, keys: list[str], steps: int, rule: _Rule) -> Da
 
 def _sequential(
     pool: DataFrame, measure: Callable[[DataFrame], DataFrame], keys: Sequence[str], steps: int, rule: _Rule, token: str,
-    sequential_rows: int,
+    sequential_rows: int, complete: bool,
 ) -> DataFrame:
     """Pick in one exchange where groups fit a task, in rounds where they do not.
 
@@ -317,24 +329,24 @@ def _sequential(
         picked = _in_one_exchange(state(pool.join(large, keys, "left_anti")), keys, steps, rule).unionByName(
             _in_rounds(state(pool.join(large, keys, "left_semi")), keys, steps, rule)
         )
-    return picked.withColumnRenamed("_token", token)
+    return whole_batches(picked.withColumnRenamed("_token", token), keys, steps, complete)
 
 
 def core_set(
     pool: DataFrame, history: DataFrame, keys: Sequence[str], batch_size: int = 7, token: str = "token",
-    embedding: str = "embedding", sequential_rows: int = SEQUENTIAL_ROWS,
+    embedding: str = "embedding", sequential_rows: int = SEQUENTIAL_ROWS, complete: bool = True,
 ) -> DataFrame:
     """Farthest-first from history and picks; ties by token."""
     def measure(part: DataFrame) -> DataFrame:
         measured = distance_to_history(part, history, keys, token, embedding, "_d")
         return measured.select(*keys, token, F.col(embedding).cast("array<double>").alias("_e"), "_d")
 
-    return _sequential(pool, measure, keys, batch_size, _core_set_rule(), token, sequential_rows)
+    return _sequential(pool, measure, keys, batch_size, _core_set_rule(), token, sequential_rows, complete)
 
 
 def ranked_batch(
     pool: DataFrame, history: DataFrame, keys: Sequence[str], batch_size: int = 7, tie_seed: Column | int = 0,
-    token: str = "token", margin: str = "margin", embedding: str = "embedding", sequential_rows: int = SEQUENTIAL_ROWS,
+    token: str = "token", margin: str = "margin", embedding: str = "embedding", sequential_rows: int = SEQUENTIAL_ROWS, complete: bool = True,
 ) -> DataFrame:
     """Half scaled uncertainty, half scaled novelty; novelty is measured anew after each pick."""
     seed = {"_seed": tie_seed} if isinstance(tie_seed, Column) else {}
@@ -348,12 +360,12 @@ def ranked_batch(
         )
 
     rule = _ranked_batch_rule(F.col("_seed") if seed else tie_seed)
-    return _sequential(pool, measure, keys, batch_size, rule, token, sequential_rows)
+    return _sequential(pool, measure, keys, batch_size, rule, token, sequential_rows, complete)
 
 
 def squared_distance_seeding(
     pool: DataFrame, keys: Sequence[str], batch_size: int = 7, seed: Column | int = 0, token: str = "token",
-    embedding: str = "embedding", sequential_rows: int = SEQUENTIAL_ROWS,
+    embedding: str = "embedding", sequential_rows: int = SEQUENTIAL_ROWS, complete: bool = True,
 ) -> DataFrame:
     """k-means++ seeding: first pick uniform, then with weight squared distance to the picks."""
     extra = {"_seed": seed} if isinstance(seed, Column) else {}
@@ -364,7 +376,7 @@ def squared_distance_seeding(
         )
 
     rule = _squared_weight_rule(F.col("_seed") if extra else seed)
-    return _sequential(pool, measure, keys, batch_size, rule, token, sequential_rows)
+    return _sequential(pool, measure, keys, batch_size, rule, token, sequential_rows, complete)
 
 
 # -- audits, reveal, checks ----------------------------------------------------------

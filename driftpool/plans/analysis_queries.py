@@ -485,7 +485,7 @@ def _embedded(spark, sf_dir):
 def _distances(spark, sf_dir):
     cells = _embedded(spark, sf_dir)
     centers = drift.centroids(cells.filter("session = 0"))
-    return drift.rms_distance(cells.filter("session > 0"), centers, ["session", "repetition", "repetition_id"])
+    return drift.rms_distance(cells.filter("session > 0"), centers, ["session", "repetition", "repetition_id"], complete=False)
 
 
 @query(f"""{_DRIFT} SELECT participant, label, channel, round(avg(v), 6) AS centroid, count(*) AS source_repetitions, count(v) > 0 AS has_reference

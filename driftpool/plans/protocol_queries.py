@@ -68,8 +68,8 @@ def reaggregated_counts(spark, sf_dir):
 @query(f"""WITH {FOLDS} SELECT strategy, budget, count(*) AS "rows", round(sum(value), 6) AS total FROM folds GROUP BY ALL""")
 def written_table(spark, sf_dir):
     path = f"{shared_dir(spark)}/driftpool-written-{uuid.uuid4().hex}"
-    contracts.write_table(folds(spark, sf_dir), path, "parquet", ["strategy"])
-    back = spark.read.parquet(path)
+    contracts.publish(folds(spark, sf_dir), path, "parquet", ["strategy"])
+    back = contracts.read_published(spark, path)
     return rounded(back.groupBy("strategy", "budget").agg(F.count("*").alias("rows"), F.sum("value").alias("total")), "total")
 
 
@@ -376,7 +376,7 @@ pools AS (SELECT *, 'POOL_' || substr(sha256(printf('driftpool|POOL|%s|S%02d|%s|
 
 @query(f"{_POOLS} SELECT pool_id, token, label, member_order FROM pools")
 def stratified_hash_pools(spark, sf_dir):
-    members = protocol.stratified_pools(trials(spark, sf_dir).filter("role = 'candidate'"), _REALIZATIONS, _TEN)
+    members = protocol.stratified_pools(trials(spark, sf_dir).filter("role = 'candidate'"), _REALIZATIONS, _TEN, complete=False)
     return members.select("pool_id", "token", "label", "member_order")
 
 
@@ -384,7 +384,7 @@ def stratified_hash_pools(spark, sf_dir):
 FROM pools JOIN trials USING (token) GROUP BY pool_id""")
 def pool_member_rows(spark, sf_dir):
     rows = trials(spark, sf_dir)
-    members = protocol.stratified_pools(rows.filter("role = 'candidate'"), _REALIZATIONS, _TEN)
+    members = protocol.stratified_pools(rows.filter("role = 'candidate'"), _REALIZATIONS, _TEN, complete=False)
     joined = protocol.pool_rows(rows.select("token", "sequence_row", "repetition"), members)
     return joined.groupBy("pool_id").agg(
         F.count("*").alias("rows"), F.sum("sequence_row").alias("row_sum"), F.min("repetition").alias("first_repetition")

@@ -349,7 +349,7 @@ SELECT trajectory_id, round(avg(f - d), 6) + 0.0 AS backward_change, round(max(g
 @query(_loop_sql(_EVALUATED))
 def trajectory_loop(spark, sf_dir):
     rows = trials(spark, sf_dir)
-    run = trajectory.Experiment(rows, arms(spark, sf_dir), "centroid", B).run(SESSIONS)
+    run = trajectory.Experiment(rows, arms(spark, sf_dir), "centroid", B, complete=False).run(SESSIONS)
     table = trajectory.evaluate(run, LABELS)
     return rounded(table, "accuracy", "balanced_accuracy", "macro_f1")
 
@@ -365,14 +365,14 @@ def windowed(spark, sf_dir):
 @query()
 def trajectory_ridge(spark, sf_dir):
     plan = [("class_balanced_margin", B), ("least_confidence", B), ("core_set", B)]
-    experiment = trajectory.Experiment(windowed(spark, sf_dir), arms(spark, sf_dir, plan), "ridge", B)
+    experiment = trajectory.Experiment(windowed(spark, sf_dir), arms(spark, sf_dir, plan), "ridge", B, complete=False)
     return rounded(trajectory.evaluate(experiment.run(SESSIONS), LABELS), "accuracy", "balanced_accuracy", "macro_f1")
 
 
 @query(_loop_sql(_RETAINED))
 def final_state_retention(spark, sf_dir):
     rows = trials(spark, sf_dir)
-    experiment = trajectory.Experiment(rows, arms(spark, sf_dir, MARGIN_ARMS), "centroid", B)
+    experiment = trajectory.Experiment(rows, arms(spark, sf_dir, MARGIN_ARMS), "centroid", B, complete=False)
     run = experiment.run(SESSIONS)
     labels = LABELS
     final = metrics.fold_metrics(experiment.retained_predictions(run, SESSIONS[:-1]), ["trajectory_id", "session"], labels)

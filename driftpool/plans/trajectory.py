@@ -39,9 +39,10 @@ class Experiment:
     ``rows``: participant, session, token, label, role and either ``embedding``
     (model ``centroid``) or ``windows`` and ``mask`` (``ridge``, ``lda``).
     ``trajectories``: trajectory_id, participant, strategy, query_budget, seed.
+    A session whose pool runs short of a batch stops the run, unless ``complete`` is false: then its last batches are short.
     """
 
-    def __init__(self, rows: DataFrame, trajectories: DataFrame, model: str = "centroid", batch_size: int = 7, folds: int = 5):
+    def __init__(self, rows: DataFrame, trajectories: DataFrame, model: str = "centroid", batch_size: int = 7, folds: int = 5, complete: bool = True):
         if model not in ("centroid", "ridge", "lda"):
             raise ValueError(f"unknown model {model}")
         known = {*ADAPTIVE, FULL_POOL, NO_ADAPTATION}
@@ -49,10 +50,16 @@ class Experiment:
         self.strategies = sorted(r[0] for r in trajectories.select("strategy").distinct().collect())
         if set(self.strategies) - known:
             raise ValueError(f"unknown strategies {sorted(set(self.strategies) - known)}")
-        self.model, self.batch_size, self.folds = model, batch_size, folds
+        self.model, self.batch_size, self.folds, self.complete = model, batch_size, folds, complete
         # Narrow rows are written once, laid out so that every later step reads one role and session.
         self.meta = stage(rows.select("participant", "session", "token", "label", "role"), "rows", ["role", "session"])
         self.trajectories = stage(trajectories, "trajectories")
+        # Adaptive trajectories by budget tell how many picks a round must give: at most strategies x budgets rows.
+        adaptive = trajectories.filter(F.col("strategy").isin(list(ADAPTIVE))).groupBy("query_budget").agg(F.count("*"))
+        self.budgets = {r[0]: r[1] for r in adaptive.collect()}
+        repeated = self.meta.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1").limit(5).collect()
+        if repeated:
+            raise ValueError(f"tokens with several rows or roles, so a fixed test could enter a history: {[r[0] for r in repeated]}")
         if model == "centroid":
             self.source = rows.select("participant", "session", "role", "token", "embedding")
             self.features = self.source.filter(F.col("role").isin("initial", "candidate")).select("token", "embedding")
@@ -173,7 +180,8 @@ class Experiment:
             chosen = self._select(strategy, own, key, selections, fitted, fits, session, query_round, candidates)
             chosen = chosen.select("trajectory_id", "token", "pick")
             picks = chosen if picks is None else picks.unionByName(chosen)
-        revealed = picks.join(candidates.select("token", "label"), "token")
+        # A pick outside the session's candidates keeps no label, which stops the round.
+        revealed = picks.join(candidates.select("token", "label"), "token", "left")
         return revealed.select(
             "trajectory_id", F.lit(session).alias("session"), F.lit(query_round).alias("query_round"), "pick", "token", "label"
         )
@@ -181,15 +189,15 @@ class Experiment:
     def _select(self, strategy, own, key, selections, fitted, fits, session, query_round, candidates) -> DataFrame:
         b = self.batch_size
         if strategy in MARGIN or strategy in PROBABILISTIC:
-            return getattr(selectors, strategy)(own, key, b)
+            return getattr(selectors, strategy)(own, key, b, complete=self.complete)
         seed = F.concat_ws("|", F.col("seed").cast("string"), F.lit(session), F.lit(query_round))
         if strategy == "uniform_random":
-            return selectors.uniform_random(own, key, seed, b)
+            return selectors.uniform_random(own, key, seed, b, complete=self.complete)
         if strategy == "true_class_balanced":
             labelled = own.join(candidates.select("token", F.col("label").alias("true_label")), "token")
-            return selectors.true_class_balanced(labelled, key, b)
+            return selectors.true_class_balanced(labelled, key, b, complete=self.complete)
         if strategy == "squared_distance_seeding":
-            return selectors.squared_distance_seeding(own, key, b, seed)
+            return selectors.squared_distance_seeding(own, key, b, seed, complete=self.complete)
         mine = self.history(selections, self.trajectories.filter(F.col("strategy") == strategy))
         # History embeddings under each trajectory's own normalizer.
         features = self.features
@@ -201,8 +209,8 @@ class Experiment:
             seen = models.embed(seen, fitted, "fit_id")
         seen = seen.select("trajectory_id", "token", "embedding")
         if strategy == "core_set":
-            return selectors.core_set(own, seen, key, b)
-        return selectors.ranked_batch(own, seen, key, b, F.col("seed"))
+            return selectors.core_set(own, seen, key, b, complete=self.complete)
+        return selectors.ranked_batch(own, seen, key, b, F.col("seed"), complete=self.complete)
 
     # -- whole run --
 
@@ -233,7 +241,9 @@ class Experiment:
                 if query_round > 1:
                     fitted, fits = self.fit(self.history(chosen, self.trajectories.filter(adaptive)))
                 active = self.trajectories.filter(adaptive & (F.col("query_budget") >= query_round * b))
-                made = stage(self.acquire(session, query_round, chosen, active, fitted, fits), "selections")
+                picks = b * sum(n for budget, n in self.budgets.items() if budget >= query_round * b)
+                made = self.acquire(session, query_round, chosen, active, fitted, fits)
+                made = stage(made, "selections", guards={"picks that are no candidates of the session": F.col("label").isNull()}, rows=picks if self.complete else None)
                 chosen = made if chosen is None else chosen.unionByName(made)
                 self.learn(session, made.select("token").distinct())
             if full is not None:

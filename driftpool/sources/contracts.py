@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,9 @@ from driftpool.functions.ranking import position_in_order, top_per_group
 
 METADATA = {"sequence_row": "bigint", "participant": "string", "session": "int", "label": "int", "repetition": "int"}
 
+#: File that names the version readers take.
+POINTER = "current"
+
 # Accepted spellings of a Boolean.
 TRUE_WORDS, FALSE_WORDS = ("true", "1", "yes"), ("false", "0", "no")
 
@@ -51,13 +55,43 @@ def read_parts(spark: SparkSession, paths: Sequence[str], fmt: str = "csv", sche
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> None:
-    """Write through Spark's commit protocol: readers see the old table or the new one."""
+    """Write in place. An overwrite removes the old files before its job runs; ``publish`` keeps them readable."""
     writer = df.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def publish(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:
+    """Write a new version below ``path``, then move the pointer to it; returns the version's folder.
+
+    Readers resolve the pointer, so they see the old version until the new one is whole, also when the job fails. The
+    move is one rename, which the file system makes at once or not at all. Older versions stay.
+    """
+    spark = df.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    write_table(df, f"{path}/{version}", fmt, partition_by)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fresh, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{name}") for name in (f"{POINTER}-{version}", POINTER))
+    out = fresh.getFileSystem(conf).create(fresh, True)
+    try:
+        out.write(bytearray(f"{version} {fmt}".encode()))
+    finally:
+        out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri(), conf).rename(fresh, pointer, how)
+    return f"{path}/{version}"
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The version that the pointer names; no pointer is an error."""
+    version, fmt = spark.read.option("wholetext", True).text(f"{path}/{POINTER}").first()[0].split()
+    reader = spark.read.format(fmt)
+    return (reader.option("header", True) if fmt == "csv" else reader).load(f"{path}/{version}")
+
+
 def long_windows(df: DataFrame, windows: str = "windows", mask: str = "mask", keep: Sequence[str] = ("sequence_row",)) -> DataFrame:
     """Nested window tensor and mask to one row per (repetition, window, channel)."""
     cells = df.select(*keep, F.posexplode(F.arrays_zip(F.col(windows).alias("v"), F.col(mask).alias("m"))).alias("window", "_w"))
