@@ -44,7 +44,7 @@ def stage(df: DataFrame, name: str = "table", partition_by: Sequence[str] = (),
         df = df.observe(watch, F.count("*").alias("number of rows"), *counts)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    _written.append(path)
+    register(path)
     if watch:
         found = watch.get
         wrong = {what: found[what] for what in guards or {} if found[what]}
@@ -57,6 +57,11 @@ def stage(df: DataFrame, name: str = "table", partition_by: Sequence[str] = (),
     return spark.read.schema(df.schema).parquet(path)
 
 
+def register(path: str) -> None:
+    """Let ``release`` delete a table that was written elsewhere."""
+    _written.append(path)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
