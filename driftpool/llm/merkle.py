@@ -4,7 +4,8 @@ A section ends at a blank line or after a paragraph whose hash says so, hence an
 A fingerprint is the tree as a string: the root's hash, ``#``, then sections between ``|``, paragraphs between ``;``,
 sentences between ``,``. A sentence is 8 digits of its hash and its length (code points), all hexadecimal. One of more
 than LEAF code points is several leaves, with borders that the content sets, so that an edit changes only leaves around
-it. Inner hashes follow from their children, so only the root's is kept. Equal texts have equal fingerprints.
+it. Paragraphs, sections and the root are hashed (SHA-256) over the whole hashes of their children, so roots are equal
+only if texts are, and only the root's hash is kept of these. The string grows with the text, by some 0.4 of its length.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -22,62 +23,66 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from driftpool.llm.common import prepare, texts, written
 
-_SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
-_WORD = re.compile(r"\S+\s*|\s+")
 #: One paragraph in so many ends a section.
 SECTION = 8
 #: Most code points of a leaf, and fewest before a border that the content sets.
 LEAF, LEAST = 64, 16
-#: In a longer sentence, one word in so many is a border; where words are none, one window of code points in so many.
-WORDS, WINDOW, WINDOWS = 4, 6, 16
+#: In a longer sentence, a border follows a word whose last code point these many divide; where words are none, a code point.
+WORDS, POINTS = 4, 16
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode())
+def _divided_by(n: int) -> str:
+    """Code points that ``n`` divides, as a set of a pattern; beyond the first plane, all."""
+    return "[" + "".join(re.escape(chr(c)) for c in range(0, 0x10000, n) if not 0xD800 <= c < 0xE000) + "\U00010000-\U0010ffff]"
 
 
-def _cut(part: str) -> Iterator[str]:
-    """Parts of at most LEAF code points; borders follow from the code points before them, or else from the last border."""
-    start = 0
-    while len(part) - start > LEAF:
-        end = next((k for k in range(start + LEAST, start + LEAF) if _hash(part[k - WINDOW : k]) % WINDOWS == 0), start + LEAF)
-        yield part[start:end]
-        start = end
-    yield part[start:]
+_SENTENCE = re.compile(r"[^.!?]*[.!?]+\s*|[^.!?]+")
+_PHRASE = re.compile(rf"[\s\S]{{{LEAST - 2},}}?{_divided_by(WORDS)}\s+|[\s\S]+")
+_PIECE = re.compile(rf"[\s\S]{{{LEAST - 1},{LEAF - 2}}}?{_divided_by(POINTS)}|[\s\S]{{1,{LEAF}}}")
 
 
 def leaves(sentence: str) -> list[str]:
     """A sentence, or its parts if it has more than LEAF code points."""
     if len(sentence) <= LEAF:
         return [sentence]
-    found, start, end = [], 0, 0
-    for word in _WORD.findall(sentence):
-        end += len(word)
-        if end - start >= LEAST and _hash(word.rstrip()) % WORDS == 0:
-            found += _cut(sentence[start:end])
-            start = end
-    if start < end:
-        found += _cut(sentence[start:])
+    found = []
+    for phrase in _PHRASE.findall(sentence):
+        if len(phrase) <= LEAF:
+            found.append(phrase)
+        else:
+            found += _PIECE.findall(phrase)
     return found
 
 
+def _digest(kind: bytes, parts: Iterable[bytes]) -> bytes:
+    return hashlib.sha256(kind + b"".join(parts)).digest()
+
+
+def _paragraph(line: str) -> tuple[str, bytes]:
+    """Its leaves as eight digits of their hashes and lengths, and its own hash over all their whole hashes."""
+    parts = [leaf for s in _SENTENCE.findall(line) for leaf in leaves(s)]
+    wide = [hashlib.sha256(leaf.encode()).digest() for leaf in parts]
+    return ",".join([f"{h[:4].hex()}{len(leaf):x}" for h, leaf in zip(wide, parts, strict=True)]), _digest(b"P", wide)
+
+
 def paragraph(line: str) -> str:
     """Leaves of one paragraph as hash and length."""
-    return ",".join(f"{_hash(leaf) >> 32:08x}{len(leaf):x}" for s in _SENTENCE.findall(line) for leaf in leaves(s))
+    return _paragraph(line)[0]
 
 
 def fingerprint(text: str) -> str:
-    sections, row = [], []
-    for line in text.split("\n"):
-        row.append(paragraph(line))
-        if not line.strip() or xxhash.xxh3_64_intdigest(row[-1]) % SECTION == 0:
+    sections, inner, row, below = [], [], [], []
+    lines = text.split("\n")
+    for k, line in enumerate(lines, 1):
+        shown, digest = _paragraph(line)
+        row.append(shown)
+        below.append(digest)
+        if k == len(lines) or not line.strip() or digest[0] % SECTION == 0:
             sections.append(";".join(row))
-            row = []
-    if row:
-        sections.append(";".join(row))
-    inner = [hashlib.sha256(";".join(hashlib.sha256(p.encode()).hexdigest() for p in s.split(";")).encode()).hexdigest() if ";" in s else hashlib.sha256(s.encode()).hexdigest() for s in sections]
-    root = hashlib.sha256(f"{len(text)}|{'|'.join(inner)}".encode()).hexdigest()
-    return f"{root[:32]}#{'|'.join(sections)}"
+            inner.append(_digest(b"S", below))
+            row, below = [], []
+    root = _digest(b"R%d|" % len(text), inner)
+    return f"{root[:16].hex()}#{'|'.join(sections)}"
 
 
 def _leaves(sections: Counter) -> Counter:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 from driftpool.llm import merkle
 
@@ -70,3 +71,36 @@ def test_leaves_are_bounded_and_edits_stay_local():
     places = merkle.edited_leaves(merkle.fingerprint(lines[0]), merkle.fingerprint(changed))
     assert 0 < len(places) < 6 and any(start <= 2000 <= start + n for *_, start, n in places) and all(abs(start - 2000) < 500 for *_, start, n in places)
     assert merkle.edited_leaves(merkle.fingerprint(lines[0]), merkle.fingerprint(lines[0])) == []
+
+
+def plain_likeness(a, b):
+    """By the leaves' own texts, without hashes, sections or fingerprints; an empty paragraph counts as one code point."""
+    x, y = (Counter(leaf for line in t.split("\n") for leaf in ([p for s in merkle._SENTENCE.findall(line) for p in merkle.leaves(s)] or [""])) for t in (a, b))
+    weigh = lambda c: sum(n * max(1, len(leaf)) for leaf, n in c.items())
+    return 2 * weigh(x & y) / (weigh(x) + weigh(y))
+
+
+def test_likeness_and_roots_by_plain_comparison(spark, sf_dir):
+    given = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").orderBy("doc_id").collect()]
+    prints = [merkle.fingerprint(t) for t in given]
+    assert len(set(prints)) == len({p.partition("#")[0] for p in prints}) == len(set(given))
+    for a, b in zip(given, given[1:] + given[:1], strict=True):
+        for other in (b, merkle.edited(a, b)):
+            assert abs(merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(other)) - plain_likeness(a, other)) < 1e-12
+
+
+def test_roots_differ_where_short_leaf_hashes_could_meet():
+    numbers = [f"Item number {k:07d} is sold out today." for k in range(120_000)]
+    shown = Counter(merkle.paragraph(x) for x in numbers)
+    roots = {merkle.fingerprint(x).partition("#")[0] for x in numbers}
+    assert len(roots) == len(numbers) and len(shown) >= len(numbers) - 20
+    moved = ["a. b.\nc", "a.\n b.\nc", "a. b.\n\nc", "a. b.c", "", "\n", "\n\n"]
+    assert len({merkle.fingerprint(x).partition("#")[0] for x in moved}) == len(moved)
+
+
+def test_text_of_some_megabytes():
+    draw = random.Random(9)
+    words = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(3_000)]
+    text = " ".join(draw.choices(words, k=600_000))
+    other = text[:1_500_000] + "an insertion of some words" + text[1_500_000:]
+    assert 0.9999 < merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(other)) < 1
