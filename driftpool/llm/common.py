@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from driftpool.functions.staging import shared_dir
+from driftpool.functions.staging import register, shared_dir
 
 #: Bytes of Arrow data handed to Python at once; bounds a worker's memory when texts are long.
 BATCH_BYTES = 8 << 20
@@ -29,9 +29,21 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     path = table_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    register(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened by ``_`` in front until ``df`` has no such column (in upper or lower case)."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def whole_text() -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col("text"), F.lit(""))

@@ -19,7 +19,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from driftpool.llm.common import prepare, written
+from driftpool.llm.common import prepare, unused, written
 from driftpool.llm.suffix_dedup import keyed_texts, packed_texts, row_keys
 
 WORDS, SIMILARITY = 5, 0.8
@@ -302,7 +302,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows whose group has an earlier document; all columns as they are."""
-    gone = near_groups(docs, words, similarity).filter("NOT first").select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie")).distinct()
-    doc, tie = row_keys()
-    own = docs.withColumns({"__own_doc": doc, "__own_tie": tie})
-    return own.join(gone, (F.col("__own_doc") == F.col("__doc")) & (F.col("__own_tie") == F.col("__tie")), "left_anti").select(*docs.columns)
+    doc, tie, gone_doc, gone_tie = unused(docs, "doc", "tie", "gone_doc", "gone_tie")
+    gone = near_groups(docs, words, similarity).filter("NOT first").select(F.col("doc").alias(gone_doc), F.col("tie").alias(gone_tie)).distinct()
+    own = docs.withColumns(dict(zip((doc, tie), row_keys(), strict=True)))
+    return own.join(gone, (F.col(doc) == F.col(gone_doc)) & (F.col(tie) == F.col(gone_tie)), "left_anti").drop(doc, tie)

@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from driftpool.llm.common import prepare, texts, whole_text, written
+from driftpool.llm.common import prepare, texts, unused, whole_text, written
 
 SPACE = b" \t\n\x0b\x0c\r"
 MIN_POINTS = 10
@@ -114,16 +114,16 @@ def kept_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     A document that loses all its lines stays, with an empty text.
     """
-    names = docs.columns
-    marked = docs.withColumn("__row", F.xxhash64(whole_text()))
-    keep = bitmaps.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("keep").alias("__keep"))
-    joined = marked.join(keep.withColumnRenamed("__row", "__hash"), (F.col("doc_id") == F.col("__id")) & (F.col("__row") == F.col("__hash")), "left")
+    row, doc, its_row, bits = unused(docs, "row", "doc", "its_row", "bits")
+    marked = docs.withColumn(row, F.xxhash64(whole_text()))
+    keep = bitmaps.select(F.col("doc_id").alias(doc), F.col("row").alias(its_row), F.col("keep").alias(bits))
+    joined = marked.join(keep, (F.col("doc_id") == F.col(doc)) & (F.col(row) == F.col(its_row)), "left")
 
     @F.pandas_udf("string")
     def cut(text, keep):
         return text.combine(keep, _cut)
 
-    return joined.withColumn("text", F.when(F.col("__keep").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("__keep")))).select(*names)
+    return joined.withColumn("text", F.when(F.col(bits).isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col(bits)))).drop(row, doc, its_row, bits)
 
 
 def _cut(text: str | None, keep: bytes | None) -> str | None:

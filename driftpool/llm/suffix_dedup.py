@@ -22,7 +22,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from driftpool.llm.common import prepare, whole_text, written
+from driftpool.llm.common import prepare, unused, whole_text, written
 
 THRESHOLD = 200
 GRAM = 8
@@ -301,18 +301,16 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     A null text stays null; a text of which all is repeated becomes empty.
     """
     prepare(docs.sparkSession)
-    names = docs.columns
-    blocks = repeated_blocks(docs, threshold).groupBy("doc", "tie").agg(F.collect_set("item").alias("__items"))
-    doc, tie = row_keys()
-    blocks = blocks.withColumnsRenamed({"doc": "__doc", "tie": "__tie"})
-    own = docs.withColumns({"__own_doc": doc, "__own_tie": tie})
-    joined = own.join(blocks, (F.col("__own_doc") == F.col("__doc")) & (F.col("__own_tie") == F.col("__tie")), "left")
+    own_doc, own_tie, doc, tie, gone = unused(docs, "own_doc", "own_tie", "doc", "tie", "items")
+    blocks = repeated_blocks(docs, threshold).groupBy("doc", "tie").agg(F.collect_set("item").alias("items")).withColumnsRenamed({"doc": doc, "tie": tie, "items": gone})
+    own = docs.withColumns(dict(zip((own_doc, own_tie), row_keys(), strict=True)))
+    joined = own.join(blocks, (F.col(own_doc) == F.col(doc)) & (F.col(own_tie) == F.col(tie)), "left")
 
     @F.pandas_udf("string")
     def kept(text, items):
         return text.combine(items, lambda t, x: _cut_text(t, x, threshold))
 
-    return joined.withColumn("text", F.when(F.col("__items").isNull(), F.col("text")).otherwise(kept("text", "__items"))).select(*names)
+    return joined.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept("text", gone))).drop(own_doc, own_tie, doc, tie, gone)
 
 
 def _cut_text(text: str | None, items: np.ndarray | None, threshold: int) -> str | None:
