@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,8 +12,6 @@ from driftpool.functions.staging import stage
 WINDOW_ROWS = 1_000_000
 #: Largest group whose values may be held by one exact percentile buffer.
 PERCENTILE_ROWS = 200_000
-#: Most order-preserving buckets a large group is cut into.
-MAX_BUCKETS = 4_096
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, out: str = "rank") -> DataFrame:
@@ -33,55 +30,25 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("count")).first()[0] or 0
 
 
-def _offset_rank(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: str, out: str) -> DataFrame:
-    cells = [*keys, bucket]
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        df.groupBy(*cells)
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-        .drop("_n")
-    )
-    inside = Window.partitionBy(*cells).orderBy(*order)
-    return (
-        df.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, cells)
-        .withColumn(out, F.col("_inside") + F.col("_before"))
-        .drop("_inside", "_before", bucket)
-    )
-
-
-def position_by_token(df: DataFrame, keys: Sequence[str], token: str, out: str = "position", prefix: int = 2) -> DataFrame:
-    """1-based position of every row in token order, without one task per group.
+def _ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """``df`` range-sorted by the keys and ``order``, with ``_key`` (struct of the keys), ``_part`` and ``_at``, increasing in that order.
 
-    Tokens are uniform hexadecimal digests, so their leading characters are
-    order-preserving buckets of equal size.
+    Ranges are cut on the whole order, so a group or a value with most of the rows is dealt over many of them. The table
+    is written, which fixes the numbers for all that reads them.
     """
-    bucketed = df.withColumn("_bucket", F.substring(token, 1, prefix))
-    return _offset_rank(bucketed, keys, [F.col(token)], "_bucket", out)
+    whole = [*(F.col(k) for k in keys), *order]
+    ordered = df.repartitionByRange(*whole).sortWithinPartitions(*whole).withColumn("_at", F.monotonically_increasing_id())
+    return stage(ordered.withColumns({"_part": F.shiftright("_at", 33), "_key": F.struct(*keys, F.lit(0).alias("_"))}), "ranged")
 
 
-def _value_bucket(df: DataFrame, keys: Sequence[str], value: str, limit: int, largest: int) -> DataFrame:
-    """Add ``_bucket``, monotone in ``value``: about even cells for groups above ``limit`` rows, 0 elsewhere.
+def _before(cells: DataFrame) -> Column:
+    """Sum of ``_n`` over the earlier ranges of the same group; a group has at most one row per range here."""
+    return F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
-    Bounds come from a quantile sketch of the large groups only (at most rows /
-    limit of them). A row finds its cell in two short scans, coarse then fine.
-    """
-    keys = list(keys)
-    buckets = min(MAX_BUCKETS, max(8, 4 * math.ceil(largest / limit)))
-    step = math.isqrt(buckets)
-    cuts = [i / buckets for i in range(1, buckets)]
-    sketch = F.array_distinct(F.percentile_approx(value, cuts, 10_000)).alias("_bounds")
-    if keys:
-        large = stage(df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit).select(*keys), "large")
-        bounds = df.join(large, keys, "left_semi").groupBy(*keys).agg(sketch)
-    else:
-        bounds = df.agg(sketch)
-    bounds = stage(bounds.withColumn("_coarse", F.expr(f"filter(_bounds, (b, i) -> (i + 1) % {step} = 0)")), "bounds")
-    joined = df.join(bounds, keys, "left") if keys else df.join(F.broadcast(bounds))  # without keys: one row
-    passed = F.size(F.filter("_coarse", lambda bound: bound < F.col(value))) * step
-    here = F.size(F.filter(F.slice("_bounds", passed + 1, F.lit(step)), lambda bound: bound < F.col(value)))
-    return joined.withColumn("_bucket", F.when(F.col("_bounds").isNull(), 0).otherwise(passed + here)).drop("_bounds", "_coarse")
+
+def position_by_token(df: DataFrame, keys: Sequence[str], token: str, out: str = "position", window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """1-based position (long) of every row in token order."""
+    return position_in_order(df, keys, token, out=out, window_rows=window_rows).withColumn(out, F.col(out).cast("long"))
 
 
 def position_in_order(
@@ -90,63 +57,48 @@ def position_in_order(
 ) -> DataFrame:
     """1-based position of every row by ``value`` then ``ties``.
 
-    Groups up to ``window_rows`` use one window; a larger one is cut at
-    approximate quantiles and positions are rebuilt from bucket offsets.
+    Groups up to ``window_rows`` use one window. With a larger one, rows are range-sorted and a position is the row's
+    number in its range plus the rows of earlier ranges. Rows that ``ties`` leaves equal get positions in any order.
     """
     order = [F.col(value), *ties]
-    largest = largest_group(df, keys)
-    if largest <= window_rows:
+    if largest_group(df, keys) <= window_rows:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return _offset_rank(_value_bucket(df, keys, value, window_rows, largest), keys, order, "_bucket", out)
+    spread = F.xxhash64(*df.columns)  # rows equal in all of ``order`` need not share a range
+    rows = _ranged(df, keys, [*order, spread])
+    cells = rows.groupBy("_key", "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    cells = stage(cells.select("_key", "_part", (_before(cells) - F.col("_first") + 1).alias("_shift")), "cells")
+    return rows.join(cells, ["_key", "_part"]).withColumn(out, F.col("_at") + F.col("_shift")).select(*df.columns, out)
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], out: str = "quantiles",
     group_rows: int = PERCENTILE_ROWS,
 ) -> DataFrame:
-    """Linearly interpolated quantiles per group as one array column."""
+    """Linearly interpolated quantiles per group as one array column.
+
+    Groups up to ``group_rows`` use one buffer each. With a larger one, equal values are counted first and the distinct
+    ones range-sorted, so a common value is one row; only ranges that hold a wanted rank are summed up row by row.
+    """
     df = df.select(*keys, value).filter(F.col(value).isNotNull())
     probabilities = [float(p) for p in probabilities]
-    largest = largest_group(df, keys)
-    if largest <= group_rows:
+    if largest_group(df, keys) <= group_rows:
         literal = F.array(*[F.lit(p) for p in probabilities])
         return df.groupBy(*keys).agg(F.percentile(value, literal).alias(out))
-    # Only the buckets that hold a wanted rank are ever ranked.
-    bucketed = _value_bucket(df, keys, value, group_rows, largest)
-    cells = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*keys))
-    )
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("i"),
-                ((F.col("_total") - 1) * F.lit(p)).alias("h"),
-            )
-            for i, p in enumerate(probabilities)
-        ]
-    )
-    targets = cells.withColumn("_w", F.explode(wanted)).select(
-        *keys, "_bucket", "_n", "_before", F.col("_w.i").alias("_i"), F.col("_w.h").alias("_h"),
-        F.explode(F.array(F.floor("_w.h"), F.ceil("_w.h"))).alias("_rank0"),
-    )
-    targets = targets.filter(
-        (F.col("_rank0") >= F.col("_before")) & (F.col("_rank0") < F.col("_before") + F.col("_n"))
+    rows = _ranged(df.groupBy(*keys, value).agg(F.count("*").alias("_n")), keys, [F.col(value)])
+    cells = rows.groupBy("_key", "_part").agg(F.sum("_n").alias("_n"))
+    cells = cells.withColumns({"_before": _before(cells), "_total": F.sum("_n").over(Window.partitionBy("_key"))})
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("_total") - 1) * F.lit(p)).alias("h")) for i, p in enumerate(probabilities)])
+    asked = cells.withColumn("_w", F.explode(wanted)).select(
+        "_key", "_part", "_n", "_before", F.col("_w.i").alias("_i"), F.col("_w.h").alias("_h"), F.explode(F.array(F.floor("_w.h"), F.ceil("_w.h"))).alias("_rank"),
     )
-    hit = targets.select(*keys, "_bucket", "_before").distinct()
-    ranked = (
-        bucketed.join(hit, [*keys, "_bucket"])
-        .withColumn(
-            "_rank0",
-            F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(value)) - 1 + F.col("_before"),
-        )
-        .select(*keys, "_bucket", "_rank0", value)
-    )
-    found = targets.join(ranked, [*keys, "_bucket", "_rank0"]).groupBy(*keys, "_i", "_h").agg(
-        F.min_by(value, "_rank0").alias("_low"), F.max_by(value, "_rank0").alias("_high")
-    )
-    point = F.col("_low") + (F.col("_high") - F.col("_low")) * (F.col("_h") - F.floor("_h"))
-    return found.groupBy(*keys).agg(
+    asked = stage(asked.filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))).drop("_n").distinct(), "asked")
+    some = rows.join(asked.select("_key", "_part", "_before").distinct(), ["_key", "_part"])
+    inside = Window.partitionBy("_key", "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    some = some.select("_key", "_part", value, "_n", (F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_from"))
+    hit = some.join(asked.drop("_before"), ["_key", "_part"]).filter((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_n")))
+    found = hit.groupBy("_key", "_i", "_h").agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+    point = F.when(low == high, low).otherwise((F.ceil("_h") - F.col("_h")) * low + (F.col("_h") - F.floor("_h")) * high)  # as the built-in aggregate
+    return found.groupBy("_key").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_i", point.alias("q")))), lambda s: s["q"]).alias(out)
-    )
+    ).select(*(F.col("_key")[k].alias(k) for k in keys), out)

@@ -213,3 +213,30 @@ def test_fixed_history_sizes(spark):
     targets = spark.createDataFrame([(s,) for s in range(1, 6)], "target_session int")
     sizes = trajectory.fixed_history(initial, chosen, targets).groupBy("target_session").count().collect()
     assert {r.target_session: r["count"] for r in sizes} == {t: 35 + 7 * t for t in range(1, 6)}
+
+
+def test_one_value_on_most_rows(spark):
+    """One group holds most rows and one value most of these; keys may be null; ranges stay even and results those of one window."""
+    rows = [(None if i % 50 == 0 else "a" if i % 10 else "b", 7.25 if i % 20 else float(i % 13), f"{i * 7919 % 6007:05d}", i) for i in range(6_000)]
+    df = spark.createDataFrame(rows, "g string, v double, token string, id long").repartition(6)
+    order = [F.col("token"), F.col("id")]
+    small = {r.id: r.position for r in ranking.position_in_order(df, ["g"], "v", order).collect()}
+    large = {r.id: r.position for r in ranking.position_in_order(df, ["g"], "v", order, window_rows=100).collect()}
+    assert small == large and len(large) == len(rows)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in ranking._ranged(df, ["g"], [F.col("v"), *order]).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) > 1 and max(sizes) < 2 * len(rows) / len(sizes)
+    free = ranking.position_in_order(df, ["g"], "v", window_rows=100).collect()  # no ties given: any order within a value
+    for g in ("a", "b", None):
+        mine = sorted((r.position, r.v) for r in free if r.g == g)
+        assert [p for p, _ in mine] == list(range(1, len(mine) + 1)) and [v for _, v in mine] == sorted(v for _, v in mine)
+    p = [0.0, 0.013, 0.25, 0.5, 0.77, 0.999, 1.0]
+    one, other = ({r.g: r.quantiles for r in ranking.exact_quantiles(df, ["g"], "v", p, group_rows=n).collect()} for n in (10**6, 10))
+    assert one == other and set(one) == {"a", "b", None}
+    whole, cut = (ranking.exact_quantiles(df, [], "v", p, group_rows=n).first().quantiles for n in (10**6, 10))
+    assert whole == cut
+    by_token = ranking.position_by_token(df, ["g"], "token", window_rows=100)
+    assert sorted(r.position for r in by_token.filter("g = 'b'").collect()) == list(range(1, df.filter("g = 'b'").count() + 1))
