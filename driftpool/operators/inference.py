@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
@@ -22,6 +23,8 @@ ZERO_TOLERANCE = 1e-12
 # Fixed value: family whose only test is not adjusted.
 SINGLE_FAMILY = "NONE_SINGLE_FOCAL"
 
+#: Most differing pairs of one analysis in the exact signed-rank test; its vector has up to twice n(n+1)/2 entries.
+LARGEST_PAIRS = 2_000
 #: Analyses up to this many participants carry their values as one array.
 ARRAY_UNITS = 100_000
 #: Bootstrap replicates generated by one task.
@@ -93,46 +96,47 @@ def effect_modification(
 # -- tests and effects ----------------------------------------------------------------
 
 
-def _null_distribution(ranks: Column, total: Column) -> Column:
-    """P(W+ = s) for s = 0..total over doubled ranks: fold each rank in with probability 1/2."""
-    start = F.transform(F.sequence(F.lit(0), total), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
-
-    def add(dist: Column, rank: Column) -> Column:
-        return F.transform(
-            dist, lambda p, s: 0.5 * p + F.when(s >= rank, 0.5 * F.coalesce(F.get(dist, s - rank), F.lit(0.0))).otherwise(0.0)
-        )
-
-    return F.aggregate(ranks, start, add)
+def exact_tail(ranks: np.ndarray, plus: int) -> float:
+    """Chance that the rank sum is as far from its centre as ``plus``, when every rank counts or not with even chances."""
+    total, unit = int(ranks.sum()), int(np.gcd.reduce(ranks))
+    chance = np.ones(1)
+    for rank in np.sort(ranks // unit).tolist():  # the product of (1 + z^rank) / 2, smallest first, so that it grows late
+        grown = np.zeros(len(chance) + rank)
+        grown[: len(chance)] = chance
+        grown[rank:] += chance
+        chance = grown * 0.5
+    sums = np.arange(len(chance), dtype=np.int64) * unit
+    return min(1.0, float(chance[np.abs(2 * sums - total) >= abs(2 * plus - total)].sum()))
 
 
 def signed_rank(deltas: DataFrame, keys: Sequence[str], delta: str = "delta") -> DataFrame:
-    """Exact two-sided signed-rank test per analysis.
+    """Exact two-sided signed-rank test per analysis, of up to LARGEST_PAIRS pairs that differ; more are an error.
 
-    Doubled average ranks are integers, so the exact distribution is a fold over
-    the rank array: cost units x rank total, where enumeration needs 2^units.
+    Doubled average ranks are integers, so the exact distribution is a product of two-term polynomials, one vector
+    operation per pair: cost pairs x rank total, where enumeration needs 2^pairs. Null differences count as zero pairs.
     """
     moved = F.abs(F.col(delta)) > ZERO_TOLERANCE
     magnitude = F.abs(F.col(delta))
-    order = Window.partitionBy(*keys, moved).orderBy(magnitude)
+    group = Window.partitionBy(*keys, moved)
     ties = Window.partitionBy(*keys, moved, magnitude)
-    doubled = (2 * F.rank().over(order) + F.count("*").over(ties) - 1).cast("int")
-    ranked = deltas.withColumn("_r", F.when(moved, doubled))
+    many = F.count("*").over(group)
+    doubled = (2 * F.rank().over(group.orderBy(magnitude)) + F.count("*").over(ties) - 1).cast("bigint")
+    checked = F.when(many <= LARGEST_PAIRS, doubled).otherwise(F.raise_error(F.concat(F.lit(f"more than {LARGEST_PAIRS} pairs in one analysis: "), many)).cast("bigint"))
+    ranked = deltas.withColumn("_r", F.when(moved, checked))
     sums = ranked.groupBy(*keys).agg(
         F.count("_r").alias("nonzero_pairs"), (F.count("*") - F.count("_r")).alias("zero_pairs"),
-        F.coalesce(F.sum(F.when(F.col(delta) > 0, F.col("_r"))), F.lit(0)).cast("int").alias("_plus"),
-        F.coalesce(F.sum("_r"), F.lit(0)).cast("int").alias("_total"),
-        F.array_sort(F.collect_list("_r")).alias("_ranks"),
-    )
-    off_center = F.abs(2 * F.col("_plus") - F.col("_total"))
-    tail = F.aggregate(
-        F.transform("_dist", lambda p, s: F.when(F.abs(2 * s - F.col("_total")) >= off_center, p).otherwise(0.0)),
-        F.lit(0.0), lambda a, p: a + p,
+        F.coalesce(F.sum(F.when(F.col(delta) > 0, F.col("_r"))), F.lit(0)).cast("bigint").alias("_plus"),
+        F.coalesce(F.sum("_r"), F.lit(0)).cast("bigint").alias("_total"), F.collect_list("_r").alias("_ranks"),
     )
+
+    @F.pandas_udf("double")
+    def p_value(ranks, plus):
+        return plus.__class__([exact_tail(np.asarray(r, np.int64), int(p)) if len(r) else 1.0 for r, p in zip(ranks, plus, strict=True)], dtype=float)
+
     minus = F.col("_total") - F.col("_plus")
-    return sums.withColumn("_dist", _null_distribution(F.col("_ranks"), F.col("_total"))).select(
+    return sums.select(
         *keys, "nonzero_pairs", "zero_pairs", (F.col("_plus") / 2.0).alias("w_plus"), (minus / 2.0).alias("w_minus"),
-        (F.least(F.col("_plus"), minus) / 2.0).alias("statistic"),
-        F.when(F.col("nonzero_pairs") == 0, 1.0).otherwise(F.least(F.lit(1.0), tail)).alias("p_value"),
+        (F.least(F.col("_plus"), minus) / 2.0).alias("statistic"), p_value("_ranks", "_plus").alias("p_value"),
         F.coalesce(F.try_divide((F.col("_plus") - minus).cast("double"), F.col("_total").cast("double")), F.lit(0.0))
         .alias("rank_biserial"),
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from driftpool.functions import vectors
 from driftpool.functions.staging import stage
@@ -304,19 +304,29 @@ def fixed_history(initial: DataFrame, selections: DataFrame, sessions: DataFrame
 def call_audit(history: DataFrame, calls: DataFrame, trajectory: str = "trajectory_id") -> DataFrame:
     """Per selector call (trajectory, session, query_round): history size, last session, leak flags.
 
-    ``history`` rows carry the (session, query_round) at which they were
-    revealed; a call sees what was revealed before it.
+    ``history`` rows carry the (session, query_round) at which they were revealed; a call sees what was revealed before
+    it. Reveals are counted per round, then rounds and calls pass once in order of time with running sums. Without a
+    session a reveal is never seen, without a round it is seen by later sessions only; a call without a round sees
+    earlier sessions, one without a session nothing.
     """
-    revealed = history.groupBy(trajectory, F.col("session").alias("_s"), F.col("query_round").alias("_r")).agg(
+    first, last = F.lit(-(1 << 62)), F.lit(1 << 62)
+    rows = history.filter(F.col(trajectory).isNotNull() & F.col("session").isNotNull()).groupBy(trajectory, "session", "query_round").agg(
         F.count("*").alias("_n"), F.count_if(F.col("role") == "fixed_test").alias("_test")
     )
-    seen = calls.join(revealed, trajectory, "left")
-    usable = (F.col("_s") < F.col("session")) | ((F.col("_s") == F.col("session")) & (F.col("_r") < F.col("query_round")))
-    total = lambda c: F.coalesce(F.sum(F.when(usable, F.col(c))), F.lit(0)).cast("bigint")
-    return seen.groupBy(trajectory, "session", "query_round").agg(
-        total("_n").alias("history_size"), F.max(F.when(usable, F.col("_s"))).alias("maximum_history_session"),
-        total("_test").alias("fixed_test_in_history"),
-    ).withColumn("future_session_used", F.coalesce(F.col("maximum_history_session") > F.col("session"), F.lit(False)))
+    none = F.lit(0).cast("bigint")
+    rows = rows.select(trajectory, "session", "query_round", "_n", "_test", F.col("session").alias("_seen"), F.lit(1).alias("_kind"))
+    asks = calls.select(trajectory, "session", "query_round").distinct()
+    asks = asks.select(trajectory, "session", "query_round", none.alias("_n"), none.alias("_test"), F.lit(None).alias("_seen"), F.lit(0).alias("_kind"))
+    when = [
+        F.coalesce(F.col("session").cast("bigint"), first),
+        F.coalesce(F.col("query_round").cast("bigint"), F.when(F.col("_kind") == 1, last).otherwise(first)), "_kind",  # at the same round the call comes first
+    ]
+    before = Window.partitionBy(trajectory).orderBy(*when).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.unionByName(asks).select(
+        trajectory, "session", "query_round", "_kind", F.sum("_n").over(before).alias("history_size"),
+        F.max("_seen").over(before).alias("maximum_history_session"), F.sum("_test").over(before).alias("fixed_test_in_history"),
+    )
+    return seen.filter("_kind = 0").drop("_kind").withColumn("future_session_used", F.coalesce(F.col("maximum_history_session") > F.col("session"), F.lit(False)))
 
 
 def full_pool_control(selections: DataFrame, pool: DataFrame, keys: Sequence[str], token: str = "token") -> DataFrame:

@@ -41,6 +41,34 @@ def test_signed_rank_beyond_enumeration(spark):
     assert 0 < row.p_value < 0.05 and row.w_plus + row.w_minus == 60 * 61 / 2
 
 
+def test_signed_rank_of_many_pairs(spark):
+    rng = np.random.default_rng(5)
+    n = inference.LARGEST_PAIRS
+    groups = {"plain": rng.normal(0.03, 1, n), "tied": np.round(rng.normal(0.03, 1, n), 1) + 0.05}
+    found = {r.analysis_id: r for r in inference.signed_rank(frame(spark, groups), ["analysis_id"]).collect()}
+    for name, values in groups.items():
+        order, at, count = np.unique(np.abs(values), return_inverse=True, return_counts=True)
+        ranks = (np.cumsum(count) - (count - 1) / 2)[at]
+        spread, away = np.sqrt((ranks**2).sum()) / 2, abs(ranks[values > 0].sum() - ranks.sum() / 2)
+        step = 0.5 if name == "plain" else 0.25  # half a step of the rank sum
+        assert found[name].nonzero_pairs == n and found[name].w_plus == ranks[values > 0].sum()
+        assert found[name].p_value == pytest.approx(2 * NormalDist().cdf(-(away - step) / spread), abs=2e-4)
+    with pytest.raises(Exception, match="more than 2000 pairs"):
+        inference.signed_rank(frame(spark, {"a": rng.normal(0, 1, n + 1)}), ["analysis_id"]).collect()
+
+
+def test_exact_tail_equals_enumeration():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        values = rng.integers(-5, 6, size=10) / 2
+        kept = values[values != 0]
+        if len(kept):
+            p, plus, minus = enumerate_p(values)
+            order = np.abs(kept)
+            ranks = np.array([2 * (order < v).sum() + (order == v).sum() + 1 for v in order])
+            assert inference.exact_tail(ranks, int(2 * plus)) == pytest.approx(p, abs=1e-12)
+
+
 def test_holm(spark):
     tests = spark.createDataFrame(
         [("a", "f", 0.01), ("b", "f", 0.04), ("c", "f", 0.03), ("d", inference.SINGLE_FAMILY, 0.04)], "analysis_id string, family string, p_value double"

@@ -240,3 +240,22 @@ def test_one_value_on_most_rows(spark):
     assert whole == cut
     by_token = ranking.position_by_token(df, ["g"], "token", window_rows=100)
     assert sorted(r.position for r in by_token.filter("g = 'b'").collect()) == list(range(1, df.filter("g = 'b'").count() + 1))
+
+
+def test_call_audit_by_every_pair(spark):
+    """Against all calls times all reveals, with nulls, repeated calls, fixed tests and rounds that coincide."""
+    rng = np.random.default_rng(3)
+    some = lambda top: None if rng.random() < 0.08 else int(rng.integers(0, top))
+    history = [("abc"[int(rng.integers(0, 3))], some(5), some(4), "fixed_test" if rng.random() < 0.2 else "candidate") for _ in range(300)]
+    calls = [("abcd"[int(rng.integers(0, 4))], some(6), some(5)) for _ in range(80)]
+    kinds = "trajectory_id string, session int, query_round int"
+    found = trajectory.call_audit(spark.createDataFrame(history, kinds + ", role string"), spark.createDataFrame(calls, kinds)).collect()
+    assert len(found) == len(set(calls))
+    for r in found:
+        seen = [
+            h for h in history
+            if h[0] == r.trajectory_id and h[1] is not None and r.session is not None
+            and (h[1] < r.session or (h[1] == r.session and h[2] is not None and r.query_round is not None and h[2] < r.query_round))
+        ]
+        assert r.history_size == len(seen) and r.fixed_test_in_history == sum(h[3] == "fixed_test" for h in seen)
+        assert r.maximum_history_session == max((h[1] for h in seen), default=None) and not r.future_session_used
