@@ -62,31 +62,37 @@ WITH RECURSIVE cut AS (
   SELECT coalesce(sum(n_good)::DOUBLE / nullif(sum(n_labelled), 0), 1.0) AS base FROM known
 ), parts AS (
   SELECT host, shape, n, [x FOR x IN string_split(shape, '/') IF x <> ''] AS p FROM known
-), steps AS (
-  SELECT host, shape, n, d, p[d + 1] AS segment, array_to_string(p[1:d], '/') AS above FROM (SELECT *, unnest(range(len(p))) AS d FROM parts)
-), counts AS (
-  SELECT host, d, above, segment, sum(n) AS pages FROM steps GROUP BY ALL
-), rare AS (
-  SELECT host, d, above, segment FROM (
-    SELECT *, count(*) OVER w AS fan, sum(pages) OVER w AS everything FROM counts WINDOW w AS (PARTITION BY host, d, above)
-  ) WHERE fan > 32 AND pages * 32 < everything
-), named AS (
-  SELECT s.host, s.shape, s.d, CASE WHEN r.host IS NULL THEN s.segment ELSE '*' END AS segment
-  FROM steps s LEFT JOIN rare r ON s.host = r.host AND s.d = r.d AND s.above = r.above AND s.segment = r.segment
-), nodes AS (
-  SELECT host, shape, 0 AS depth, '' AS node FROM known
+), levels AS (
+  SELECT host, shape, n, p, 0 AS d, '' AS node FROM parts
   UNION ALL
-  SELECT host, shape, d + 1, '/' || string_agg(segment, '/') OVER (PARTITION BY host, shape ORDER BY d) FROM named
+  SELECT host, shape, n, p, d + 1, node || '/' || CASE WHEN fan > 32 AND pages * 32 < everything THEN '*' ELSE segment END
+  FROM (
+    SELECT *, sum(n) OVER (PARTITION BY host, node, segment) AS pages, sum(n) OVER (PARTITION BY host, node) AS everything,
+      count(DISTINCT segment) OVER (PARTITION BY host, node) AS fan
+    FROM (SELECT *, p[d + 1] AS segment FROM levels WHERE d < len(p))
+  )
+), nodes AS (
+  SELECT host, shape, d AS depth, node FROM levels
 ), stats AS (
   SELECT host, depth, node, CASE WHEN depth = 0 THEN '' ELSE regexp_replace(node, '/[^/]*\z', '') END AS above,
     sum(n_labelled)::DOUBLE AS n, sum(n_good)::DOUBLE AS good
   FROM nodes JOIN known USING (host, shape) GROUP BY host, depth, node
-), banded AS (
-  SELECT host, depth, node, above, n, good, floor(10 * (good + base) / (n + 1))::INT AS band FROM stats, total
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY host, depth, above ORDER BY good / n, node) AS r FROM stats WHERE n > 0
+), merged AS (
+  SELECT host, depth, above, node, r, 1 AS g, n, good FROM ranked WHERE r = 1
+  UNION ALL
+  SELECT host, depth, above, node, r, CASE WHEN apart THEN g + 1 ELSE g END, CASE WHEN apart THEN n ELSE all_n END, CASE WHEN apart THEN good ELSE all_good END
+  FROM (
+    SELECT k.*, m.g, m.n + k.n AS all_n, m.good + k.good AS all_good, abs(k.good / k.n - m.good / m.n) > 0.5 * (1 / m.n + 1 / k.n)
+      + 2 * sqrt((m.good + k.good) / (m.n + k.n) * (1 - (m.good + k.good) / (m.n + k.n)) * (1 / m.n + 1 / k.n)) AS apart
+    FROM merged m JOIN ranked k ON k.host = m.host AND k.depth = m.depth AND k.above = m.above AND k.r = m.r + 1
+  )
+), grouped AS (
+  SELECT s.*, coalesce(g, 0) AS g FROM stats s LEFT JOIN (SELECT host, depth, node, g FROM merged) USING (host, depth, node)
 ), branches AS (
-  SELECT host, depth, node, CASE WHEN depth = 0 THEN '' ELSE above || '/~' || band END AS branch,
-    sum(n) OVER w AS n, sum(good) OVER w AS good
-  FROM banded WINDOW w AS (PARTITION BY host, depth, above, band)
+  SELECT host, depth, node, CASE WHEN depth = 0 THEN '' ELSE above || '/~' || g END AS branch, sum(n) OVER w AS n, sum(good) OVER w AS good
+  FROM grouped WINDOW w AS (PARTITION BY host, depth, above, g)
 ), ends AS (
   SELECT host, shape, arg_max(node, depth) AS template FROM nodes GROUP BY host, shape
 ), chains AS (

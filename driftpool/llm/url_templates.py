@@ -1,8 +1,9 @@
 """Verdicts on URLs by rules and by a tree of path templates for each host.
 
 A path's segments are nodes of a tree below its host. Runs of digits become ``#``, UUIDs and long hexadecimal words ``%``;
-where a node has many different branches, all but the frequent ones become ``*``. Labelled pages give every node a
-count and a share of good pages. Branches of one node whose smoothed shares fall into the same band are merged, and from
+where a node has many different branches, all but the frequent ones become ``*``, level by level, so that what lies below
+a ``*`` is counted together. Labelled pages give every node a count and a share of good pages. In order of that share,
+branches of one node are merged until one differs significantly from those before it (two proportions), and from
 the host downwards a branch is merged with what is above it unless its share differs significantly. A template is
 rejected if the smoothed share of the branch that it belongs to is too low. Rules go before all that. Everything is
 DataFrame operations: counts are combined before each exchange, so a host with a third of the pages costs one row per
@@ -23,9 +24,7 @@ BRANCHES = 32
 PRIOR = 10.0
 #: Least smoothed share of good pages of a template that is let through.
 PURITY = 0.5
-#: Bands of the share of good pages, from 0 to 1.
-BANDS = 10
-#: Standard errors by which a branch must differ from the node above to stand alone.
+#: Standard errors by which a branch must differ from the node above, or from its like beside it, to stand alone.
 SIGNIFICANT = 2.0
 UUID = "[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,23 +59,49 @@ def shape_of(path: Column) -> Column:
 def templates(pages: DataFrame, branches: int = BRANCHES) -> DataFrame:
     """``host``, ``shape`` and ``nodes``: the templates from the host (empty) down to the whole path.
 
-    ``pages`` has ``host``, ``shape`` and ``n`` (pages of that shape). A branch is judged below the shape above it.
+    ``pages`` has ``host``, ``shape`` and ``n`` (pages of that shape). Each round names one more segment, counted below the
+    template above it, which may hold ``*``. A template with no more shapes than ``branches`` below it can have no
+    ``*`` there, so its shapes leave the rounds, which end when no template has more.
     """
-    split = pages.withColumn("parts", F.filter(F.split("shape", "/"), lambda x: x != ""))
-    steps = split.select("host", "shape", "n", "parts", F.posexplode("parts").alias("depth", "segment"))
-    above = F.array_join(F.slice("parts", F.lit(1), F.col("depth")), "/")
-    steps = steps.select("host", "shape", "n", "depth", "segment", above.alias("above"))
-    node = ["host", "depth", "above"]
-    counts = steps.groupBy(*node, "segment").agg(F.sum("n").alias("pages"))
-    fans = counts.groupBy(*node).agg(F.count("*").alias("fan"), F.sum("pages").alias("all")).filter(F.col("fan") > branches)
-    rare = counts.join(fans, node).filter(F.col("pages") * branches < F.col("all")).select(*node, "segment", F.lit("*").alias("star"))
-    named = steps.join(rare, [*node, "segment"], "left")
-    kept = F.collect_list(F.struct("depth", F.coalesce("star", "segment").alias("segment")))  # a path's own segments
-    whole = named.groupBy("host", "shape").agg(F.array_sort(kept).alias("kept"))
-    names = F.transform(F.sequence(F.lit(0), F.size("kept")), lambda k: F.when(k == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.transform(F.slice("kept", F.lit(1), k), lambda x: x["segment"]), "/"))))
-    found = whole.select("host", "shape", names.alias("nodes"))
-    bare = pages.filter("shape = ''").select("host", "shape", F.array(F.lit("")).alias("nodes"))
-    return found.unionByName(bare)
+    rest = F.filter(F.split("shape", "/"), lambda x: x != "")
+    here = pages.select("host", "shape", "n", rest.alias("rest"), F.array(F.lit("")).alias("nodes"), F.lit(True).alias("crowded"))
+    found, node = here.filter("size(rest) = 0").select("host", "shape", "nodes"), ["host", "above"]
+    here = here.filter("size(rest) > 0")
+    while not here.isEmpty():
+        steps = here.withColumn("above", F.element_at("nodes", -1)).withColumn("segment", F.element_at("rest", 1))
+        counts = written(steps.groupBy(*node, "segment").agg(F.sum("n").alias("pages"), F.count("*").alias("shapes")), "url-segments")
+        fans = counts.groupBy(*node).agg(F.count("*").alias("fan"), F.sum("pages").alias("all"))
+        rare = (F.col("fan") > branches) & (F.col("pages") * branches < F.col("all"))
+        named = counts.join(fans, node).select(*node, "segment", "shapes", F.when(rare, "*").otherwise(F.col("segment")).alias("name"))
+        below = named.groupBy(*node, "name").agg((F.sum("shapes") > branches).alias("crowded"))
+        named = written(named.drop("shapes").join(below, [*node, "name"]), "url-names")
+        here = steps.drop("crowded").join(named, [*node, "segment"]).select(
+            "host", "shape", "n", F.slice("rest", F.lit(2), F.size("rest")).alias("rest"),
+            F.array_append("nodes", F.concat("above", F.lit("/"), "name")).alias("nodes"), "crowded",
+        )
+        here = written(here, "url-levels")
+        tail = F.transform("rest", lambda _, k: F.concat(F.element_at("nodes", -1), F.lit("/"), F.array_join(F.slice("rest", F.lit(1), k + 1), "/")))
+        found = found.unionByName(here.filter("size(rest) = 0 OR NOT crowded").select("host", "shape", F.concat("nodes", tail).alias("nodes")))
+        here = here.filter("size(rest) > 0 AND crowded")
+    return found
+
+
+def _alike(significant: float) -> Column:
+    """Labelled branches of one node (``beside``, by share), each with the number of the group that it is merged into."""
+    none = F.struct(F.lit(0).alias("group"), F.lit(0.0).alias("n"), F.lit(0.0).alias("good"), F.expr("CAST(array() AS array<struct<node: string, group: int>>)").alias("named"))
+
+    def step(now: Column, x: Column) -> Column:
+        n, good = now["n"] + x["n"], now["good"] + x["good"]
+        each = 1 / now["n"] + 1 / x["n"]
+        apart = F.abs(x["good"] / x["n"] - now["good"] / now["n"]) > significant * F.sqrt(good / n * (1 - good / n) * each) + 0.5 * each
+        new = (now["n"] == 0) | apart
+        group = now["group"] + F.when(new, 1).otherwise(0)
+        return F.struct(
+            group.alias("group"), F.when(new, x["n"]).otherwise(n).alias("n"), F.when(new, x["good"]).otherwise(good).alias("good"),
+            F.array_append(now["named"], F.struct(x["node"].alias("node"), group.alias("group"))).alias("named"),
+        )
+
+    return F.aggregate("beside", none, step, lambda x: x["named"])
 
 
 def _fold(base: Column, significant: float) -> Column:
@@ -112,13 +137,15 @@ def judge(
     trees = written(templates(known.select("host", "shape", "n"), branches), "url-trees")
     nodes = trees.join(known, ["host", "shape"]).select("host", "shape", "n_labelled", "n_good", F.posexplode("nodes").alias("depth", "node"))
     stats = nodes.groupBy("host", "depth", "node").agg(F.sum("n_labelled").cast("double").alias("n"), F.sum("n_good").cast("double").alias("good"))
-    stats = stats.crossJoin(F.broadcast(total)).select(  # one row
-        "host", "depth", "node", "n", "good", F.when(F.col("depth") == 0, "").otherwise(F.regexp_replace("node", "/[^/]*$", "")).alias("above"),
-        F.floor(BANDS * (F.col("good") + F.col("base")) / (F.col("n") + 1)).cast("int").alias("band"),
-    )
-    alike = stats.groupBy("host", "depth", "above", "band").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    stats = stats.drop("n", "good").join(alike, ["host", "depth", "above", "band"]).select(
-        "host", "depth", "node", F.when(F.col("depth") == 0, "").otherwise(F.concat("above", F.lit("/~"), "band")).alias("branch"), "n", "good",
+    above = F.when(F.col("depth") == 0, "").otherwise(F.regexp_replace("node", "/[^/]*$", ""))
+    stats = written(stats.withColumn("above", above), "url-nodes")
+    # A node has at most ``branches`` frequent branches and one ``*``, so a list of them is bounded.
+    beside = F.array_sort(F.collect_list(F.struct((F.col("good") / F.col("n")).alias("share"), "node", "n", "good")))
+    groups = stats.filter("n > 0").groupBy("host", "depth", "above").agg(beside.alias("beside")).withColumn("named", F.explode(_alike(significant)))
+    grouped = stats.join(groups.select("host", "depth", "named.*"), ["host", "depth", "node"], "left").withColumn("group", F.coalesce("group", F.lit(0)))
+    alike = grouped.groupBy("host", "depth", "above", "group").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    stats = grouped.drop("n", "good").join(alike, ["host", "depth", "above", "group"]).select(
+        "host", "depth", "node", F.when(F.col("depth") == 0, "").otherwise(F.concat("above", F.lit("/~"), "group")).alias("branch"), "n", "good",
     )
     chains = trees.withColumn("template", F.element_at("nodes", -1)).groupBy("host", "template").agg(F.first("nodes").alias("nodes"))
     steps = chains.select("host", "template", F.posexplode("nodes").alias("depth", "node")).join(stats, ["host", "depth", "node"])

@@ -63,6 +63,23 @@ def test_many_branches_become_one(spark):
     assert found.filter("score <> 1").count() == 0
 
 
+def test_variable_segment_below_another(spark):
+    """200 users of three slugs each, no two alike: one template; what is frequent stays named at either level."""
+    word = lambda i: "".join(chr(97 + (i // 26**k) % 26) for k in range(4))
+    urls = [f"http://h.net/user{word(i // 3)}/{word(7000 + i)}/end" for i in range(600)] + ["http://h.net/about/us/end"] * 40 + [f"http://h.net/user{word(i)}/home/end" for i in range(100)]
+    found = url_templates.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), spark.createDataFrame([], "page_id long, good boolean"))
+    assert {r.template: r["count"] for r in found.groupBy("template").count().collect()} == {"/*/*/end": 600, "/about/us/end": 40, "/*/home/end": 100}
+
+
+def test_branches_merge_by_a_test_not_by_rounding(spark):
+    """Shares of 0.199 and 0.201 are alike; 0.1 and 0.9 are not; a branch without labels is judged by what is above it."""
+    shares = {"a": 199, "b": 201, "c": 900, "d": 905}
+    rows = [(1000 * k + i, f"http://h.net/{name}/x", i < good) for k, (name, good) in enumerate(shares.items()) for i in range(1000)] + [(9000, "http://h.net/e/x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, good boolean")
+    by = {r.template: (r.judged_by, r.verdict) for r in url_templates.judge(pages.drop("good"), pages.select("page_id", "good")).collect()}
+    assert by == {"/a/x": ("/~1", "block"), "/b/x": ("/~1", "block"), "/c/x": ("/~2", "allow"), "/d/x": ("/~2", "allow"), "/e/x": ("", "allow")}
+
+
 def test_shapes(spark):
     cases = {"/a/12/b-3.html": "/a/#/b-#.html", "/x//y/": "/x/y", "/u/3f2504e0-4f89-11d3-9a0c-0305e82c3301": "/u/%", "/": "", "": "", "/deadbeef": "/deadbeef"}
     got = spark.createDataFrame([(k,) for k in cases], "path string").select("path", url_templates.shape_of(F.col("path")).alias("shape")).collect()
@@ -74,6 +91,7 @@ def test_sql_on_odd_and_wide_pages(spark, tmp_path):
     words = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(100)]
     urls = ODD + [f"http://w.net/{w}/{i}" for i, w in enumerate(words)] + [f"http://w.net/often/{i}.html" for i in range(300)]
     urls += [f"http://h.net/{'spam' if i % 3 == 0 else 'news' if i % 3 == 1 else 'blog'}/{i % 7}/{i}/" for i in range(600)]
+    urls += [f"http://v.net/{words[i // 2]}/{words[i % 97]}{words[i % 89]}/{'*' if i % 5 else 'z'}" for i in range(200)] + ["http://v.net/*/*/q"] * 20
     urls += ["http://u.net/3F2504e0-4f89-11d3-9a0c-0305e82c3301/0123456789abcdef/x_0123456789abcdef/0123456789abcdefg", "http://u.net/a//b/", "http://u.net/a\n/1/\n"]
     pages = spark.createDataFrame(list(enumerate(urls + urls[:9])) + [(None, ODD[5]), (3, ODD[3])], "page_id long, url string")
     labels = [(i, int(i % 3 > 0 or i % 60 == 0), 0 if i % 11 else 1) for i in range(0, 600, 2)] + [(4, 1, 0), (4, 0, 0), (6, None, 0), (None, 1, 0)]
