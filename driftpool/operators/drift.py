@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from driftpool.functions.staging import stage
+from driftpool.operators.compare import compare_folds
 
 
 def early_late_accuracy(
@@ -22,6 +23,22 @@ def early_late_accuracy(
     ).withColumn("late_minus_early", F.col("late_accuracy") - F.col("early_accuracy"))
 
 
+def period_accuracy(
+    predictions: DataFrame, last_early_repetition: int = 5, truth: str = "true_label", predicted: str = "predicted_label",
+    keys: Sequence[str] = ("participant", "session"), repetition: Sequence[str] = ("sequence_row",),
+) -> DataFrame:
+    """Accuracy of the unadapted model per cell and ``period`` (EARLY, LATE); a repetition predicted twice is an error."""
+    period = F.when(F.col("repetition") <= last_early_repetition, "EARLY").otherwise("LATE")
+    once = predictions.groupBy(*keys, period.alias("period"), *repetition).agg(F.count("*").alias("_n"), F.first(F.col(truth) == F.col(predicted)).alias("_hit"))
+    once = once.filter(F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.lit("a repetition is predicted twice")).cast("boolean")))
+    return once.groupBy(*keys, "period").agg(F.count("*").alias("repetitions"), F.avg(F.col("_hit").cast("double")).alias("accuracy"))
+
+
+def audit_periods(periods: DataFrame, folds: DataFrame, keys: Sequence[str] = ("participant", "session"), tolerance: float = 1e-12) -> DataFrame:
+    """Recomputed accuracies of all periods against the stored fold metrics (keys, ``period``, ``accuracy``), with what one side lacks."""
+    return compare_folds(periods, folds, [*keys, "period"], "accuracy", tolerance)
+
+
 def centroids(
     embeddings: DataFrame, keys: Sequence[str] = ("participant",), label: str = "label"
 ) -> DataFrame:

@@ -339,18 +339,22 @@ def bootstrap_bca(
 
 def seed_convergence(
     cells: DataFrame, keys: Sequence[str], seed: str = "seed_index", value: str = "value", sizes: Sequence[int] = (1, 2, 5, 10, 15, 20, 25, 30),
-    replicates: int = 1_000, namespace: str = "MC",
+    replicates: int = 1_000, namespace: str = "MC", schedule: int | None = None,
 ) -> DataFrame:
     """How far the mean of ``m`` random seeds strays from the full seed mean.
 
     One row per (cell, m): the few seeds of a cell are an array, each replicate
-    keeps the ``m`` entries with the smallest hashed keys.
+    keeps the ``m`` entries with the smallest hashed keys. With ``schedule``, a cell whose seeds are not just 1 to
+    that number is an error; without, sizes above a cell's seeds have no row.
     """
     packed = cells.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct(seed, value))), lambda s: s[value]).alias("_v"),
-        F.avg(value).alias("_full"),
+        F.avg(value).alias("_full"), F.array_sort(F.collect_list(seed)).alias("_seeds"),
     )
-    packed = packed.withColumn("m", F.explode(F.array(*[F.lit(m) for m in sizes]))).filter(F.col("m") <= F.size("_v"))
+    if schedule is not None:
+        whole = F.col("_seeds").cast("array<int>") == F.sequence(F.lit(1), F.lit(schedule))
+        packed = packed.filter(F.when(whole, F.lit(True)).otherwise(F.raise_error(F.lit("a cell lacks or repeats seeds of the schedule")).cast("boolean")))
+    packed = packed.drop("_seeds").withColumn("m", F.explode(F.array(*[F.lit(m) for m in sizes]))).filter(F.col("m") <= F.size("_v"))
     packed = packed.withColumn("_seed", identity.stable_seed(namespace, *[F.col(k) for k in keys], F.col("m")))
     spread = _replicates(packed, [*keys, "m"], replicates)
     words = F.transform(
@@ -368,9 +372,9 @@ def seed_convergence(
     q = F.percentile("_d", F.array(F.lit(0.025), F.lit(0.975)))
     return deviations.groupBy(*keys, "m").agg(
         F.first("_full").alias("full_mean"), F.count("*").alias("replicates"), F.avg("_d").alias("mean_deviation"),
-        (1.96 * F.stddev_samp("_d")).alias("halfwidth"), q.alias("_q"),
+        (F.stddev_samp("_d") / F.sqrt(F.count("*"))).alias("mcse"), (1.96 * F.stddev_samp("_d")).alias("halfwidth"), q.alias("_q"),
     ).select(
-        *keys, "m", "full_mean", "replicates", "mean_deviation", "halfwidth",
+        *keys, "m", "full_mean", "replicates", "mean_deviation", "mcse", "halfwidth",
         F.col("_q")[0].alias("deviation_low"), F.col("_q")[1].alias("deviation_high"),
     )
 
@@ -387,6 +391,19 @@ def seed_adequacy(
     })
 
 
+def seed_verdict(cells: DataFrame, keys: Sequence[str], schedule: int, seed: str = "seed_index", value: str = "value", **limits) -> DataFrame:
+    """One row: cells, how many meet each limit of ``seed_adequacy`` and hold the whole schedule, and whether all do.
+
+    A limit that cannot be computed (a single seed, no seed of the prefix) is not met. No cells are not adequate.
+    """
+    whole = (F.count("*") == schedule) & (F.count_distinct(seed) == schedule) & (F.min(seed) == 1) & (F.max(seed) == schedule)
+    counted = cells.groupBy(*keys).agg(whole.alias("_whole"))
+    met = seed_adequacy(cells, keys, seed, value, **limits).join(counted, list(keys))
+    passes = {"change_passes": F.col("change_passes"), "halfwidth_passes": F.col("halfwidth_passes"), "schedule_complete": F.col("_whole")}
+    out = met.agg(F.count("*").alias("cells"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(n) for n, c in passes.items()])
+    return out.withColumn("adequate", (F.col("cells") > 0) & (F.least(*passes) == F.col("cells")))
+
+
 def prefix_means(cells: DataFrame, keys: Sequence[str], seed: str = "seed_index", value: str = "value") -> DataFrame:
     """Running mean over seeds in schedule order (the few seeds of one cell)."""
     upto = Window.partitionBy(*keys).orderBy(seed).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -403,6 +420,30 @@ def locked_tests(deltas: DataFrame, family: Column, unit: str, replicates: int =
     return holm(tests.withColumn("family", family))
 
 
+def prespecified_tests(
+    values: DataFrame, unit: str, proposed: str, contrasts: Sequence[tuple[str, str, int, bool]], seed: str = "seed_index", strategy: str = "strategy",
+    budget: str = "budget", value: str = "value", replicates: int = 100_000,
+) -> DataFrame:
+    """Tests of a stated list of contrasts (id, comparator, budget, primary): ``locked_tests`` with ``role``, ``comparator`` and ``budget``.
+
+    A unit's value is the mean over its seeds of the mean of each seed. Primary contrasts keep their p value; the
+    secondary ones share one step-down family. A unit that lacks a side of a contrast is an error.
+    """
+    listed = F.array(*[F.struct(F.lit(a).alias("analysis_id"), F.lit(c).alias("comparator"), F.lit(b).alias("_budget")) for a, c, b, _ in contrasts])
+    each = values.groupBy(unit, seed, strategy, budget).agg(F.avg(value).alias("_v"))
+    means = each.groupBy(unit, strategy, budget).agg(F.avg("_v").alias("_m"))
+    spread = means.withColumn("_c", F.explode(listed)).filter(F.col(budget) == F.col("_c._budget"))
+    own = F.avg(F.when(F.col(strategy) == proposed, F.col("_m")))
+    other = F.avg(F.when(F.col(strategy) == F.col("_c.comparator"), F.col("_m")))
+    used = spread.filter((F.col(strategy) == proposed) | (F.col(strategy) == F.col("_c.comparator")))
+    pairs = used.groupBy(F.col("_c.analysis_id").alias("analysis_id"), unit).agg((own - other).alias("delta"))
+    lacking = F.raise_error(F.lit("a unit lacks one side of a contrast")).cast("double")
+    primary = F.col("analysis_id").isin([a for a, *_, first in contrasts if first])
+    tests = locked_tests(pairs.withColumn("delta", F.coalesce("delta", lacking)), F.when(primary, SINGLE_FAMILY).otherwise("secondary"), unit, replicates)
+    named = lambda at: F.coalesce(*[F.when(F.col("analysis_id") == c[0], F.lit(c[at])) for c in contrasts])
+    return tests.withColumns({"role": F.when(primary, "primary").otherwise("secondary"), "comparator": named(1), budget: named(2)})
+
+
 def claim_matrix(tests: DataFrame, balance: DataFrame, left_out: DataFrame, primary: str, proposed: str, rivals: Sequence[str], budget: int = 7) -> DataFrame:
     """Outcome of the prespecified rules as rows (claim, supported, status).
 

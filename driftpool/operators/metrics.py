@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from driftpool.functions.ranking import exact_quantiles
+from driftpool.functions.staging import stage
+from driftpool.operators.quality import checked_join
 
 
 def _grid(groups: DataFrame, labels: Sequence[int], *names: str) -> DataFrame:
@@ -134,6 +136,23 @@ def hierarchical_means(df: DataFrame, levels: Sequence[Sequence[str]], value: st
     )
 
 
+def level_summaries(df: DataFrame, levels: Sequence[Sequence[str]], value: str) -> DataFrame:
+    """Mean of means with units, spread, minimum and maximum of the level below, for every level of nested key lists.
+
+    One row per group and level (``level`` from 1, the finest); keys of finer levels are null. Each level is written once and
+    the next is taken from it.
+    """
+    current, column, out = df, value, None
+    every = list(levels[0])
+    for number, keys in enumerate(levels, 1):
+        current = stage(current.groupBy(*keys).agg(
+            F.count(column).alias("units"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("minimum"), F.max(column).alias("maximum"),
+        ), "level")
+        row = current.select(F.lit(number).alias("level"), *[F.col(k) if k in keys else F.lit(None).cast(df.schema[k].dataType).alias(k) for k in every], "units", "mean", "std", "minimum", "maximum")
+        out, column = row if out is None else out.unionByName(row), "mean"
+    return out
+
+
 def retention(final: DataFrame, diagonal: DataFrame, keys: Sequence[str], session: str = "session", value: str = "value") -> DataFrame:
     """Final-state score on every earlier session against the score at its own time."""
     pairs = final.select(*keys, session, F.col(value).alias("retained")).join(
@@ -159,22 +178,23 @@ def performance_table(folds: DataFrame, keys: Sequence[str], value: str = "value
 
 
 def unit_costs(parts: Sequence[DataFrame], unit: str) -> DataFrame:
-    """Inner join of per-unit cost tables, each keyed by the unit exactly once."""
+    """Join of per-unit cost tables; a unit that a table lacks or repeats is an error."""
     joined = parts[0]
     for part in parts[1:]:
-        joined = joined.join(part, unit)
+        joined = checked_join(joined, part, [unit], complete="both")
     return joined
 
 
-def cost_summary(costs: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    """Units, mean, median and quartiles of every measure per group (exact quantiles)."""
+def cost_summary(costs: DataFrame, keys: Sequence[str], measures: Sequence[str], distinct: Sequence[str] = ()) -> DataFrame:
+    """Units, mean, median and quartiles of every measure per group (exact quantiles), and numbers of ``distinct`` values."""
     named = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("amount")) for m in measures])
-    tall = costs.select(*keys, F.inline(named))
-    plain = tall.groupBy(*keys, "measure").agg(F.count("*").alias("units"), F.avg("amount").alias("mean"))
+    tall = costs.select(*keys, *distinct, F.inline(named))
+    numbers = [F.count_distinct(c).alias(f"distinct_{c}") for c in distinct]
+    plain = tall.groupBy(*keys, "measure").agg(F.count("*").alias("units"), F.avg("amount").alias("mean"), *numbers)
     quartiles = exact_quantiles(tall, [*keys, "measure"], "amount", [0.25, 0.5, 0.75], "_q")
     return plain.join(quartiles, [*keys, "measure"]).select(
         *keys, "measure", "units", "mean", F.col("_q")[1].alias("median"), F.col("_q")[0].alias("q25"),
-        F.col("_q")[2].alias("q75"),
+        F.col("_q")[2].alias("q75"), *[f"distinct_{c}" for c in distinct],
     )
 
 

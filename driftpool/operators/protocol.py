@@ -283,6 +283,26 @@ def work_grid(
     )
 
 
+def pool_grid(
+    participants: DataFrame, stages: Sequence[tuple[str, Sequence[str], Sequence[int]]], levels: Mapping[str, Sequence[int]] = POOL_LEVELS,
+    realizations: int = 5, budgets: Sequence[int] = (7, 14, 21), sessions: int = 5, control: int = 21,
+) -> DataFrame:
+    """Planned work on imbalanced pools: stages x participants x patterns x realizations x seeds, with expected counts.
+
+    A stage is (name, strategies, seeds); a stage without seeds has one row with a null ``seed_index``. Each row expects one
+    trajectory per strategy and budget, and as many session folds as sessions for each.
+    """
+    listed = F.array(*[
+        F.struct(F.lit(n).alias("stage"), F.lit("|".join(s)).alias("strategies"), F.lit(i).cast("int").alias("seed_index"), F.lit(len(s) * len(budgets)).alias("expected_trajectories"))
+        for n, s, seeds in stages for i in (seeds or [None])
+    ])
+    people = participants.select("participant").distinct().withColumn("_p", F.explode(_patterns(levels, control))).select("participant", F.col("_p.imbalance_level"), F.col("_p.rotation_index"))
+    planned = people.withColumn("realization", F.explode(F.sequence(F.lit(1), F.lit(realizations)))).select("*", F.inline(listed))
+    seeded = F.when(F.col("seed_index").isNull(), "").otherwise(F.format_string("_SEED%02d", "seed_index"))
+    shard = F.concat(F.format_string("%s_%s_%s_ROT%d_REAL%02d", "stage", "participant", "imbalance_level", "rotation_index", "realization"), seeded)
+    return planned.withColumns({"shard_id": shard, "expected_folds": F.col("expected_trajectories") * sessions})
+
+
 def leave_one_out(metadata: DataFrame, target: str, last_training_session: int) -> DataFrame:
     """Source rows for one held-out participant: earlier sessions train, later ones validate."""
     return metadata.filter(F.col("participant") != target).withColumn(
@@ -303,6 +323,18 @@ def leave_each_out(metadata: DataFrame, last_training_session: int) -> DataFrame
     )
 
 
+def leave_each_out_of_cohort(metadata: DataFrame, cohort: Column, last_training_session: int, validation_session: int) -> DataFrame:
+    """Source rows for every target (column ``target``): rows of ``cohort`` members but the target itself.
+
+    Targets are all participants, members or not. Sessions up to the last one for training train, one session validates,
+    the rest take no part. The names of the targets travel with the rows, as in ``leave_each_out``.
+    """
+    people = metadata.agg(F.collect_set("participant").alias("_targets"))
+    role = F.when(F.col("session") <= last_training_session, "train").when(F.col("session") == validation_session, "validation")
+    sources = metadata.filter(cohort).withColumn("fold_role", role).filter("fold_role IS NOT NULL")
+    return sources.join(F.broadcast(people)).withColumn("target", F.explode("_targets")).drop("_targets").filter(F.col("target") != F.col("participant"))  # one row
+
+
 def leave_one_out_summary(metadata: DataFrame, last_training_session: int) -> DataFrame:
     """Source row counts of every leave-one-participant-out fold as total minus own.
 

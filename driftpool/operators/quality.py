@@ -86,8 +86,8 @@ def fit_guard_report(history: DataFrame, fit: str, n_classes: int, token: str =
     )
 
 
-def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], cardinality: str = "one_to_one", complete: bool = True) -> DataFrame:
-    """Join whose key uniqueness (and completeness from the left) is verified first."""
+def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], cardinality: str = "one_to_one", complete: bool | str = True) -> DataFrame:
+    """Join whose key uniqueness (and completeness from the left, or from ``"both"`` sides) is verified first."""
     on = list(on)
     sides = {"one_to_one": (left, right), "many_to_one": (right,), "one_to_many": (left,)}[cardinality]
     for side in sides:
@@ -95,6 +95,8 @@ def checked_join(left: DataFrame, right: DataFrame, on: Sequence[str], cardinali
             raise ValueError(f"join keys {on} are not unique ({cardinality})")
     if complete and left.join(right.select(*on).distinct(), on, "left_anti").limit(1).count():
         raise ValueError("left rows without a partner")
+    if complete == "both" and right.join(left.select(*on).distinct(), on, "left_anti").limit(1).count():
+        raise ValueError("right rows without a partner")
     return left.join(right, on)
 
 

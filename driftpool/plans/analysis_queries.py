@@ -345,6 +345,17 @@ def hierarchical_means(spark, sf_dir):
     return rounded(metrics.hierarchical_means(folds(spark, sf_dir), levels, "value"), "mean", "std", "minimum", "maximum")
 
 
+@query(f"""WITH {FOLDS}, a AS (SELECT participant, strategy, seed_index, session, count(value) AS n, avg(value) AS m, stddev_samp(value) AS s, min(value) AS lo, max(value) AS hi FROM folds GROUP BY ALL),
+b AS (SELECT participant, strategy, seed_index, count(*) AS n, avg(m) AS m, stddev_samp(m) AS s, min(m) AS lo, max(m) AS hi FROM a GROUP BY ALL),
+c AS (SELECT participant, strategy, count(*) AS n, avg(m) AS m, stddev_samp(m) AS s, min(m) AS lo, max(m) AS hi FROM b GROUP BY ALL),
+d AS (SELECT strategy, count(*) AS n, avg(m) AS m, stddev_samp(m) AS s, min(m) AS lo, max(m) AS hi FROM c GROUP BY ALL),
+u AS (SELECT 1 AS level, * FROM a UNION ALL BY NAME SELECT 2 AS level, * FROM b UNION ALL BY NAME SELECT 3 AS level, * FROM c UNION ALL BY NAME SELECT 4 AS level, * FROM d)
+SELECT level, participant, strategy, seed_index, session, n AS units, round(m, 6) AS mean, round(s, 6) AS std, round(lo, 6) AS minimum, round(hi, 6) AS maximum FROM u""")
+def level_summaries(spark, sf_dir):
+    levels = [["participant", "strategy", "seed_index", "session"], ["participant", "strategy", "seed_index"], ["participant", "strategy"], ["strategy"]]
+    return rounded(metrics.level_summaries(folds(spark, sf_dir), levels, "value"), "mean", "std", "minimum", "maximum")
+
+
 _COSTS = """WITH fits AS (SELECT o_custkey % 50 AS unit, count(*) AS fit_count, sum(o_totalprice) / 1000 AS training FROM orders GROUP BY ALL),
 infer AS (SELECT c_custkey % 50 AS unit, count(*) AS folds, sum(c_acctbal) / 1000 AS inference FROM customer GROUP BY ALL),
 cost AS (SELECT *, unit % 3 AS strategy, training + inference AS total FROM fits JOIN infer USING (unit))"""
@@ -367,6 +378,27 @@ def compute_cost_quartiles(spark, sf_dir):
     return summary.withColumns({c: F.round(c, 4) for c in ("mean", "median", "q25", "q75")})
 
 
+@query("""WITH fits AS (SELECT o_custkey % 40 AS unit, count(*) AS fit_count, CAST(sum(o_totalprice) AS DOUBLE) / 1000 AS training FROM orders GROUP BY ALL),
+infer AS (SELECT c_custkey % 40 AS unit, CAST(sum(c_acctbal) AS DOUBLE) / 1000 AS inference FROM customer GROUP BY ALL),
+telemetry AS (SELECT l_orderkey % 40 AS unit, CAST(sum(l_tax) AS DOUBLE) AS scoring, CAST(sum(l_discount) AS DOUBLE) AS selection FROM lineitem GROUP BY ALL),
+cost AS (SELECT *, CAST(unit % 3 AS INTEGER) AS strategy, CAST(unit // 5 AS INTEGER) AS participant, CASE WHEN unit // 5 = 7 THEN 'descriptive' ELSE 'cohort' END AS population,
+  scoring + selection AS acquisition, training + scoring + selection + inference AS total FROM fits JOIN infer USING (unit) JOIN telemetry USING (unit)),
+tall AS (SELECT strategy, population, participant, unnest(['training', 'scoring', 'selection', 'acquisition', 'inference', 'total']) AS measure,
+  unnest([training, scoring, selection, acquisition, inference, total]) AS amount FROM cost)
+SELECT strategy, population, measure, count(*) AS units, count(DISTINCT participant) AS distinct_participant, round(avg(amount), 4) AS mean, round(median(amount), 4) AS median,
+  round(quantile_cont(amount, 0.25), 4) AS q25, round(quantile_cont(amount, 0.75), 4) AS q75 FROM tall GROUP BY ALL""")
+def compute_cost_by_population(spark, sf_dir):
+    """Fits, inference and telemetry meet unit by unit; a unit that one of them lacks would be an error."""
+    by = lambda name, key, **sums: table(spark, sf_dir, name).groupBy((F.col(key) % 40).alias("unit")).agg(*[F.sum(c).cast("double").alias(n) for n, c in sums.items()])
+    parts = [by("orders", "o_custkey", training="o_totalprice"), by("customer", "c_custkey", inference="c_acctbal"), by("lineitem", "l_orderkey", scoring="l_tax", selection="l_discount")]
+    costs = metrics.unit_costs(parts, "unit").withColumns({"training": F.col("training") / 1000, "inference": F.col("inference") / 1000}).withColumns({
+        "strategy": (F.col("unit") % 3).cast("int"), "participant": F.expr("unit div 5").cast("int"), "acquisition": F.col("scoring") + F.col("selection"),
+        "population": F.when(F.expr("unit div 5") == 7, "descriptive").otherwise("cohort"), "total": F.expr("training + scoring + selection + inference"),
+    })
+    summary = metrics.cost_summary(costs, ["strategy", "population"], ["training", "scoring", "selection", "acquisition", "inference", "total"], ["participant"])
+    return summary.withColumns({c: F.round(c, 4) for c in ("mean", "median", "q25", "q75")})
+
+
 @query(f"""WITH {FOLDS}, c AS (SELECT participant, strategy, budget, avg(value) AS v FROM folds WHERE budget <= 21 GROUP BY ALL),
 s AS (SELECT *, (v + lag(v) OVER w) / 2 * (budget - lag(budget) OVER w) AS area FROM c WINDOW w AS (PARTITION BY participant, strategy ORDER BY budget))
 SELECT participant, strategy, round(sum(area) / 21, 6) AS normalized_auc, count(*) AS points FROM s GROUP BY ALL""")
@@ -467,6 +499,37 @@ def _early_late(spark, sf_dir):
     return drift.early_late_accuracy(rows, truth="label")
 
 
+_PERIODS = f"""WITH {scored_sql('fixed_test').replace("WHERE t.role = 'fixed_test'", "WHERE t.session > 0")},
+periods AS (SELECT participant, session, CASE WHEN repetition <= 5 THEN 'EARLY' ELSE 'LATE' END AS period, avg(CAST(label = predicted_label AS INTEGER)) AS accuracy FROM scored GROUP BY ALL)"""
+
+
+@query(f"""{_PERIODS}, stored AS (SELECT s.participant, s.session, CASE t.role WHEN 'candidate' THEN 'EARLY' ELSE 'LATE' END AS period,
+  CAST(count(*) FILTER (s.label = s.predicted_label) AS DOUBLE) / count(*) AS accuracy FROM scored s JOIN trials t USING (sequence_row) GROUP BY ALL)
+SELECT participant, session, period, round(p.accuracy, 6) AS observed, round(s.accuracy, 6) AS stored, CASE WHEN p.accuracy IS NULL THEN 'stored_only' WHEN s.accuracy IS NULL THEN 'observed_only' ELSE 'both' END AS origin,
+  round(abs(p.accuracy - s.accuracy), 6) AS absolute_difference, coalesce(abs(p.accuracy - s.accuracy) <= 1e-9, false) AS within_tolerance
+FROM periods p FULL JOIN stored s USING (participant, session, period)""")
+def period_audit(spark, sf_dir):
+    """Early and late accuracies by repetition against the fold metrics of the roles, which come from class counts."""
+    sides = {"EARLY": scored(spark, sf_dir, "candidate"), "LATE": scored(spark, sf_dir, "fixed_test")}
+    stored = [metrics.fold_metrics(rows, CELL, LABELS, truth="label").select(*CELL, F.lit(period).alias("period"), "accuracy") for period, rows in sides.items()]
+    periods = drift.period_accuracy(sides["EARLY"].unionByName(sides["LATE"]), truth="label")
+    return rounded(drift.audit_periods(periods, stored[0].unionByName(stored[1]), tolerance=1e-9), "observed", "stored", "absolute_difference")
+
+
+@query(f"""{_PERIODS}, acc AS (SELECT participant, avg(d) AS a FROM (SELECT participant, session, max(accuracy) FILTER (period = 'LATE') - max(accuracy) FILTER (period = 'EARLY') AS d FROM periods GROUP BY ALL) GROUP BY ALL),
+gaps AS (SELECT t.participant, t.session, t.repetition, list_distance(t.embedding, c.centroid) / sqrt(len(t.embedding)) AS g FROM trials t JOIN centroid c USING (participant, label) WHERE t.session > 0),
+orders AS (SELECT participant, session, repetition, avg(g) AS g FROM gaps GROUP BY ALL),
+sl AS (SELECT participant, avg(b) AS b FROM (SELECT participant, session, regr_slope(g, repetition) AS b FROM orders GROUP BY ALL) GROUP BY ALL),
+est AS (SELECT a, b FROM acc JOIN sl USING (participant))
+SELECT count(*) AS participants, round(avg(a), 6) AS mean_late_minus_early, round(stddev_samp(a), 6) AS sd_late_minus_early, round(avg(b), 6) AS mean_slope, round(stddev_samp(b), 6) AS sd_slope FROM est""")
+def drift_accuracy_estimands(spark, sf_dir):
+    """Both drift measures of the same trials: accuracy of the unadapted model, and slope of the distance to the first session."""
+    cells = trials(spark, sf_dir).select("sequence_row", *CELL, "label", "repetition", F.posexplode("embedding").alias("channel", "embedding"))
+    distances = drift.rms_distance(cells.filter("session > 0"), drift.centroids(cells.filter("session = 0")), ["session", "repetition", "sequence_row"], complete=False)
+    estimands = drift.participant_estimands(_early_late(spark, sf_dir), drift.drift_slope(drift.distance_by_order(distances)))
+    return rounded(drift.cohort_row(estimands), "mean_late_minus_early", "sd_late_minus_early", "mean_slope", "sd_slope")
+
+
 # Mask-aware embeddings of the signals; session 0 gives the centroids.
 _DRIFT = f"""{_Z}, emb AS (SELECT participant, session, label, repetition, repetition_id, channel, avg(z) FILTER (valid) AS v FROM z GROUP BY ALL),
 cent AS (SELECT participant, label, channel, avg(v) AS c FROM emb WHERE session = 0 GROUP BY ALL),
@@ -667,11 +730,12 @@ keyed AS (SELECT participant, full_mean, m, r, i, v[i + 1] AS x, substr(sha256(s
   FROM spread, unnest(range(len(v))) u(i)),
 kept AS (SELECT * FROM keyed QUALIFY row_number() OVER (PARTITION BY participant, m, r ORDER BY k, i) <= m),
 dev AS (SELECT participant, m, any_value(full_mean) AS full_mean, r, avg(x) - any_value(full_mean) AS d FROM kept GROUP BY participant, m, r)
-SELECT participant, m, round(any_value(full_mean), 6) AS full_mean, count(*) AS replicates, round(avg(d), 6) + 0.0 AS mean_deviation, round(1.96 * stddev_samp(d), 6) AS halfwidth,
+SELECT participant, m, round(any_value(full_mean), 6) AS full_mean, count(*) AS replicates, round(avg(d), 6) + 0.0 AS mean_deviation,
+  round(stddev_samp(d) / sqrt(count(*)), 6) AS mcse, round(1.96 * stddev_samp(d), 6) AS halfwidth,
   round(quantile_cont(d, 0.025), 6) + 0.0 AS deviation_low, round(quantile_cont(d, 0.975), 6) + 0.0 AS deviation_high FROM dev GROUP BY ALL""")
 def mc_convergence(spark, sf_dir):
     out = inference.seed_convergence(_cells(spark, sf_dir), P)
-    return rounded(out, "full_mean", "mean_deviation", "halfwidth", "deviation_low", "deviation_high")
+    return rounded(out, "full_mean", "mean_deviation", "mcse", "halfwidth", "deviation_low", "deviation_high")
 
 
 @query(f"""{_SEEDS}, a AS (SELECT participant, abs(avg(value) - avg(value) FILTER (seed_index <= 25)) AS c, 1.96 * stddev_samp(value) / sqrt(count(*)) AS h FROM cells GROUP BY ALL)
@@ -680,6 +744,16 @@ def seed_adequacy(spark, sf_dir):
     return rounded(inference.seed_adequacy(_cells(spark, sf_dir), P), "prefix_change", "mean_halfwidth")
 
 
+@query(f"""WITH {FOLDS}, cells AS (SELECT participant, strategy, seed_index, avg(value) AS value FROM folds GROUP BY ALL),
+a AS (SELECT participant, strategy, abs(avg(value) - avg(value) FILTER (seed_index <= 25)) <= 0.03 AS c, 1.96 * stddev_samp(value) / sqrt(count(*)) <= 0.05 AS h,
+  count(*) = 30 AND min(seed_index) = 1 AND max(seed_index) = 30 AS w FROM cells GROUP BY ALL)
+SELECT count(*) AS cells, count(*) FILTER (c) AS change_passes, count(*) FILTER (h) AS halfwidth_passes, count(*) FILTER (w) AS schedule_complete, bool_and(coalesce(c AND h AND w, false)) AS adequate FROM a""")
+def seed_verdict(spark, sf_dir):
+    """Limits wider than the default ones, so that some cells of the events meet them and some do not."""
+    cells = folds(spark, sf_dir).groupBy("participant", "strategy", "seed_index").agg(F.avg("value").alias("value"))
+    return inference.seed_verdict(cells, ["participant", "strategy"], 30, change_limit=0.03, halfwidth_limit=0.05)
+
+
 @query(f"""{_SEEDS} SELECT participant, seed_index, round(value, 6) AS value, round(avg(value) OVER (PARTITION BY participant ORDER BY seed_index ROWS UNBOUNDED PRECEDING), 6) AS prefix_mean FROM cells""")
 def seed_prefix_means(spark, sf_dir):
     return rounded(inference.prefix_means(_cells(spark, sf_dir), P), "value", "prefix_mean")
@@ -702,6 +776,26 @@ def locked_tests(spark, sf_dir):
     return rounded(rows, "mean_delta", "p_value", "ci_low", "ci_high", "holm_p_value")
 
 
+_CONTRASTS = [("primary__click__7", "click", 7, True), ("secondary__click__14", "click", 14, False), ("secondary__click__21", "click", 21, False)]
+_CONTRASTS += [(f"secondary__view__{b}", "view", b, False) for b in (7, 14, 21)]
+_LISTED = f"""WITH {FOLDS}, per_seed AS (SELECT participant, seed_index, strategy, budget, avg(value) AS v FROM folds GROUP BY ALL),
+m AS (SELECT participant, strategy, budget, avg(v) AS v FROM per_seed GROUP BY ALL), listed(analysis_id, comparator, budget) AS (VALUES {', '.join(str(c[:3]) for c in _CONTRASTS)}),
+d AS (SELECT analysis_id, comparator, a.budget, a.participant, a.v - b.v AS delta
+  FROM listed l JOIN m a ON a.strategy = '{PROPOSED}' AND a.budget = l.budget JOIN m b ON b.strategy = l.comparator AND b.budget = l.budget AND b.participant = a.participant)"""
+_STEPS, _IN_FAMILY = _HOLM[len(_RANKED):], "OVER (PARTITION BY analysis_id LIKE 'primary%'"
+_BY_FAMILY = _STEPS.replace("OVER ()", f"{_IN_FAMILY})").replace("OVER (ORDER", f"{_IN_FAMILY} ORDER")
+
+
+@query(f"""{_LOCKED.replace(_DELTAS, _LISTED, 1).replace(_STEPS, _BY_FAMILY, 1)} SELECT analysis_id, split_part(analysis_id, '__', 1) AS role, split_part(analysis_id, '__', 2) AS comparator,
+  CAST(split_part(analysis_id, '__', 3) AS INTEGER) AS budget, round(mean_delta, 6) AS mean_delta, round(p_value, 6) AS p_value, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high,
+  round(holm_p_value, 6) AS holm_p_value, holm_p_value < 0.05 AS significant FROM locked""")
+def prespecified_tests(spark, sf_dir):
+    """One primary contrast without adjustment, five secondary ones in a family of their own."""
+    rows = inference.prespecified_tests(folds(spark, sf_dir), "participant", PROPOSED, _CONTRASTS, replicates=_REPLICATES)
+    rows = rows.select("analysis_id", "role", "comparator", "budget", "mean_delta", "p_value", "ci_low", "ci_high", "holm_p_value", "significant")
+    return rounded(rows, "mean_delta", "p_value", "ci_low", "ci_high", "holm_p_value")
+
+
 _PRIMARY = f"contrast__{PROPOSED}__click"
 
 

@@ -363,6 +363,19 @@ def pool_patterns(spark, sf_dir):
     return protocol.pattern_feasibility(trials(spark, sf_dir).filter("role = 'candidate'"), CELL, _TEN, _WHOLE)
 
 
+_STAGES = [("DETERMINISTIC", ["class_balanced_margin", "global_margin"], []), ("RANDOM", ["uniform_random"], [1, 2, 3])]
+
+
+@query(f"""WITH {TRIALS}, {PATTERNS}, stages(stage, strategies, seed_index, expected_trajectories) AS (VALUES ('DETERMINISTIC', 'class_balanced_margin|global_margin', NULL, 6),
+  ('RANDOM', 'uniform_random', 1, 3), ('RANDOM', 'uniform_random', 2, 3), ('RANDOM', 'uniform_random', 3, 3))
+SELECT participant, imbalance_level, rotation_index, CAST(n AS INTEGER) AS realization, stage, strategies, CAST(seed_index AS INTEGER) AS seed_index, expected_trajectories,
+  printf('%s_%s_%s_ROT%d_REAL%02d', stage, participant, imbalance_level, rotation_index, n) || CASE WHEN seed_index IS NULL THEN '' ELSE printf('_SEED%02d', seed_index) END AS shard_id,
+  expected_trajectories * 5 AS expected_folds
+FROM (SELECT DISTINCT participant FROM trials), patterns, range(1, 6) r(n), stages""")
+def pool_grid(spark, sf_dir):
+    return protocol.pool_grid(trials(spark, sf_dir), _STAGES, _TEN, control=_WHOLE)
+
+
 _REALIZATIONS = [(1, 101), (2, 202), (3, 303), (4, 404), (5, 505)]
 _POOLS = f"""WITH {TRIALS}, {PATTERNS}, r(realization, seed) AS (VALUES {', '.join(map(str, _REALIZATIONS))}),
 ranked AS (SELECT t.participant, t.session, t.label, t.token, p.imbalance_level, p.rotation_index, r.realization, p.class_counts[t.label + 1] AS wanted,
@@ -422,6 +435,15 @@ def leave_one_out_rows(spark, sf_dir):
     return protocol.leave_each_out(trials(spark, sf_dir), 2).select("target", "sequence_row", "fold_role")
 
 
+@query(f"""WITH {TRIALS}, people AS (SELECT DISTINCT participant AS target FROM trials)
+SELECT target, sequence_row, CASE WHEN session <= 1 THEN 'train' ELSE 'validation' END AS fold_role FROM people JOIN trials ON participant <> target
+WHERE participant <> 'P04' AND session IN (0, 1, 3)""")
+def leave_one_out_cohort(spark, sf_dir):
+    """P04 is a target, but never a source; session 2 takes no part."""
+    rows = protocol.leave_each_out_of_cohort(trials(spark, sf_dir), F.col("participant") != "P04", 1, 3)
+    return rows.select("target", "sequence_row", "fold_role")
+
+
 @query(f"""WITH {TRIALS}, h AS (SELECT participant, sequence_row, label FROM trials WHERE role = 'initial'),
 c AS (SELECT participant, label, count(*) AS n, min(sequence_row) AS f FROM h GROUP BY ALL),
 st AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY participant ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c),
@@ -585,3 +607,17 @@ def replay_anchor(spark, sf_dir):
         compare.compare_selections(*_two_runs(spark, sf_dir), ["grp"]),
         compare.compare_predictions(rows, rows, ["run_id", "doc_id"]), compare.compare_folds(fold, fold, CELL, "value"),
     )
+
+
+@query(f"""WITH {PREDS}, other AS (SELECT run_id, doc_id, true_label, CASE WHEN doc_id % 97 = 5 THEN 1 - predicted_label ELSE predicted_label END AS predicted_label FROM preds WHERE doc_id % 101 <> 7
+  UNION ALL SELECT run_id, -doc_id - 1, true_label, predicted_label FROM preds WHERE doc_id % 103 = 9)
+SELECT run_id, doc_id, CASE WHEN b.true_label IS NULL THEN 'observed_only' WHEN a.true_label IS NULL THEN 'stored_only' ELSE 'both' END AS origin,
+  CASE WHEN a.predicted_label <> b.predicted_label THEN 'predicted_label' ELSE '' END AS changed
+FROM preds a FULL JOIN other b USING (run_id, doc_id) WHERE a.true_label IS NULL OR b.true_label IS NULL OR a.predicted_label <> b.predicted_label""")
+def replay_changes(spark, sf_dir):
+    """A run against one with some predictions turned round, some rows less and some more; only ranges that differ are read."""
+    rows, d = preds(spark, sf_dir), F.col("doc_id")
+    turned = F.when(d % 97 == 5, 1 - F.col("predicted_label")).otherwise(F.col("predicted_label")).alias("predicted_label")
+    other = rows.filter(d % 101 != 7).select("run_id", "doc_id", "true_label", turned).unionByName(rows.filter(d % 103 == 9).withColumn("doc_id", -d - 1))
+    runs = [compare.digest_run(run, ["run_id", "doc_id"], ["true_label", "predicted_label"]) for run in (rows, other)]
+    return compare.changed_rows(*runs).withColumn("changed", F.array_join("changed", "|"))
