@@ -176,6 +176,25 @@ def table_catalogue(spark, sf_dir):
     return _listing(spark, sf_dir)
 
 
+@query(f"""WITH counted AS ({_COUNTED}),
+listed AS (SELECT table_name, CAST(count(*) AS INTEGER) AS column_count, string_agg(column_name, '|' ORDER BY column_index) AS "columns" FROM duckdb_columns() WHERE NOT internal GROUP BY table_name)
+SELECT table_name, 'parquet' AS format, column_count, "columns", "rows", true AS has_size, array_to_string(list_filter(['document', 'event', 'label'], lambda x: contains(table_name, x)), '|') AS tags
+FROM listed JOIN counted USING (table_name)""")
+def discovered_tables(spark, sf_dir):
+    """All tables of the folder, none of them named."""
+    found = contracts.discover(spark, sf_dir, ["label", "event", "document"])
+    return found.select("table_name", "format", "column_count", "columns", "rows", ((F.col("bytes") > 0) & (F.col("files") > 0)).alias("has_size"), "tags")
+
+
+@query("""WITH c AS (SELECT table_name, bool_or(contains(column_name, 'orderkey')) AS a, bool_or(contains(column_name, 'date') AND NOT contains(column_name, 'commit')) AS b
+  FROM duckdb_columns() WHERE NOT internal GROUP BY table_name)
+SELECT table_name, 50 * CAST(contains(table_name, 'item') AS INTEGER) + 20 * CAST(contains(table_name, 'order') AS INTEGER) AS name_score, contains(table_name, 'item') AS best FROM c WHERE a AND b""")
+def matching_tables(spark, sf_dir):
+    """Tables of the folder with a column for each need, by the second scoring rule."""
+    found = contracts.matching_tables(contracts.discover(spark, sf_dir), [(["orderkey"], []), (["date"], ["commit"])], {"item": 50, "order": 20})
+    return found.select("table_name", "name_score", (F.col("place") == 1).alias("best"))
+
+
 @query("""SELECT r_name AS table_name FROM region""")
 def missing_tables(spark, sf_dir):
     """Region names stand for required tables; none of them is in the catalogue, the listed ones are."""
@@ -248,9 +267,8 @@ def history_fingerprint(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT sha256(o_orderkey || '|' || o_custkey || '|' || o_orderstatus || '|' || o_orderpriority) AS h FROM orders),
-c AS (SELECT h, count(*) AS n FROM r GROUP BY h),
-b AS (SELECT substr(h, 1, 4) AS bucket, sha256(string_agg(h || ':' || n, '|' ORDER BY h)) AS d, sum(n) AS n FROM c GROUP BY ALL)
-SELECT CAST(sum(n) AS BIGINT) AS row_count, sha256(string_agg(d, '|' ORDER BY bucket)) AS digest FROM b""")
+s AS (SELECT count(*) AS n, sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)::HUGEINT) AS x, sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)::HUGEINT) AS y, sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)::HUGEINT) AS z FROM r)
+SELECT n AS row_count, sha256(n || '|' || x || '|' || y || '|' || z) AS digest FROM s""")
 def table_digest(spark, sf_dir):
     return identity.table_digest(table(spark, sf_dir, "orders"), ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
 

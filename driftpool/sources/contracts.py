@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from driftpool.functions.ranking import position_in_order, top_per_group
@@ -273,6 +276,87 @@ def catalogue(spark: SparkSession, tables: Mapping[str, DataFrame], tags: Mappin
     return rows
 
 
+#: A table's name within its folder and the format that its ending tells.
+_NAME = r"([^/]+)\.(parquet|csv)(?:/|$)"
+
+# Name fragments that tag a table of a folder, and what a table of fold metrics is recognised by: for each
+# column that it must have, fragments that its name holds and fragments that it does not, and points for fragments of the table's name.
+NAME_TAGS = [
+    "fold", "participant", "stat", "retention", "prediction", "recall", "confusion", "coverage", "entropy", "compute", "selection", "seed", "drift",
+    "contrast", "manifest", "report",
+]
+METRIC_NEEDS = [(["participant"], []), (["budget"], []), (["balanced", "accuracy"], ["std"])]
+METRIC_POINTS = {"fold": 50, "result": 20, "summary": 10}
+
+
+def discover(spark: SparkSession, folder: str, tags: Sequence[str] = NAME_TAGS) -> DataFrame:
+    """One row per Parquet or CSV table found below ``folder``, as a file or as a folder of files.
+
+    ``table_name``, ``format``, ``files``, ``bytes``, ``column_count``, ``columns``, ``rows`` (Parquet only; null for CSV) and ``tags``
+    from the name. Spark lists the files, by any path it reads; contents are not read, columns come from one footer or
+    header per table and rows from all footers. The driver gets one line per table. Tables of one name in several
+    subfolders are listed once for each; an unreadable table has
+    null columns and a ``status`` that says why, an empty folder gives no rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length")
+    root = folder.rstrip("/").split("://", 1)[-1].lstrip("/").rsplit("/", 1)[-1]
+    below = F.regexp_extract("path", "^(.*?/" + re.escape(root) + "/)?(.*)$", 2)
+    name, kind = F.regexp_extract(below, _NAME, 1), F.regexp_extract(below, _NAME, 2)
+    start = F.regexp_extract("path", "^((?:.*?/" + re.escape(root) + "/)?(?:.*?)[^/]+\\.(?:parquet|csv))(?:/.*)?$", 1)
+    tables = files.select(name.alias("table_name"), kind.alias("format"), start.alias("path"), "length").filter("table_name <> ''")
+    found = tables.groupBy("path", "table_name", "format").agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).collect()  # one line per table
+    rows = None
+    for t in found:
+        reader = spark.read.option("header", "true")
+        try:
+            df = reader.parquet(t.path) if t.format == "parquet" else reader.csv(t.path)
+            columns, count = df.columns, df.agg(F.count("*").alias("rows")) if t.format == "parquet" else None
+            status = "read"
+        except (AnalysisException, Py4JJavaError) as error:
+            columns, count, status = None, None, f"unreadable: {error.java_exception.getClass().getSimpleName() if isinstance(error, Py4JJavaError) else type(error).__name__}"
+        count = spark.range(1).select(F.lit(None).cast("bigint").alias("rows")) if count is None else count
+        words = sorted(x for x in tags if x in t.table_name.lower())
+        row = count.select(
+            F.lit(t.table_name).alias("table_name"), F.lit(t.format).alias("format"), F.lit(t.files).alias("files"), F.lit(t.bytes).alias("bytes"),
+            F.lit(None if columns is None else len(columns)).cast("int").alias("column_count"), F.lit(None if columns is None else "|".join(columns)).cast("string").alias("columns"),
+            "rows", F.lit("|".join(words)).alias("tags"), F.lit(status).alias("status"),
+        )
+        rows = row if rows is None else rows.unionByName(row)
+    if rows is not None:
+        return rows
+    return spark.createDataFrame([], "table_name string, format string, files bigint, bytes bigint, column_count int, columns string, rows bigint, tags string, status string")
+
+
+def matching_tables(listing: DataFrame, needs: Sequence[tuple[Sequence[str], Sequence[str]]] = METRIC_NEEDS, points: Mapping[str, int] = METRIC_POINTS) -> DataFrame:
+    """Tables of ``discover`` with a column for each need, best first (``place``).
+
+    A need is (fragments that the column's name holds, fragments that it does not). The score is points for fragments of the table's name
+    (``name_score``) plus the size in megabytes, 9 at most; of equal scores the later name is better.
+    """
+    columns = F.split(F.lower("columns"), "\\|")
+
+    def holds(need: tuple[Sequence[str], Sequence[str]]) -> Column:
+        def test(c: Column) -> Column:
+            met = F.lit(True)
+            for fragment in need[0]:
+                met = met & c.contains(fragment)
+            for fragment in need[1]:
+                met = met & ~c.contains(fragment)
+            return met
+
+        return F.exists(columns, test)
+
+    eligible = listing
+    for need in needs:
+        eligible = eligible.filter(holds(need))
+    name = F.lit(0)
+    for fragment, value in points.items():
+        name = name + F.when(F.lower("table_name").contains(fragment), value).otherwise(0)
+    scored = eligible.withColumn("name_score", name).withColumn("score", F.col("name_score") + F.least(F.col("bytes") / 1e6, F.lit(9.0)))
+    place = F.row_number().over(Window.orderBy(F.desc("score"), F.desc("table_name")))  # one line per table of a folder
+    return scored.withColumn("place", place)
+
+
 def missing_tables(listing: DataFrame, required: DataFrame) -> DataFrame:
     """Required (table_name) rows absent from the catalogue."""
     return required.join(listing.select("table_name"), "table_name", "left_anti")

@@ -5,7 +5,9 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from driftpool.functions import identity
 from driftpool.operators import compare, drift, inference, metrics, protocol
+from driftpool.sources import contracts
 
 RUN = "k long, part string, value double, label int"
 
@@ -128,3 +130,31 @@ def test_cohort_split_has_no_target_rows(spark):
     assert not [r for r in got if r.participant in (r.target, "P4")]
     counts = {t: (sum(r.target == t and r.fold_role == "train" for r in got), sum(r.target == t and r.fold_role == "validation" for r in got)) for t in ("P1", "P4")}
     assert counts == {"P1": (20, 4), "P4": (30, 6)}
+
+
+def test_discovered_tables(spark, tmp_path):
+    assert contracts.discover(spark, _folder(tmp_path / "none")).count() == 0
+    folder = _folder(tmp_path / "in.csv")
+    spark.range(30).selectExpr("id AS participant", "1 AS query_budget", "0.5D AS balanced_accuracy").repartition(3).write.parquet(f"{folder}/fold_result.parquet")
+    spark.range(5).selectExpr("id AS participant", "1 AS query_budget", "0.5D AS std_balanced_accuracy").write.parquet(f"{folder}/sub/fold_std.parquet")
+    (tmp_path / "in.csv" / "summary.csv").write_text("participant,k_budget,balanced_accuracy\n1,7,0.5\n")
+    (tmp_path / "in.csv" / "notes.txt").write_text("x")
+    (tmp_path / "in.csv" / "broken.parquet").write_text("no table")
+    got = {r.table_name: r for r in contracts.discover(spark, folder).collect()}
+    assert {n: (r.format, r.column_count, r["rows"], r.tags) for n, r in got.items()} == {
+        "fold_result": ("parquet", 3, 30, "fold"), "fold_std": ("parquet", 3, 5, "fold"), "summary": ("csv", 3, None, ""), "broken": ("parquet", None, None, ""),
+    }
+    assert {n: r.status.split(":")[0] for n, r in got.items()} == {"fold_result": "read", "fold_std": "read", "summary": "read", "broken": "unreadable"}
+    assert got["fold_result"].files == 3 and got["summary"].bytes == (tmp_path / "in.csv" / "summary.csv").stat().st_size
+    best = contracts.matching_tables(contracts.discover(spark, folder)).orderBy("place").collect()
+    assert [(r.table_name, r.name_score) for r in best] == [("fold_result", 70), ("summary", 10)]
+
+
+def _folder(path):
+    path.mkdir()
+    return str(path)
+
+
+def test_table_digest_of_no_rows(spark):
+    none, one = (identity.table_digest(spark.range(n), ["id"]).first() for n in (0, 1))
+    assert none.row_count == 0 and len(none.digest) == 64 and none.digest != one.digest
