@@ -56,10 +56,22 @@ def entropy(probability: Column) -> Column:
     return -array_sum(F.transform(probability, term))
 
 
+def gradient_error(probability: Column) -> Column:
+    """Probability less the predicted label's indicator."""
+    top = argmax(probability)
+    return F.transform(probability, lambda p, i: p - F.when(i == top, 1.0).otherwise(0.0))
+
+
+def factored_distance(a: Column, b: Column) -> Column:
+    """Distance of two gradient embeddings given as structs (error, own, norm): norms and the product of both inner products."""
+    both = a["norm"] + b["norm"]
+    square = both - 2.0 * dot(a["error"], b["error"]) * (dot(a["own"], b["own"]) + 1.0)
+    return F.when(square > 1e-13 * both, F.sqrt(square)).otherwise(0.0)  # rounding of equal points
+
+
 def gradient_embedding(probability: Column, representation: Column) -> Column:
     """Last-layer gradient under the predicted label: class-major outer product, then the error."""
-    top = argmax(probability)
-    error = F.transform(probability, lambda p, i: p - F.when(i == top, 1.0).otherwise(0.0))
+    error = gradient_error(probability)
     outer = F.flatten(F.transform(error, lambda e: F.transform(representation, lambda r: e * r)))
     return F.concat(outer, error)
 

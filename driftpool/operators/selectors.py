@@ -228,11 +228,13 @@ def _minmax(value: Column, low: Column, high: Column) -> Column:
 @dataclass(frozen=True)
 class _Rule:
     """Ascending sort key (p, q) of one step over ``_token``, ``_d`` (distance to history and picks)
-    and ``_u`` (uncertainty); ``spans`` tells whether it reads the range ``_low``..``_high`` of ``_d``."""
+    and ``_u`` (uncertainty); ``_e`` is what distances are taken from; ``spans`` tells whether it reads the range ``_low``..``_high`` of ``_d``."""
 
     p: Callable[[int], Column]
     q: Column
     spans: bool = False
+    #: Distance of two values of ``_e``.
+    apart: Callable[[Column, Column], Column] = vectors.distance
 
     def contender(self, step: int) -> Column:
         return F.struct(self.p(step).alias("p"), self.q.alias("q"), F.col("_token").alias("token"), F.col("_e").alias("e"))
@@ -247,7 +249,7 @@ def _ranked_batch_rule(tie_seed: Column | int) -> _Rule:
     return _Rule(lambda step: -combined, identity.token_tie(tie_seed, F.col("_token")), spans=True)
 
 
-def _squared_weight_rule(seed: Column | int) -> _Rule:
+def _squared_weight_rule(seed: Column | int, apart: Callable[[Column, Column], Column] = vectors.distance) -> _Rule:
     """Exponential race: the smallest -ln(u)/d^2 is a draw with weight d^2."""
     def p(step: int) -> Column:
         race = -F.log(identity.uniform(seed, F.lit(step), F.col("_token")))
@@ -256,7 +258,7 @@ def _squared_weight_rule(seed: Column | int) -> _Rule:
         weight = F.col("_d") * F.col("_d")
         return F.when(weight > 0, race / weight).otherwise(F.lit(float("inf")))
 
-    return _Rule(p, F.lit(""))
+    return _Rule(p, F.lit(""), apart=apart)
 
 
 _TO_BEST = "least(_d, sqrt(aggregate(zip_with(_e, _best.e, (x, y) -> (x - y) * (x - y)), 0D, (s, x) -> s + x)))"
@@ -273,7 +275,7 @@ def _in_one_exchange(state: DataFrame, keys: list[str], steps: int, rule: _Rule)
             state = state.withColumns({"_low": F.min(distance).over(group), "_high": F.max(distance).over(group)})
         state = state.withColumn("_best", F.min(F.when(left, rule.contender(step))).over(group))
         state = state.withColumns({
-            "pick": F.when(F.col("_best.token") == F.col("_token"), step).otherwise(F.col("pick")), "_d": F.expr(_TO_BEST),
+            "pick": F.when(F.col("_best.token") == F.col("_token"), step).otherwise(F.col("pick")), "_d": F.expr(_TO_BEST) if rule.apart is vectors.distance else F.least("_d", rule.apart(F.col("_best.e"), F.col("_e"))),
         })
     return state.filter(F.col("pick").isNotNull()).select(*keys, "_token", "pick")
 
@@ -289,7 +291,7 @@ def _in_rounds(state: DataFrame, keys: list[str], steps: int, rule: _Rule) -> Da
         current = base
         if picks is not None:
             taken = picks.groupBy(*keys).agg(F.collect_list("_token").alias("_ts"), F.collect_list("_e").alias("_es"))
-            nearest = F.array_min(F.transform("_es", lambda e: vectors.distance(e, F.col("_e"))))
+            nearest = F.array_min(F.transform("_es", lambda e: rule.apart(e, F.col("_e"))))
             current = (
                 (base.join(taken, keys) if keys else base.join(F.broadcast(taken)))  # without keys: one row
                 .filter(~F.array_contains("_ts", F.col("_token")))
@@ -379,6 +381,26 @@ def squared_distance_seeding(
     return _sequential(pool, measure, keys, batch_size, rule, token, sequential_rows, complete)
 
 
+def gradient_seeding(
+    pool: DataFrame, keys: Sequence[str], batch_size: int = 7, seed: Column | int = 0, token: str = "token", probability: str = "probability",
+    embedding: str = "embedding", sequential_rows: int = SEQUENTIAL_ROWS, complete: bool = True,
+) -> DataFrame:
+    """k-means++ seeding over ``vectors.gradient_embedding``, whose distances come from its two factors.
+
+    Classes times dimensions are never laid out: a candidate carries its error, its representation and one squared norm.
+    Draws are those of ``squared_distance_seeding`` on the embedding itself. Points that differ by rounding alone are equal.
+    """
+    extra = {"_seed": seed} if isinstance(seed, Column) else {}
+
+    def measure(part: DataFrame) -> DataFrame:
+        error, own = vectors.gradient_error(F.col(probability)), F.col(embedding).cast("array<double>")
+        factors = F.struct(error.alias("error"), own.alias("own"), (vectors.dot(error, error) * (vectors.dot(own, own) + 1.0)).alias("norm"))
+        return part.withColumns(extra).select(*keys, token, factors.alias("_e"), F.lit(float("inf")).alias("_d"), *extra)
+
+    rule = _squared_weight_rule(F.col("_seed") if extra else seed, vectors.factored_distance)
+    return _sequential(pool, measure, keys, batch_size, rule, token, sequential_rows, complete)
+
+
 # -- audits, reveal, checks ----------------------------------------------------------
 
 

@@ -217,6 +217,33 @@ def kmeanspp_seed(spark, sf_dir):
     return selectors.squared_distance_seeding(_candidates(spark, sf_dir), CELL, B, seed=5)
 
 
+_GRADIENTS = f"""{_PROBABILITY}, errors AS (
+  SELECT s.*, list_transform(probability, lambda p, i: p - CASE WHEN i = list_position(probability, list_max(probability)) THEN 1.0 ELSE 0.0 END) AS er FROM soft s),
+base AS MATERIALIZED (SELECT participant, session, token, list_concat(flatten(list_transform(er, lambda x: list_transform(embedding, lambda r: x * r))), er) AS e,
+  'inf'::DOUBLE AS d0 FROM errors), """
+
+
+def _raced(steps: str) -> str:
+    for k in range(1, B + 1):
+        steps = steps.replace(f"ORDER BY @{k}@", f"ORDER BY {_race_sql(k)}")
+    return steps
+
+
+@query(_GRADIENTS + _raced(_steps("@{k}@", B)))
+def gradient_seeding(spark, sf_dir):
+    """Factored in Spark; the SQL lays out the whole gradient embeddings."""
+    rows = scored(spark, sf_dir, features=True).withColumn("probability", vectors.softmax(F.col("scores")))
+    return selectors.gradient_seeding(rows, CELL, B, seed=5)
+
+
+@query()
+def trajectory_gradient(spark, sf_dir):
+    """Gradient seeding and plain seeding with the same seeds, budgets 7, 14 and 21."""
+    plan = [(s, b) for s in ("gradient_seeding", "squared_distance_seeding") for b in (B, 2 * B, 3 * B)]
+    run = trajectory.Experiment(trials(spark, sf_dir), arms(spark, sf_dir, plan), "centroid", B, complete=False).run(SESSIONS)
+    return rounded(trajectory.evaluate(run, LABELS), "accuracy", "balanced_accuracy", "macro_f1")
+
+
 # -- audits and reveal ---------------------------------------------------------------------------
 
 

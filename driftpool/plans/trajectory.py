@@ -17,7 +17,7 @@ from driftpool.functions.staging import stage
 from driftpool.operators import models, protocol, selectors
 from driftpool.operators.metrics import fold_metrics
 
-SEQUENTIAL = ("ranked_batch", "core_set", "squared_distance_seeding")
+SEQUENTIAL = ("ranked_batch", "core_set", "squared_distance_seeding", "gradient_seeding")
 PROBABILISTIC = ("least_confidence", "predictive_entropy")
 MARGIN = ("class_balanced_margin", "global_margin")
 ADAPTIVE = (*MARGIN, *PROBABILISTIC, *SEQUENTIAL, "uniform_random", "true_class_balanced")
@@ -130,7 +130,7 @@ class Experiment:
         return stage(fitted.join(owners, "fit_id"), "models"), fits
 
     def wants(self, what: str) -> bool:
-        users = {"probability": PROBABILISTIC, "embedding": SEQUENTIAL}[what]
+        users = {"probability": (*PROBABILISTIC, "gradient_seeding"), "embedding": SEQUENTIAL}[what]
         return any(s in users for s in self.strategies)
 
     def rows_of(self, role: str, sessions: Sequence[int]) -> DataFrame:
@@ -196,8 +196,8 @@ class Experiment:
         if strategy == "true_class_balanced":
             labelled = own.join(candidates.select("token", F.col("label").alias("true_label")), "token")
             return selectors.true_class_balanced(labelled, key, b, complete=self.complete)
-        if strategy == "squared_distance_seeding":
-            return selectors.squared_distance_seeding(own, key, b, seed, complete=self.complete)
+        if strategy in ("squared_distance_seeding", "gradient_seeding"):
+            return getattr(selectors, strategy)(own, key, b, seed, complete=self.complete)
         mine = self.history(selections, self.trajectories.filter(F.col("strategy") == strategy))
         # History embeddings under each trajectory's own normalizer.
         features = self.features

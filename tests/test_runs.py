@@ -2,11 +2,12 @@
 
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftpool.functions import identity
-from driftpool.operators import compare, drift, inference, metrics, protocol
+from driftpool.functions import identity, vectors
+from driftpool.operators import compare, drift, inference, metrics, protocol, selectors
 from driftpool.sources import contracts
 
 RUN = "k long, part string, value double, label int"
@@ -158,3 +159,15 @@ def _folder(path):
 def test_table_digest_of_no_rows(spark):
     none, one = (identity.table_digest(spark.range(n), ["id"]).first() for n in (0, 1))
     assert none.row_count == 0 and len(none.digest) == 64 and none.digest != one.digest
+
+
+@pytest.mark.parametrize("sequential_rows", [1000, 5])
+def test_factored_seeding_equals_the_explicit_one(spark, sequential_rows):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i % 2}", f"t{i:03d}", (p := rng.dirichlet(np.ones(5))).tolist(), rng.normal(size=12).tolist()) for i in range(80)]
+    rows += [("g0", f"u{i:03d}", *rows[0][2:]) for i in range(10)]  # equal points
+    pool = spark.createDataFrame(rows, "grp string, token string, probability array<double>, embedding array<double>")
+    explicit = pool.select("grp", "token", vectors.gradient_embedding(F.col("probability"), F.col("embedding")).alias("embedding"))
+    a = selectors.gradient_seeding(pool, ["grp"], 7, seed=3, sequential_rows=sequential_rows).select("grp", "token", "pick").collect()
+    b = selectors.squared_distance_seeding(explicit, ["grp"], 7, seed=3).select("grp", "token", "pick").collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b)) and len(a) == 14
