@@ -749,7 +749,7 @@ a AS (SELECT participant, strategy, abs(avg(value) - avg(value) FILTER (seed_ind
   count(*) = 30 AND min(seed_index) = 1 AND max(seed_index) = 30 AS w FROM cells GROUP BY ALL)
 SELECT count(*) AS cells, count(*) FILTER (c) AS change_passes, count(*) FILTER (h) AS halfwidth_passes, count(*) FILTER (w) AS schedule_complete, bool_and(coalesce(c AND h AND w, false)) AS adequate FROM a""")
 def seed_verdict(spark, sf_dir):
-    """Limits wider than the default ones, so that some cells of the events meet them and some do not."""
+    """Limits wider than the default ones; at the smallest scale cells lack seeds of the schedule."""
     cells = folds(spark, sf_dir).groupBy("participant", "strategy", "seed_index").agg(F.avg("value").alias("value"))
     return inference.seed_verdict(cells, ["participant", "strategy"], 30, change_limit=0.03, halfwidth_limit=0.05)
 
