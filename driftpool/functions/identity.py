@@ -149,15 +149,23 @@ def set_key(history: DataFrame, keys: Sequence[str], token: str = "token") -> Da
     )
 
 
-def table_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One order-free digest of a table, repeated rows included, from sums of the rows' digest words.
+def table_digest(df: DataFrame, columns: Sequence[str], prefix: int = 4) -> DataFrame:
+    """One order-free digest of a table: whole row hashes in order with their counts, by bucket, then the buckets.
 
-    Sums combine partially, so the digest costs one pass and one row per task. An empty table has a digest too.
+    Equal rows are counted before the exchange, so copies cannot fill a bucket. An empty table has a digest too.
     """
     row = F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns]), 256)
-    sums = [F.coalesce(F.sum(leading_integer(F.substring(row, at, 15), 15)), F.lit(0)).cast("string") for at in (1, 16, 31)]
-    count = F.count("*")
-    return df.agg(count.alias("row_count"), F.sha2(F.concat_ws("|", count.cast("string"), *sums), 256).alias("digest"))
+    counted = df.select(F.unhex(row).alias("_row")).groupBy("_row").agg(F.count("*").alias("_n"))
+    dealt = counted.withColumn("_bucket", F.substring(F.lower(F.hex("_row")), 1, prefix)).repartition("_bucket")
+    item = F.concat_ws(":", F.lower(F.hex("_row")), F.col("_n").cast("string"))
+    buckets = dealt.groupBy("_bucket").agg(
+        F.sha2(F.array_join(F.array_sort(F.collect_list(item)), "|"), 256).alias("_digest"),
+        F.sum("_n").alias("_n"),
+    )
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("_bucket", "_digest"))), lambda s: s["_digest"])
+    return buckets.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.sha2(F.array_join(ordered, "|"), 256).alias("digest")
+    )
 
 
 def seed_schedule(participants: DataFrame, namespace: str, random_seeds: int = 60, pool_seeds: int = 5) -> DataFrame:

@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,6 +119,18 @@ def test_seeds_and_digests(spark):
     assert same.digest != identity.table_digest(df.distinct(), ["a", "b"]).first().digest
 
 
+def test_table_digest_holds_whole_row_hashes_and_counts(spark):
+    df = spark.range(6000).selectExpr("CAST(id % 4000 AS INT) AS a", "IF(id % 7 = 0, NULL, concat('x', id % 4000)) AS b")
+    counts = Counter(hashlib.sha256(f"{r.a}|{r.b or chr(92) + 'N'}".encode()).hexdigest() for r in df.collect())
+    buckets = {}
+    for row, n in sorted(counts.items()):
+        buckets.setdefault(row[:4], []).append(f"{row}:{n}")
+    parts = [hashlib.sha256("|".join(items).encode()).hexdigest() for _, items in sorted(buckets.items())]
+    assert max(counts.values()) > 1 and len(parts) < len(counts)
+    found = identity.table_digest(df.repartition(5), ["a", "b"]).first()
+    assert tuple(found) == (6000, hashlib.sha256("|".join(parts).encode()).hexdigest())
+
+
 def test_history_fingerprint_has_one_rule(spark):
     for n in (1, 200, 6000):
         rows = spark.range(n).select(F.lit("P01").alias("p"), F.sha2(F.col("id").cast("string"), 256).substr(1, 24).alias("token"))
